@@ -1,8 +1,58 @@
-from tallyforge.llm import exact_dedup
-STAGES = [("exact dedup", lambda spark, docs, sf: exact_dedup.dedup(docs, keep="largest"))]
-ORACLE_SQL = None
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, f in STAGES:
-        docs = f(spark, docs, sf_dir)
+"""A cleaning pipeline over ``documents``: five stages, each the operator of that name in ``tallyforge.llm``."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tallyforge.llm import bpe, exact_dedup, mixing, ngram_join, quality
+from tallyforge.llm._common import cut, table
+from tallyforge.llm.registry import vocabulary
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labels of these documents, does not reject."""
+    model = quality.train(docs, table(spark, sf_dir, "labels"), quality.fold() != 1)
+    return quality.keep_good(docs, model)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts, that with the largest id."""
+    return exact_dedup.dedup(docs, keep="largest")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group joined by five-word shingles at a similarity of 0.8 or more."""
+    return ngram_join.keep_one(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them: a row for each repetition."""
+    return mixing.mixed_documents(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids and the byte offset of each id's piece."""
+    return bpe.encode(docs, vocabulary())
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", keep_quality),
+    ("exact_dedup", drop_copies),
+    ("near_dedup", drop_near_copies),
+    ("mixing", mix_sources),
+    ("encode", encode),
+]
+
+#: A fitted model, a MinHash forest and a tokenizer are not to be had in SQL: tests/llm/test_pipeline.py has brute force.
+ORACLE_SQL: str | None = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = cut(docs, f"pipeline-{name}")
     return docs

@@ -6,14 +6,33 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact_dedup, mixing, pii, secrets
+from . import bpe, chat, exact_dedup, mixing, ngram_join, pii, quality, secrets
 from ._common import table
 
 
+def vocabulary(name: str = "byte_bpe_multi_50k.tiktoken") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), vocabulary())
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digests(table(spark, sf_dir, "documents"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.near_groups(table(spark, sf_dir, "documents"))
+    return found.withColumnsRenamed({"id": "doc_id", "group_id": "class_id"})
+
+
 def op6_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate(table(spark, sf_dir, "conversations"))
 
