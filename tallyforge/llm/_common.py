@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -42,13 +43,16 @@ def cut(df: DataFrame, label: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete tables made by :func:`cut` that no later read needs."""
+    """Delete tables made by :func:`cut` that no later read needs, and let Spark drop shuffles nobody holds."""
     for df in tables:
         path = getattr(df, "_scratch_path", None)
         if path:
             spark = df.sparkSession
             p = spark._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    gc.collect()
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
 
 
 def match_spans(text: Column, pattern: str) -> Column:
