@@ -1,0 +1,102 @@
+"""Whole runs: a scan of projects, a usage report, a history report.  One job each over all projects or sources."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import dims
+from ..functions import scalars as S
+from ..operators import history, lines, paths, usage
+from ..sources import files as raw
+
+
+def scan(spark: SparkSession, roots: dict[str, str], scope: str = "SourceOnly", excludes: list[str] = dims.DEFAULT_EXCLUSIONS, own: list = (), tokens=None, max_bytes: int = dims.MAX_FILE_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(file metrics, warnings) of all projects.  ``tokens``: a function from a text column to its token count."""
+    entries = raw.source_tree(spark, roots, max_bytes)
+    ignore = entries.where(F.regexp_like("path", F.lit(r"(^|/)\.gitignore$")) & F.col("content").isNotNull())
+    listed = [
+        (r.project_id, r.path.rpartition("/")[0], r.t.splitlines())
+        for r in ignore.select("project_id", "path", F.try_validate_utf8(F.col("content").cast("string")).alias("t")).collect()
+        if r.t is not None
+    ]
+    rules = paths.rules_frame(spark, excludes, listed, own)
+    found, warnings = paths.scannable(entries.select("project_id", "path", "is_dir", "size"), rules, max_bytes)
+    chosen = paths.classify(found, scope)
+    texts = entries.select("project_id", "path", "content").join(chosen, ["project_id", "path"])
+    texts = texts.where(~lines.looks_binary(F.col("content"))).withColumn("text", lines.decode_text(F.col("content")))
+    broken = texts.where("text is null").select("project_id", "path", F.lit("not decodable").alias("warning"))
+    good = texts.where("text is not null").withColumn("tokens", tokens(F.col("text")) if tokens else F.lit(0).cast("long"))
+    metrics = lines.line_metrics(good)
+    columns = ["project_id", "path", "language", "category", F.col("size").alias("bytes"), "tokens", *lines.METRICS]
+    missing = [p for p, r in roots.items() if not __import__("os").path.isdir(r)]
+    absent = spark.createDataFrame([(p, "", "folder not found") for p in missing], "project_id string, path string, warning string")
+    out = metrics.select(*columns, S.extension_text(F.col("path")).alias("extension")).orderBy("project_id", F.upper("path"))
+    return out, warnings.unionByName(broken).unionByName(absent)
+
+
+def load_sources(sources: dict[str, Callable[[], DataFrame]], disabled: set[str] = frozenset()) -> tuple[DataFrame | None, dict[str, str]]:
+    """Records of all agents and each one's status; a source that fails is left out and told, the others go on.
+
+    Spark reads late, so each source is written to the cache inside its own try.
+    """
+    frames, status = [], {}
+    for agent, load in sources.items():
+        if agent in disabled:
+            status[agent] = "Disabled"
+            continue
+        try:
+            frame = load().cache()
+            status[agent] = "Loaded" if frame.count() else "Empty"
+            frames.append(frame)
+        except Exception as error:  # noqa: BLE001  told in the status
+            status[agent] = f"Failed: {type(error).__name__}"
+    out = None
+    for frame in frames:
+        out = frame if out is None else out.unionByName(frame)
+    return out, status
+
+
+def usage_report(records: DataFrame, tz: str = "UTC", since: int | None = None, until: int | None = None) -> dict[str, DataFrame]:
+    """Cube and sessions of agent records: window, first copy of each request, prices."""
+    kept = usage.with_agent_cost(usage.keep_first(usage.in_window(records, since, until)))
+    cube = usage.agent_cube(kept, tz)
+    return {"cube": cube, "sessions": usage.agent_sessions(kept), "totals": usage.rolled_up(cube)}
+
+
+def claude_report(records: DataFrame, tz: str = "UTC", since: int | None = None, until: int | None = None, dedupe: bool = True) -> dict[str, DataFrame]:
+    rows = usage.in_window(records, since, until)
+    kept = usage.best_copies(rows) if dedupe else rows.withColumnRenamed("ord", "pos")
+    return {
+        "stats": usage.dedup_stats(rows, dedupe), "basis": usage.app_basis(rows), "cube": usage.hourly_cube(kept, tz),
+        "sessions": usage.claude_sessions(kept), "summary": usage.summary(kept),
+    }
+
+
+def history_report(spark: SparkSession, repos: dict[str, str], start: int, end: int, scope: str = "SourceOnly", rules: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Activity of all repositories between two times (epoch seconds)."""
+    commits, diffs = raw.git_log(spark, repos), raw.git_diff(spark, repos, start, end)
+    keys = ["project_id", "hash"]
+
+    def counting(df: DataFrame, column: str, flag: str) -> DataFrame:
+        some = df.select("project_id", F.col(column).alias("path")).where("path is not null").distinct()
+        good = paths.classify(some, scope)
+        if rules is not None:
+            marks = paths.ignored(good.withColumn("is_dir", F.lit(False)), rules, ["project_id", "path"])
+            good = good.join(marks.where("not ignored"), ["project_id", "path"], "left_semi")
+        good = good.select("project_id", F.col("path").alias(column), F.lit(True).alias(flag))
+        return df.join(good, ["project_id", column], "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
+
+    entries = counting(counting(history.numstat_entries(diffs, "output"), "path", "counts"), "old_path", "old_counts")
+    plain = counting(history.numstat_entries(diffs, "plain"), "path", "counts")
+    changes = history.split_renames(entries, plain, keys)
+    # Each file's part of the patch, by the name it has after the change.
+    parts = diffs.select(*keys, F.explode(F.split("patch", r"(?m)^(?=diff --git )", -1)).alias("patch")).where("patch <> ''")
+    parts = parts.withColumn("path", F.regexp_extract("patch", r"(?m)^\+\+\+ (?:b/)?(.*?)\t?$", 1))
+    modified = history.modified_estimate(parts, [*keys, "path"])
+    changes = changes.join(modified, [*keys, "path"], "left").na.fill(0, ["modified"])
+    files = history.activity(commits, changes, start, end, commits.where("shallow").select("project_id").distinct())
+    totals = history.project_totals(commits, files, start, end)
+    return {"files": files, "projects": totals, "totals": history.grand_totals(totals)}
