@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,12 +27,12 @@ def scan(spark: SparkSession, roots: dict[str, str], scope: str = "SourceOnly",
     found, warnings = paths.scannable(entries.select("project_id", "path", "is_dir", "size"), rules, max_bytes)
     chosen = paths.classify(found, scope)
     texts = entries.select("project_id", "path", "content").join(chosen, ["project_id", "path"])
-    texts = texts.where(~lines.looks_binary(F.col("content"))).withColumn("text", lines.decode_text(F.col("content")))
+    texts = texts.where(~lines.looks_binary(F.col("content"))).withColumn("text", lines.decode_text(F.col("content"))).drop("content")
     broken = texts.where("text is null").select("project_id", "path", F.lit("not decodable").alias("warning"))
     good = texts.where("text is not null").withColumn("tokens", tokens(F.col("text")) if tokens else F.lit(0).cast("long"))
     metrics = lines.line_metrics(good)
     columns = ["project_id", "path", "language", "category", F.col("size").alias("bytes"), "tokens", *lines.METRICS]
-    missing = [p for p, r in roots.items() if not __import__("os").path.isdir(r)]
+    missing = [p for p, r in roots.items() if not os.path.isdir(r)]
     absent = spark.createDataFrame([(p, "", "folder not found") for p in missing], "project_id string, path string, warning string")
     out = metrics.select(*columns, S.extension_text(F.col("path")).alias("extension")).orderBy("project_id", F.upper("path"))
     return out, warnings.unionByName(broken).unionByName(absent)
