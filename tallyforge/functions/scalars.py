@@ -184,20 +184,20 @@ def token_text(n: Column) -> Column:
 
 
 def number_text(x: Column) -> Column:
-    return F.when(x.isNull(), DASH).otherwise(F.format_number(x.cast("double"), 0))
+    return F.when(x.isNull(), DASH).otherwise(F.format_number(F.round(x.cast("double")), 0))
 
 
 def signed_text(x: Column) -> Column:
-    size = F.format_number(F.abs(x.cast("double")), 0)
+    size = F.format_number(F.round(F.abs(x.cast("double"))), 0)
     return F.when(x.isNull(), DASH).when(size == "0", "0").when(x > 0, F.concat(F.lit("+"), size)).otherwise(F.concat(F.lit("-"), size))
 
 
 def currency_text(x: Column) -> Column:
-    return F.when(x.isNull(), DASH).otherwise(F.concat(F.lit("$"), F.format_number(x.cast("double"), 2)))
+    return F.when(x.isNull(), DASH).otherwise(F.concat(F.lit("$"), F.format_number(F.round(x.cast("double"), 2), 2)))
 
 
 def signed_currency_text(x: Column) -> Column:
-    size = F.concat(F.lit("$"), F.format_number(F.abs(x.cast("double")), 2))
+    size = F.concat(F.lit("$"), F.format_number(F.round(F.abs(x.cast("double")), 2), 2))
     return F.when(x.isNull(), DASH).when(x > 0, F.concat(F.lit("+"), size)).when(x < 0, F.concat(F.lit("-"), size)).otherwise("$0.00")
 
 
@@ -207,7 +207,7 @@ def percent_text(x: Column) -> Column:
 
 
 def cost_text(sessions: Column, cost: Column, partial: Column) -> Column:
-    shown = F.concat(F.lit("$"), F.format_number(cost, 2), F.when(partial, "*").otherwise(""))
+    shown = F.concat(F.lit("$"), F.format_number(F.round(cost, 2), 2), F.when(partial, "*").otherwise(""))
     return F.when((sessions == 0) | ((cost == 0) & partial), DASH).otherwise(shown)
 
 
