@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,6 +57,24 @@ def discard(*tables: DataFrame) -> None:
         tables[0].sparkSession._jvm.System.gc()
 
 
+@contextlib.contextmanager
+def bloom_filters(spark: SparkSession) -> Iterator[None]:
+    """Joins run in this block may filter their larger side by a Bloom filter of the other's keys, whatever their sizes.
+
+    The filter has a fixed most size (``spark.sql.optimizer.runtime.bloomFilter.maxNumBits``); a full one only filters less.
+    """
+    head = "spark.sql.optimizer.runtime.bloomFilter."
+    wanted = {f"{head}enabled": "true", f"{head}applicationSideScanSizeThreshold": "1", f"{head}creationSideThreshold": "64g"}
+    before = {k: spark.conf.get(k) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def match_spans(text: Column, pattern: str) -> Column:
     """All leftmost non-overlapping matches as array<struct<s,e,m>>, offsets in code points.
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._arrays import BYTE_VALUE, blocks, mix64, powers, raw
-from ._common import cut, discard
+from ._common import bloom_filters, cut, discard
 
 LENGTH, CORE = 200, 50
 GROUP_BYTES = 1 << 20
@@ -279,8 +279,10 @@ def _ranges_by_text(texts: DataFrame) -> DataFrame:
     listed = contexts.groupBy("first.k1", "first.size").agg(
         F.collect_list(F.struct("name", "context", F.col("first.at").alias("at"), "starts")).alias("runs")
     )
-    one = texts.join(listed, ["k1", "size"]).dropDuplicates(["k1", "size"]).select("text", "runs")
-    pieces = cut(one.mapInArrow(_cut_contexts, "name long, context long, bytes binary"), "suffix-pieces")
+    listed = cut(listed, "suffix-listed")
+    one = texts.join(listed.where(F.col("size") >= LENGTH), ["k1", "size"]).dropDuplicates(["k1", "size"]).select("text", "runs")
+    with bloom_filters(texts.sparkSession):  # most texts have no such run and stay out of the shuffle
+        pieces = cut(one.mapInArrow(_cut_contexts, "name long, context long, bytes binary"), "suffix-pieces")
     dealt = pieces.join(groups, "name")
     tasks = max(1, int((contexts.agg(F.sum("bytes")).first()[0] or 0) // TASK_BYTES))
     small = dealt.where(F.col("total") <= GROUP_BYTES).withColumn("task", F.pmod(F.xxhash64("name"), F.lit(tasks)))
@@ -300,7 +302,7 @@ def _ranges_by_text(texts: DataFrame) -> DataFrame:
     every = live.where("whole").select("k1", "size", "at", "starts", F.lit(None).cast("binary").alias("ranges"))
     both = some.unionByName(every)
     out = cut(both.groupBy("k1", "size").agg(F.collect_set(F.struct("at", "starts", "ranges")).alias("runs")), "suffix-ranges")
-    discard(live, names, pieces, contexts, decided)
+    discard(live, names, listed, pieces, contexts, decided)
     return out
 
 
