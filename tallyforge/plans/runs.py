@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import dims
 from ..functions import scalars as S
 from ..operators import history, lines, paths, usage
+from ..sources import agents, registry, sinks
 from ..sources import files as raw
 
 
@@ -101,3 +102,33 @@ def history_report(spark: SparkSession, repos: dict[str, str], start: int, end:
     files = history.activity(commits, changes, start, end, commits.where("shallow").select("project_id").distinct())
     totals = history.project_totals(commits, files, start, end)
     return {"files": files, "projects": totals, "totals": history.grand_totals(totals)}
+
+
+def usage_of(spark: SparkSession, where: registry.Home, tz: str = "UTC", disabled: set[str] = frozenset(), extra_transcripts: list[str] = (), out: str | None = None) -> dict:
+    """The usage of all agents found: records, each agent's status and the report; pages go to the folder ``out``.
+
+    The assistant's transcripts are deduplicated by best copy, over all time, before they join the others.
+    """
+    found = registry.detect(where)
+    folders = [f for f in [*registry.places("claude", where), *extra_transcripts] if os.path.isdir(f)]
+    loads: dict[str, Callable[[], DataFrame]] = {}
+    if folders:
+        loads["claude"] = lambda: usage.from_claude(registry.transcripts(spark, folders))
+    for agent, load in registry.LOADERS.items():
+        if found[agent]:
+            loads[agent] = lambda load=load: load(spark, where)
+    records, status = load_sources(loads, disabled)
+    status = {agent: status.get(agent, "Disabled" if agent in disabled else "NotFound") for agent in registry.PLACES}
+    if records is None:
+        return {"status": status, "records": None}
+    report = usage_report(records, tz)
+    if out:
+        os.makedirs(out, exist_ok=True)
+        shown = [(r.agent or "all", f"{r.input + r.cw + r.cr + r.output:,.0f} tokens, ${r.cost:,.2f}") for r in report["totals"].orderBy(F.col("agent").asc_nulls_first()).collect()]
+        labels = dict(agents.AGENTS) | {"claude": "Claude"}
+        payload = sinks.agent_payload({"title": "All agents", "tz": tz}, report["cube"], report["sessions"], {a: labels[a] for a in loads})
+        sinks.replace_file(os.path.join(out, "agents.html"), sinks.report_page("All agents", payload, shown))
+        stale = [n for n in os.listdir(out) if n.endswith(".html") and n != "agents.html"]
+        for name in stale:  # pages of agents that are gone
+            os.remove(os.path.join(out, name))
+    return {"status": status, "records": records} | report
