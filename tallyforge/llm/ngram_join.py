@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._arrays import blocks, mix64, powers, runs_of, span_hashes, words
-from ._common import cut, discard
+from ._common import bloom_filters, cut, discard
 from .graph import components
 
 WORDS = 5
@@ -196,7 +196,8 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     texts = df.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
     missing = clusters.where("node < 0")
     if missing.isEmpty():
-        wanted = texts.join(clusters, "node").dropDuplicates(["node"])
+        # Spark's own Bloom filter of at most 8 MB keeps most texts without a candidate out of the shuffle.
+        wanted = texts.join(clusters.where("node >= 0"), "node").dropDuplicates(["node"])
         wanted = wanted.select(F.col("node").alias("rep"), "cluster", "text")
         sets = wanted.mapInArrow(_sets, "rep long, cluster long, grams binary")
     else:  # some classes have no id: their texts are found by their words
@@ -204,7 +205,8 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         known = classes.select("rep", "seq", "n_words").join(clusters, F.col("rep") == F.col("node")).drop("node")
         wanted = with_seq.join(known, ["seq", "n_words"]).dropDuplicates(["rep"]).select("rep", "cluster", "text")
         sets = wanted.mapInArrow(_sets, "rep long, cluster long, grams binary")
-    sets = cut(sets, "near-sets")
+    with bloom_filters(spark):
+        sets = cut(sets, "near-sets")
     sizes = sets.groupBy(F.col("cluster").alias("c")).agg(F.count(F.lit(1)).alias("n"))
     few = F.col("n") <= BLOCK_ROWS
     tasks = max(1, sets.count() // (2 * BLOCK_ROWS))
