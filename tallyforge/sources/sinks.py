@@ -56,10 +56,9 @@ def guarded_csv(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(F.concat_ws(",", *[_guarded(df, c) for c in columns]).alias("line"))
 
 
-def write_lines(lines: DataFrame, folder: str, head: str) -> None:
-    """CSV parts in a folder, each with the head (the scalable form)."""
-    parts = lines.select(F.col("line").alias("value"))
-    parts.withColumnRenamed("value", head.replace(",", "|")).write.mode("overwrite").option("quote", "\u0000").csv(folder, header=False)
+def write_lines(lines: DataFrame, folder: str) -> None:
+    """CSV parts without a head, written by all tasks: the form for results that no one file should hold."""
+    lines.select("line").write.mode("overwrite").text(folder)
 
 
 def write_csv_file(lines: DataFrame, path: str, head: str, order: list[str] | None = None) -> None:

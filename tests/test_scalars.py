@@ -87,6 +87,10 @@ def test_csv_files(spark, tmp_path):
     sinks.write_csv_file(sinks.scan_csv(df), str(tmp_path / "s.csv"), sinks.SCAN_HEAD)
     data = (tmp_path / "s.csv").read_bytes().decode()
     assert data == "﻿" + sinks.SCAN_HEAD + '\r\n"=p","a""b",".x","L",SourceCode,0,1,2,3,4,5,6,7\r\n'
+    sinks.write_lines(sinks.scan_csv(df), str(tmp_path / "parts"))
+    assert spark.read.text(str(tmp_path / "parts")).count() == 1
+    themes = spark.createDataFrame([('{"a":{"theme":1},"theme":"dark"}',), ("{",)], "t string")
+    assert [r[0] for r in themes.select(sinks.top_level_text(themes, "t", "theme")).collect()] == ["dark", None]
     g = spark.createDataFrame([("=x", 1.5, None, True)], "a string, b double, c string, d boolean")
     assert [r.line for r in sinks.guarded_csv(g, list("abcd")).collect()] == ['"\'=x","1.5","","True"']
     assert [r.line for r in sinks.to_json_rows(spark.createDataFrame([(1,)], "some_name int")).collect()] == ['{"someName":1}']
