@@ -249,8 +249,9 @@ def _with_words(batches):
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` with one document of each group, that with the smallest id; rows without an id stay, once a group."""
+    """``df`` with one document of each group, that with the smallest id; of rows without an id, one of each text stays."""
     groups = near_groups(df, id_col, text_col)
-    first = groups.groupBy("group_id").agg(F.min("id").alias("_id")).select("_id")
-    kept = df.join(first, F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
-    return kept.dropDuplicates([id_col]).select(*df.columns)
+    first = groups.groupBy("group_id").agg(F.min("id").alias("_id")).where("_id is not null").select("_id")
+    kept = df.join(first, F.col(id_col) == F.col("_id"), "left_semi").dropDuplicates([id_col])
+    alone = df.where(F.col(id_col).isNull()).withColumn("_text", F.xxhash64(text_col)).dropDuplicates(["_text"])
+    return kept.select(*df.columns).unionByName(alone.select(*df.columns))

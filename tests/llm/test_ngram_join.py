@@ -69,6 +69,7 @@ def test_odd_rows(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     got = join.near_groups(df).collect()
     assert sorted((r.id or 0, r.n_copies, r.n_links) for r in got) == [(0, 2, 0), (0, 2, 0), (5, 2, 0), (5, 2, 0)]
+    assert sorted((r.doc_id or 0, r.text) for r in join.keep_one(df).collect()) == [(0, "a b c d e f"), (5, "q r s")]
     assert join.near_groups(df.limit(0)).count() == 0
 
 
