@@ -1,6 +1,6 @@
 """Python data sources: source trees (with names that begin with a point), SQLite tables, Git logs and diffs.
 
-They read what a folder on each executor's machine or a shared mount holds; one partition a root, database or repository.
+They read what a folder on each executor's machine or a shared mount holds; a partition a top folder, database or repository.
 """
 
 from __future__ import annotations
@@ -38,9 +38,10 @@ class _Reader(DataSourceReader):
             yield from self.read_one(*partition.value)
 
 
-def walk(project: str, root: str, max_bytes: int, pattern: str, prune: str) -> Iterator[tuple]:
-    """Entries below a root; links are skipped, unreadable folders too, and folders that match ``prune`` are not entered."""
-    todo, name_ok, shut = [""], re.compile(pattern), re.compile(prune) if prune else None
+def walk(project: str, root: str, max_bytes: int, pattern: str, prune: str, start: str = "", deep: bool = True) -> Iterator[tuple]:
+    """Entries below a folder of a root, or only those in it; links are skipped, unreadable folders too, and folders that match
+    ``prune`` are not entered."""
+    todo, name_ok, shut = [start], re.compile(pattern), re.compile(prune) if prune else None
     while todo:
         folder = todo.pop()
         try:
@@ -54,7 +55,7 @@ def walk(project: str, root: str, max_bytes: int, pattern: str, prune: str) -> I
                     continue
                 info = e.stat()
                 if e.is_dir():
-                    if not (shut and shut.search(path)):
+                    if deep and not (shut and shut.search(path)):
                         todo.append(path)
                     yield project, path, True, 0, int(info.st_mtime * 1000), None
                 elif name_ok.search(e.name):
@@ -81,7 +82,12 @@ class SourceTree(DataSource):
         o = self.options
         most, names, prune = int(o.get("max_bytes", 5 << 20)), o.get("names", "."), o.get("prune", "")
         roots = [line.split("\t", 1) for line in o.get("roots", "").split("\n") if line]
-        return _Reader([(p, r, most, names, prune) for p, r in roots], walk)
+        parts = []  # a task for what stands in a root, and one for each folder there
+        for project, root in roots:
+            tops = [path for _, path, is_dir, *_ in walk(project, root, -1, "^$", "", deep=False) if is_dir]
+            parts.append((project, root, most, names, prune, "", False))
+            parts += [(project, root, most, names, prune, path, True) for path in tops if not (prune and re.search(prune, path))]
+        return _Reader(parts, walk)
 
 
 def read_sqlite(path: str, table: str, columns: list[str]) -> Iterator[tuple]:
