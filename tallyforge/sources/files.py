@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.window import Window
 
+from ..session import ship_package
+
 TREE = "project_id string, path string, is_dir boolean, size long, modified long, content binary"
 
 
@@ -215,6 +217,7 @@ class GitDiff(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    ship_package(spark)
     for source in (SourceTree, SqliteTable, GitLog, GitDiff):
         spark.dataSource.register(source)
 
