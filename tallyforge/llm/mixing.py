@@ -4,7 +4,7 @@ Targets.  Each source gets its weight's share of the words; a source whose share
 is clamped there and what it leaves goes to the others by weight, again and again until no share is above its cap.
 
 Sampling.  target / size = whole + fraction.  Every document is taken ``whole`` times; documents worth the fraction are
-taken once more: those first in a seeded hash order, up to the words wanted.  What the last one leaves open is closed by at
+taken once more: those first in a seeded hash order, up to the words wanted, without documents longer than that.  What the last one leaves open is closed by at
 most ``FINE`` steps, each taking one document of the source once more or once less.  The order is cut with sums over hash buckets, so no task sees a whole source.
 
 Defined cases: null text has no words; null is a source of its own and the last in order; sources without words get
@@ -67,47 +67,41 @@ def mix(
         .withColumn("row", F.monotonically_increasing_id()),
         "mix-docs",
     )
-    buckets = cut(docs.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "mix-buckets")
     ranked = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
-    sources = cut(
-        buckets.groupBy("source")
-        .agg(F.sum("words").alias("source_size"))
-        .withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.pmod(ranked - 1, F.lit(len(weights))) + 1).cast("int"))),
-        "mix-sources",
-    )
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(ranked - 1, F.lit(len(weights))) + 1).cast("int"))
+    sources = cut(docs.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("weight", weight), "mix-sources")
     plan = water_fill(sources, max_epochs)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     plan = plan.withColumn("whole", F.floor(ratio + F.lit(1e-12)).cast("long")).withColumn(
         "want", F.greatest(F.lit(0), F.round(F.col("target") - F.col("whole") * F.col("source_size"))).cast("long")
     )
-    plan = plan.select(F.col("source").alias("src"), "source_size", "target", "whole", "want")
+    plan = cut(plan.select(F.col("source").alias("src"), "source_size", "target", "whole", "want"), "mix-plan")
     same = F.col("source").eqNullSafe(F.col("src"))
+    able = F.col("size") <= F.col("want")  # a longer document cannot be part of the fraction
+    buckets = cut(docs.join(plan, same).where(able).groupBy("source", "bucket").agg(F.sum("size").alias("words")), "mix-buckets")
     # The bucket in which the wanted words run out: all before it are taken.
     run = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edge = (
+    ends = (
         buckets.withColumn("upto", F.sum("words").over(run))
         .join(plan, same)
-        .groupBy("src")
+        .groupBy(F.col("source").alias("source2"))
         .agg(
-            F.first("source_size").alias("source_size"),
-            F.first("target").alias("target"),
-            F.first("whole").alias("whole"),
-            F.first("want").alias("want"),
             F.min(F.when(F.col("upto") > F.col("want"), F.col("bucket"))).alias("edge"),
-            F.coalesce(F.max(F.when(F.col("upto") <= F.col("want"), F.col("upto"))), F.lit(0)).alias("before"),
+            F.max(F.when(F.col("upto") <= F.col("want"), F.col("upto"))).alias("before"),
         )
     )
-    edge = cut(edge, "mix-edge")
+    edge = plan.join(ends, F.col("src").eqNullSafe(F.col("source2")), "left").drop("source2")
+    edge = cut(edge.withColumn("before", F.coalesce("before", F.lit(0))), "mix-edge")
     dealt = docs.join(edge, same)
     in_edge = Window.partitionBy("source").orderBy("h", "key", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     split = cut(
-        dealt.where(F.col("bucket") == F.col("edge"))
+        dealt.where(able & (F.col("bucket") == F.col("edge")))
         .withColumn("upto", F.col("before") + F.sum("size").over(in_edge))
         .select("row", (F.col("upto") <= F.col("want")).alias("fits")),
         "mix-split",
     )
     marked = dealt.join(split, "row", "left").withColumn(
-        "extra", F.coalesce(F.col("fits"), F.coalesce(F.col("bucket") < F.col("edge"), F.lit(True)))
+        "extra", able & F.coalesce(F.col("fits"), F.col("bucket") < F.col("edge"), F.lit(True))
     )
     marked = cut(marked.select("id", "key", "source", "size", "source_size", "target", "whole", "want", "row", "h", "extra"), "mix-marked")
     times, steps = F.col("whole") + F.col("extra").cast("long"), None
@@ -128,7 +122,7 @@ def mix(
         steps = best if steps is None else steps.unionByName(best)
     out = _stepped(marked, steps).withColumn("times", times + F.col("step"))
     out = out.select("id", "source", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times", "key")
-    discard(docs, buckets, sources, edge, split)
+    discard(docs, buckets, sources, plan, edge, split)
     return out
 
 
