@@ -441,6 +441,21 @@ def binary_sniff(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", lines.looks_binary(body).alias("binary"))
 
 
+# Whole texts, with control bytes put in before (1) or behind (3) the end of the window of long texts.
+_SNIFFED = """substr(coalesce(text, ''), 1, CASE doc_id % 4 WHEN 1 THEN 4000 ELSE 9000 END) || repeat(chr(1) || chr(2), CASE WHEN doc_id % 4 IN (1, 3) THEN CAST(doc_id % 300 AS INT) ELSE 0 END)
+  || substr(coalesce(text, ''), CASE doc_id % 4 WHEN 1 THEN 4001 ELSE 9001 END)"""
+
+
+@query(f"""WITH h AS (SELECT doc_id, {_SNIFFED} AS t, doc_id % 7 = 0 AS z FROM documents),
+b AS (SELECT doc_id, z, octet_length(encode(t)) AS size, hex(encode(t))[1:16384] AS x FROM h),
+n AS (SELECT doc_id, z AND size < 8192 AS z, length(x) // 2 AS n, len(list_filter(regexp_extract_all(x, '..'), lambda p: regexp_matches(p, '^(0[0-7BCEF]|1[0-9A-F])$'))) AS c FROM b)
+SELECT doc_id, z OR c > n // 20 AS binary FROM n""")
+def binary_sniff_all(spark, sf_dir):
+    # The zero at the end is seen if it stands among the first 8192 bytes.
+    body = F.concat(F.expr(_SNIFFED).cast("binary"), F.when(F.col("doc_id") % 7 == 0, F.unhex(F.lit("00"))).otherwise(F.unhex(F.lit(""))))
+    return table(spark, sf_dir, "documents").select("doc_id", lines.looks_binary(body).alias("binary"))
+
+
 @query("""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'changed' WHEN doc_id % 5 = 0 THEN 'new' ELSE 'reusable' END AS state FROM documents""")
 def incremental_manifest(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")

@@ -14,3 +14,17 @@ def test_every_event_is_a_scan(spark):
     assert {(r.date, r.project_id) for r in catalogue.QUERIES["daily_upsert_all"](spark, SF).collect()} == want
     found = {r.project_id: r.is_carried for r in catalogue.QUERIES["daily_effective_all"](spark, SF).collect()}
     assert set(found) == {f"u{k}" for k in range(6)} and found["u1"]
+
+
+def test_the_whole_window_is_sniffed(spark):
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    want, behind, late = {}, 0, 0
+    for i, text in docs.items():
+        at = 4000 if i % 4 == 1 else 9000
+        data = (text[:at] + "\x01\x02" * (i % 300 if i % 4 in (1, 3) else 0) + text[at:]).encode() + b"\x00" * (i % 7 == 0)
+        head = data[:8192]
+        want[i] = 0 in head or sum(b < 8 or b in (11, 12, 14, 15) or 16 <= b < 32 for b in head) > len(head) // 20
+        behind += 0 in data and 0 not in head
+        late += want[i] and len(text) > 4000
+    assert behind and late
+    assert {r.doc_id: r.binary for r in catalogue.QUERIES["binary_sniff_all"](spark, SF).collect()} == want
