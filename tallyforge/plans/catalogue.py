@@ -738,6 +738,14 @@ def csv_guard_html_escape(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", S.csv_cell(S.formula_guard(s)).alias("cell"), S.html_escape(s).alias("html"))
 
 
+@query(ORACLES["csv_guard_html_escape"].replace("substr(coalesce(text, ''), 1, 40)", "coalesce(text, '')"))
+def csv_guard_html_escape_all(spark, sf_dir):
+    """Whole texts."""
+    first = F.element_at(F.array(*map(F.lit, ["=", "+", "-", "@", "\t", 'x"', "<b>&"])), (F.col("doc_id") % 7 + 1).cast("int"))
+    s = F.concat(first, F.coalesce("text", F.lit("")))
+    return table(spark, sf_dir, "documents").select("doc_id", S.csv_cell(S.formula_guard(s)).alias("cell"), S.html_escape(s).alias("html"))
+
+
 @query(f"WITH {AGENT} SELECT day, hour, model, round(sum(cost), 9) AS cost FROM acube GROUP BY ALL")
 def payload_hours(spark, sf_dir):
     """The cube through the nested document of the page and back."""

@@ -28,3 +28,12 @@ def test_the_whole_window_is_sniffed(spark):
         late += want[i] and len(text) > 4000
     assert behind and late
     assert {r.doc_id: r.binary for r in catalogue.QUERIES["binary_sniff_all"](spark, SF).collect()} == want
+
+
+def test_whole_texts_are_escaped(spark):
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert any(c in t[40:] for t in docs.values() for c in '"<>&')
+    for r in catalogue.QUERIES["csv_guard_html_escape_all"](spark, SF).collect():
+        s = ["=", "+", "-", "@", "\t", 'x"', "<b>&"][r.doc_id % 7] + docs[r.doc_id]
+        assert r.cell == '"' + ("'" * (r.doc_id % 7 < 5) + s).replace('"', '""') + '"'
+        assert r.html == s.replace("&", "&#38;").replace("<", "&#60;").replace(">", "&#62;").replace('"', "&#34;")
