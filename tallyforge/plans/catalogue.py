@@ -560,6 +560,14 @@ def daily_compare_languages(spark, sf_dir):
     return dailylog.compare_languages(docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1"))
 
 
+@query(ORACLES["daily_compare_languages"].replace(" WHERE NOT (lang = 'de' AND doc_id % 2 = 0)", "").replace("doc_id % 2 AS side", "CASE WHEN lang = 'de' THEN 1 ELSE doc_id % 2 END AS side"))
+def daily_compare_languages_all(spark, sf_dir):
+    """Every document; the language of one side is on that side by a derived column."""
+    docs = doc_metrics(spark, sf_dir).withColumn("side", F.when(F.col("lang") == "de", 1).otherwise(F.col("doc_id") % 2))
+    docs = docs.select("doc_id", F.col("lang").alias("language"), F.lit(dims.TEXT).alias("category"), "physical", F.col("content").alias("code"), "side")
+    return dailylog.compare_languages(docs.where("side = 0").drop("side"), docs.where("side = 1").drop("side"))
+
+
 @query(_pair_sql("""SELECT (SELECT array_to_string(list_sort(list(DISTINCT scope || '/' || lower(tokenizer))), '+') FROM (SELECT * FROM a UNION ALL SELECT * FROM b)) AS contracts,
 (SELECT count(DISTINCT scope) > 1 FROM (SELECT * FROM a UNION ALL SELECT * FROM b)) AS differ, (SELECT bool_or(is_carried) FROM a) AS carried_a, (SELECT bool_or(is_carried) FROM b) AS carried_b"""))
 def daily_contract(spark, sf_dir):
@@ -693,6 +701,13 @@ def export_with_status(spark, sf_dir):
     return history.export_rows(projects.withColumn("status", F.lit("OK")), files.where("project_id <> 'r3'"), history.grand_totals(projects))
 
 
+@query(ORACLES["export_with_status"].replace(" WHERE project_id <> 'r3'", ""))
+def export_with_status_all(spark, sf_dir):
+    """Every project's files."""
+    files, projects = _history(spark, sf_dir)
+    return history.export_rows(projects.withColumn("status", F.lit("OK")), files, history.grand_totals(projects))
+
+
 _PATCHES = [
     ("a", "diff --git a/x b/x\n@@ -1 +1,2 @@\n-a\n+b\n+c\n@@ -9,2 +10 @@\n-x\n-y\n\\ No newline at end of file\n+z"),
     ("b", "diff --git a/x b/x\n--- a/x\n+++ b/x\n@@ -1 +1 @@\n-a\n context\n+b\ndiff --git a/y b/y\n-q\n+q\n@@ -1 +1 @@\n-1\n+2"),

@@ -1,5 +1,8 @@
 """Queries named _all leave nothing out."""
 
+from pyspark.sql import functions as F
+
+from tallyforge.operators import history
 from tallyforge.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -37,3 +40,19 @@ def test_whole_texts_are_escaped(spark):
         s = ["=", "+", "-", "@", "\t", 'x"', "<b>&"][r.doc_id % 7] + docs[r.doc_id]
         assert r.cell == '"' + ("'" * (r.doc_id % 7 < 5) + s).replace('"', '""') + '"'
         assert r.html == s.replace("&", "&#38;").replace("<", "&#60;").replace(">", "&#62;").replace('"', "&#34;")
+
+
+def test_every_line_is_compared(spark):
+    rows = {r.language: r for r in catalogue.QUERIES["daily_compare_languages_all"](spark, SF).collect()}
+    want = {r.lang: r.n for r in catalogue.doc_metrics(spark, SF).groupBy("lang").agg({"physical": "sum"}).toDF("lang", "n").collect()}
+    assert {k: r.lines_a + r.lines_b for k, r in rows.items()} == want
+    assert rows["de"].lines_a == 0 < rows["de"].lines_b
+
+
+def test_every_file_is_exported(spark):
+    files, projects = catalogue._history(spark, SF)
+    rows = catalogue.QUERIES["export_with_status_all"](spark, SF).where("record_type = 'File'")
+    assert sorted((r.project, r.path) for r in rows.collect()) == sorted((r.project_id, r.path) for r in files.collect())
+    total = history.grand_totals(projects)
+    some = history.export_rows(projects.withColumn("status", F.lit("OK")), files.where("project_id <> 'r3'"), total).where("project = 'r3'").collect()
+    assert [(r.record_type, r.path) for r in some] == [("ProjectStatus", None)]
