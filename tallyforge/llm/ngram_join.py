@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from ._arrays import blocks, mix64, powers, runs_of, span_hashes, words
 from ._common import bloom_filters, cut, discard
@@ -179,32 +180,36 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     group_id: smallest id of the texts joined by links, directly or over others; copy_of: smallest id of the texts with
     the same words; n_copies: how many those are; n_links: how many different texts are linked to this one.
     """
+    return _grouped(df, id_col, text_col).select("id", "group_id", "copy_of", "n_copies", "n_links")
+
+
+def _grouped(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``near_groups`` with the class (seq, n_words) of each row and the root of its group, whatever its id."""
     spark = df.sparkSession
     kind = "id long, seq long, n_words int, keys array<long>"
     rows = cut(df.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(_signatures(prefix_depth()), kind), "near-rows")
-    # A class without any id is known by a number that no id has.
-    alone = F.coalesce(F.min("id"), -F.abs(F.first("seq")) - 1)
+    # A class is known by its hash of the words and their number, as ids may be null or stand at different texts.
     classes = cut(
-        rows.groupBy("seq", "n_words").agg(alone.alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.first("keys").alias("keys")),
+        rows.groupBy("seq", "n_words").agg(F.min("id").alias("low_id"), F.count(F.lit(1)).alias("n_copies"), F.first("keys").alias("keys")),
         "near-classes",
     )
-    paths_ = classes.where("n_words > 0").select("rep", F.posexplode("keys").alias("tree", "key")).drop("tree")
+    paths_ = classes.where("n_words > 0").select(F.col("seq").alias("rep"), F.posexplode("keys").alias("tree", "key")).drop("tree")
     buckets = paths_.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
     ties = paths_.join(buckets, "key").where("rep != low").select(F.col("rep").alias("a"), F.col("low").alias("b"))
     clusters = cut(components(ties).withColumnRenamed("root", "cluster"), "near-clusters")
     # One text of each class that has a candidate.
-    texts = df.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
-    missing = clusters.where("node < 0")
-    if missing.isEmpty():
+    known = classes.select("seq", "n_words", "low_id").join(clusters, F.col("seq") == F.col("node")).drop("node")
+    known = cut(known, "near-known").where("n_words > 0")
+    at_low = rows.select("id", F.col("seq").alias("_seq"), F.col("n_words").alias("_n")).join(known, F.col("id") == F.col("low_id"))
+    if known.where("low_id is null").isEmpty() and at_low.where("_seq != seq or _n != n_words").isEmpty():
         # Spark's own Bloom filter of at most 8 MB keeps most texts without a candidate out of the shuffle.
-        wanted = texts.join(clusters.where("node >= 0"), "node").dropDuplicates(["node"])
-        wanted = wanted.select(F.col("node").alias("rep"), "cluster", "text")
-        sets = wanted.mapInArrow(_sets, "rep long, cluster long, grams binary")
-    else:  # some classes have no id: their texts are found by their words
+        texts = df.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
+        wanted = texts.join(known, F.col("node") == F.col("low_id")).dropDuplicates(["node"])
+    else:  # some classes have no id of their own: texts are found by their words
         with_seq = df.select(F.col(text_col).alias("text")).mapInArrow(_with_words, "text string, seq long, n_words int")
-        known = classes.select("rep", "seq", "n_words").join(clusters, F.col("rep") == F.col("node")).drop("node")
-        wanted = with_seq.join(known, ["seq", "n_words"]).dropDuplicates(["rep"]).select("rep", "cluster", "text")
-        sets = wanted.mapInArrow(_sets, "rep long, cluster long, grams binary")
+        wanted = with_seq.join(known, ["seq", "n_words"]).dropDuplicates(["seq"])
+    wanted = wanted.select(F.col("seq").alias("rep"), "cluster", "text")
+    sets = wanted.mapInArrow(_sets, "rep long, cluster long, grams binary")
     with bloom_filters(spark):
         sets = cut(sets, "near-sets")
     sizes = sets.groupBy(F.col("cluster").alias("c")).agg(F.count(F.lit(1)).alias("n"))
@@ -226,16 +231,21 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     )
     links = checked.groupBy("rep").agg(F.sum("links").alias("n_links"))
     roots = components(checked.select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    # The smallest id of a class or group; without any id, a number of its own.
+    own = F.coalesce("low_id", -F.abs("seq") - 1)
+    joined = classes.join(roots, F.col("seq") == F.col("node")).groupBy("root")
+    ids = joined.agg(F.coalesce(F.min("low_id"), F.min(own)).alias("group_id"))
     info = (
-        classes.select("seq", "n_words", "rep", "n_copies")
-        .join(links, "rep", "left")
-        .join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("seq", "n_words", "rep", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root", "rep").alias("group_id"))
-    )
+        classes.select("seq", "n_words", own.alias("copy_of"), "n_copies")
+        .join(links, F.col("seq") == F.col("rep"), "left")
+        .join(roots.join(ids, "root"), F.col("seq") == F.col("node"), "left")
+        .select(
+            "seq", "n_words", "copy_of", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"),
+            F.coalesce("group_id", "copy_of").alias("group_id"), F.coalesce("root", "seq").alias("root"),
+        )
+    )
     discard(sets, clusters)
-    return rows.select("id", "seq", "n_words").join(info, ["seq", "n_words"]).select(
-        "id", "group_id", F.col("rep").alias("copy_of"), "n_copies", "n_links"
-    )
+    return rows.select("id", "seq", "n_words").join(info, ["seq", "n_words"])
 
 
 def _with_words(batches):
@@ -248,10 +258,37 @@ def _with_words(batches):
             )
 
 
+def _tagged(where: int):
+    """Rows with the class of their text in column ``where``."""
+
+    def run(batches):
+        for batch in batches:
+            for lo, hi, buf, offs in blocks(batch.column(where)):
+                _, _, count, whole = shingles(buf, offs)
+                tags = [pa.array(whole.view(np.int64)), pa.array(count.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, *tags], names=[*batch.schema.names, "_seq", "_n"])
+
+    return run
+
+
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` with one document of each group, that with the smallest id; of rows without an id, one of each text stays."""
-    groups = near_groups(df, id_col, text_col)
-    first = groups.groupBy("group_id").agg(F.min("id").alias("_id")).where("_id is not null").select("_id")
-    kept = df.join(first, F.col(id_col) == F.col("_id"), "left_semi").dropDuplicates([id_col])
-    alone = df.where(F.col(id_col).isNull()).withColumn("_text", F.xxhash64(text_col)).dropDuplicates(["_text"])
-    return kept.select(*df.columns).unionByName(alone.select(*df.columns))
+    """``df`` with one row of each group, that with the smallest id, or any if none has an id."""
+    groups = cut(_grouped(df, id_col, text_col).select("id", "seq", "n_words", "root"), "near-kept")
+    least = F.min(F.struct(F.col("id").isNull(), "id", "seq", "n_words"))
+    first = groups.groupBy("root").agg(least.alias("f")).select(F.col("f.id").alias("_id"), F.col("f.seq").alias("_s"), F.col("f.n_words").alias("_w"))
+    first = cut(first, "near-first")
+    # Ids that stand at texts of different classes; like null, they do not tell which row stays.
+    key = F.struct("seq", "n_words")
+    shared = groups.where("id is not null").groupBy("id").agg(F.min(key).alias("a"), F.max(key).alias("b")).where("a != b").select("id")
+    shared = cut(shared, "near-shared")
+    first_shared = first.join(shared, F.col("_id") == F.col("id"), "left_semi")
+    if first.where("_id is null").isEmpty() and shared.isEmpty():
+        return df.join(first, F.col(id_col) == F.col("_id"), "left_semi").dropDuplicates([id_col]).select(*df.columns)
+    plain = first.where("_id is not null").join(shared, F.col("_id") == F.col("id"), "left_anti")
+    kept = df.join(plain, F.col(id_col) == F.col("_id"), "left_semi").dropDuplicates([id_col])
+    rest = df.where(F.col(id_col).isNull()).unionByName(df.join(first_shared, F.col(id_col) == F.col("_id"), "left_semi"))
+    schema = StructType([*df.schema.fields, StructField("_seq", LongType()), StructField("_n", IntegerType())])
+    rest = rest.mapInArrow(_tagged(df.columns.index(text_col)), schema)
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_seq") == F.col("_s")) & (F.col("_n") == F.col("_w"))
+    rest = rest.join(first, same, "left_semi").dropDuplicates([id_col, "_seq", "_n"])
+    return kept.select(*df.columns).unionByName(rest.select(*df.columns))

@@ -77,3 +77,17 @@ def test_the_prefix_is_as_long_as_recall_allows():
     d = join.prefix_depth()
     miss = [(1 - 0.8**k) ** join.TREES for k in (d, d + 1)]
     assert miss[0] <= 1 - join.RECALL < miss[1]
+
+
+def test_ids_do_not_stand_for_rows(spark):
+    a, b, c, d = (" ".join(f"{k}{i}" for i in range(60)) for k in "abcd")
+    texts = [(1, a), (1, b), (2, b + " end"), (None, a + " end"), (None, c), (None, c + " end"), (1, d + " end"), (0, d), (7, ""), (None, " ")]
+    df = spark.createDataFrame([(*r, "x", 1, 2) for r in texts], SCHEMA)
+    got = [(r.id, r.group_id, r.copy_of, r.n_copies, r.n_links) for r in join.near_groups(df).collect()]
+    assert sorted(r[4] for r in got) == [0, 0] + [1] * 8
+    nulls = sorted(r[1] for r in got if r[0] is None)
+    assert nulls[0] == nulls[1] < 0 and nulls[2:] == [1, 7]
+    assert [r[1] for r in got if r[0] == 2] == [1] and [r[1] for r in got if r[0] == 0] == [0]
+    kept = sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in join.keep_one(df).collect())
+    assert [k[:2] for k in kept] == [(False, 0), (False, 1), (False, 1), (False, 7), (True, 0)]
+    assert [k[2] for k in kept[:4]] == [d, a, b, ""] and kept[4][2] in (c, c + " end")
