@@ -199,9 +199,9 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", prec
     keep = lambda c: c["base"]
     if model and model[4] is not None:
         chosen = probability(model, F.col("mask"))
-        masks = seen.where("c.label < 0").select("c.mask").distinct().withColumn("p", chosen)
+        masks = seen.where("not c.base").select("c.mask").distinct().withColumn("p", chosen)
         good = [r[0] for r in masks.where(F.col("p") >= model[4]).select("mask").collect()]  # at most 2 ** 16
-        keep = lambda c: c["base"] | ((c["label"] < 0) & c["mask"].isin(good))
+        keep = lambda c: c["base"] | c["mask"].isin(good)
     return rows.select(id_col, F.filter("cands", keep).alias("spans"))
 
 

@@ -77,6 +77,13 @@ def test_boosting_learns_a_pattern():
     assert pii.boost({(0, 1, 3): 5}) is None
 
 
+def test_rule_failures_are_scored(spark):
+    texts = ["card 4111111111111111"] * 80 + ["seen at 999.1.1.1"] * 40 + ["card 4111111111111112"]
+    got = {r.doc_id: r for r in pii.pii_digests(spark.createDataFrame(rows_of(texts), SCHEMA)).collect()}
+    assert got[120].n_card == 0 and got[120].base_sha256 == brute.sha("") and got[120].spans == "card:5:21"
+    assert got[100].spans == "" and got[0].spans == "card:5:21" and got[0].n_card == 1
+
+
 def test_exact_dedup(spark):
     texts = ["Ab", "aB", None, "", "É", "é", "x" * 100_000, "X" * 100_000, "one"] + ["hot"] * 300
     rows = rows_of(texts) + [(3000, "hot", None, None, None, None, None, None)] * 2 + [(None, "one", None, None, 0, 0, 0, 0)]
