@@ -1,7 +1,8 @@
 """Quality classifier: a factorisation machine over hashed words and structure statistics.
 
 A text is a sparse vector of length 1: hashed words with the square root of their share of the words, and each
-structure statistic (and the length) as one of ``BINS`` bins.  The score is
+structure statistic (and the length) as one of ``BINS`` bins; the metadata ``n_chars`` is one more, with a bin of its own for
+null or a table without it.  The score is
 sigmoid(w0 + sum w_i x_i + 1/2 sum_f ((sum v_if x_i)^2 - sum v_if^2 x_i^2)): all pairs of features interact at the cost of
 one pass.  Labels, language, source and identifiers are no features.
 
@@ -26,7 +27,8 @@ from ._arrays import IS_SPACE, blocks, runs_of, span_hashes, words
 
 HASH_BITS = 14
 STATS, BINS = 11, 12
-WIDTH = (1 << HASH_BITS) + STATS * BINS
+META = (1 << HASH_BITS) + STATS * BINS  # first feature of the metadata; its last is null
+WIDTH = META + BINS + 1
 RANK = 8
 MAX_TRAIN = 6000
 STAT_SHARE = 0.5  # of a vector's squared length
@@ -52,7 +54,18 @@ def _classes() -> np.ndarray:
 KIND = _classes()
 
 
-def vectors(column) -> "list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]":
+def metadata(df: DataFrame) -> Column:
+    """``n_chars`` of a row, null if there is none."""
+    return F.col("n_chars").cast("long") if "n_chars" in df.columns else F.lit(None).cast("long")
+
+
+def meta_bins(n_chars: pa.Array) -> np.ndarray:
+    known = n_chars.is_valid().to_numpy(zero_copy_only=False)
+    size = np.maximum(n_chars.fill_null(0).to_numpy(zero_copy_only=False).astype(float), 0)
+    return META + np.where(known, np.minimum((np.log2(size + 1) / 20 * BINS).astype(np.int64), BINS - 1), BINS)
+
+
+def vectors(column, n_chars) -> "list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]":
     """For each block of texts: first row, end row, row of each entry, feature, value; sorted by row and feature."""
     for lo, hi, buf, offs in blocks(column):
         n, size = hi - lo, np.diff(offs).astype(float)
@@ -88,9 +101,9 @@ def vectors(column) -> "list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]
             ]
         )
         bins = np.minimum((stats * BINS).astype(np.int64), BINS - 1) + np.arange(STATS)[:, None] * BINS + (1 << HASH_BITS)
-        of = np.concatenate([of, np.tile(np.arange(n), STATS)])
-        feature = np.concatenate([feature, bins.ravel()])
-        value = np.concatenate([value, np.full(n * STATS, np.sqrt(STAT_SHARE / STATS))])
+        of = np.concatenate([of, np.tile(np.arange(n), STATS + 1)])
+        feature = np.concatenate([feature, bins.ravel(), meta_bins(n_chars.slice(lo, n))])
+        value = np.concatenate([value, np.full(n * (STATS + 1), np.sqrt(STAT_SHARE / (STATS + 1)))])
         order = np.argsort(of, kind="stable")
         yield lo, hi, of[order], feature[order].astype(np.int32), value[order].astype(np.float32)
 
@@ -140,7 +153,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], rank: int = RANK, epochs
 
 def _vector_rows(batches):
     for batch in batches:
-        for lo, hi, of, feature, value in vectors(batch.column(1)):
+        for lo, hi, of, feature, value in vectors(batch.column(1), batch.column(2)):
             at = runs_of(of, hi - lo)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -161,8 +174,8 @@ def train(df: DataFrame, labels: DataFrame, allowed: Column, id_col: str = "doc_
         .orderBy(F.xxhash64("_id"), "_id", "_label")
         .limit(max_train)
     )
-    texts = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.col("_text").isNotNull())
-    rows = texts.join(F.broadcast(some), "_id").select("_label", "_text")  # at most max_train rows of two numbers
+    texts = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), metadata(df).alias("_n_chars")).where(F.col("_text").isNotNull())
+    rows = texts.join(F.broadcast(some), "_id").select("_label", "_text", "_n_chars")  # at most max_train rows of two numbers
     got = rows.mapInArrow(_vector_rows, "label int, features binary, values binary").collect()
     examples = [(np.frombuffer(r.features, np.int32), np.frombuffer(r.values, np.float32), r.label) for r in got]
     return fit(sorted(examples, key=lambda e: (e[2], len(e[0]), e[0].tobytes(), e[1].tobytes())))
@@ -173,13 +186,13 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
 
     def run(batches):
         for batch in batches:
-            for lo, hi, of, feature, value in vectors(batch.column(1)):
+            for lo, hi, of, feature, value in vectors(batch.column(1), batch.column(2)):
                 raw = raw_scores(model, runs_of(of, hi - lo), feature, value)
                 p = 1 / (1 + np.exp(-np.clip(raw.astype(float), -30, 30)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(p)], names=[id_col, "score"])
 
     model = Model(model.w0, model.w.astype(np.float32), model.v.astype(np.float32))
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, score double")
+    return df.select(id_col, text_col, metadata(df).alias("_n_chars")).mapInArrow(run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, score double")
 
 
 def keep_good(df: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -188,13 +201,13 @@ def keep_good(df: DataFrame, model: Model, text_col: str = "text", threshold: fl
 
     def run(batches):
         for batch in batches:
-            for lo, hi, of, feature, value in vectors(batch.column(where)):
+            for lo, hi, of, feature, value in vectors(batch.column(where), batch.column(len(columns))):
                 raw = raw_scores(model, runs_of(of, hi - lo), feature, value)
                 p = 1 / (1 + np.exp(-np.clip(raw.astype(float), -30, 30)))
-                yield batch.slice(lo, hi - lo).filter(pa.array(p >= threshold))
+                yield batch.slice(lo, hi - lo).select(columns).filter(pa.array(p >= threshold))
 
     model = Model(model.w0, model.w.astype(np.float32), model.v.astype(np.float32))
-    return df.select(columns).mapInArrow(run, df.schema)
+    return df.select(*columns, metadata(df).alias("_n_chars")).mapInArrow(run, df.schema)
 
 
 def fold(id_col: str = "doc_id") -> Column:

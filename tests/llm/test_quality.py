@@ -44,3 +44,13 @@ def test_odd_rows(spark):
     assert quality.quality_scores(docs.limit(0), labels.limit(0)).collect() == []
     model = quality.train(docs, labels, quality.fold() != 1)
     assert quality.keep_good(docs, model, threshold=0.0).columns == docs.columns
+
+
+def test_metadata_is_learnt_from(spark):
+    rows = [(i, "the same words", 5 if i % 2 else None if i % 4 else 900_000) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, quality int")
+    model = quality.train(docs, labels, quality.fold() != 1)
+    scores = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    assert all((scores[i] >= 0.5) == (i % 2 == 1) for i in scores) and len({round(s, 9) for s in scores.values()}) == 3
+    assert sorted(r.doc_id for r in quality.keep_good(docs, model).collect()) == [i for i in range(120) if i % 2]
