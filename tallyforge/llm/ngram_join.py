@@ -1,9 +1,9 @@
-"""N-gram Jaccard self-join by a MinHash LSH forest with exact verification.
+"""N-gram Jaccard self-join by MinHash banding (16 x 4, in place of an LSH forest) with exact verification.
 
 1. Texts become sets of hashed shingles of ``WORDS`` words; texts of the same words form a class (copies).
-2. Every class gets ``TREES`` signatures of up to ``DEPTH`` minima, the paths of the forest's prefix tries.  Matching
-   starts at whole paths and shortens the prefix until a pair at the threshold meets in some tree with probability
-   ``RECALL``: 1 - (1 - t^d)^TREES.
+2. Every class gets ``TREES`` keys of as many minima each as ``prefix_depth`` says, a constant: the longest prefix, up to
+   ``DEPTH``, with which a pair at the threshold meets in some tree with probability ``RECALL``: 1 - (1 - t^d)^TREES.
+   That is fixed banding in place of the forest's sorted paths, which would be shortened on the data.
 3. Classes under the same prefix are tied to the smallest of them; components of these ties are candidate clusters.  Each
    class's shingle set travels once, to its cluster, not to each of its buckets.
 4. Clusters are verified exactly, all pairs of a cluster, in blocks of at most ``BLOCK_ROWS`` classes: products of 0/1
