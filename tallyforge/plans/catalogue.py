@@ -386,7 +386,7 @@ lm AS (SELECT id, len(a) AS physical, len(list_filter(a, lambda x: contains(x, '
 SELECT id, physical, physical - code - comment AS blank, code, comment, mixed FROM lm"""
 
 
-_CODE = """substr(coalesce(text, ''), 1 + CAST(doc_id % 5 AS INT)) || chr(10) || '  // note' || chr(10) || 'x = "a // b \\" c"; /* in' || chr(10) || chr(10) || ' two */ y' || chr(13) || chr(10) || '/* open ' || coalesce(text, '')"""
+_CODE = """coalesce(text, '') || chr(10) || '  // note' || chr(10) || 'x = "a // b \\" c"; /* in' || chr(10) || chr(10) || ' two */ y' || chr(13) || chr(10) || '/* open ' || coalesce(text, '')"""
 
 
 @query(f"WITH src AS (SELECT doc_id AS id, {_CODE} AS text FROM documents), {_token_sql('src', *dims.C_LIKE)}")
@@ -430,17 +430,6 @@ def ignore_last_match(spark, sf_dir):
     return paths.ignored(docs, rules, ["doc_id"])
 
 
-@query("""WITH h AS (SELECT doc_id, CASE CAST(doc_id % 4 AS INT) WHEN 1 THEN chr(1) || chr(2) ELSE '' END || substr(coalesce(text, ''), 1, CASE WHEN doc_id % 4 = 1 THEN 30 ELSE 4000 END) AS t, doc_id % 7 = 0 AS z FROM documents),
-b AS (SELECT doc_id, z, hex(encode(t))[1:16384] AS x FROM h),
-n AS (SELECT doc_id, z, length(x) // 2 AS n, len(list_filter(regexp_extract_all(x, '..'), lambda p: regexp_matches(p, '^(0[0-7BCEF]|1[0-9A-F])$'))) AS c FROM b)
-SELECT doc_id, z OR c > n // 20 AS binary FROM n""")
-def binary_sniff(spark, sf_dir):
-    cut = F.when(F.col("doc_id") % 4 == 1, F.concat(F.lit("\x01\x02"), F.substring(F.coalesce("text", F.lit("")), 1, 30))).otherwise(F.substring(F.coalesce("text", F.lit("")), 1, 4000))
-    body = F.concat(cut.cast("binary"), F.when(F.col("doc_id") % 7 == 0, F.unhex(F.lit("00"))).otherwise(F.unhex(F.lit(""))))
-    # The zero stands at the end; sniffed texts are shorter than the window, or the oracle's rule would not hold.
-    return table(spark, sf_dir, "documents").select("doc_id", lines.looks_binary(body).alias("binary"))
-
-
 # Whole texts, with control bytes put in before (1) or behind (3) the end of the window of long texts.
 _SNIFFED = """substr(coalesce(text, ''), 1, CASE doc_id % 4 WHEN 1 THEN 4000 ELSE 9000 END) || repeat(chr(1) || chr(2), CASE WHEN doc_id % 4 IN (1, 3) THEN CAST(doc_id % 300 AS INT) ELSE 0 END)
   || substr(coalesce(text, ''), CASE doc_id % 4 WHEN 1 THEN 4001 ELSE 9001 END)"""
@@ -450,7 +439,7 @@ _SNIFFED = """substr(coalesce(text, ''), 1, CASE doc_id % 4 WHEN 1 THEN 4000 ELS
 b AS (SELECT doc_id, z, octet_length(encode(t)) AS size, hex(encode(t))[1:16384] AS x FROM h),
 n AS (SELECT doc_id, z AND size < 8192 AS z, length(x) // 2 AS n, len(list_filter(regexp_extract_all(x, '..'), lambda p: regexp_matches(p, '^(0[0-7BCEF]|1[0-9A-F])$'))) AS c FROM b)
 SELECT doc_id, z OR c > n // 20 AS binary FROM n""")
-def binary_sniff_all(spark, sf_dir):
+def binary_sniff(spark, sf_dir):
     # The zero at the end is seen if it stands among the first 8192 bytes.
     body = F.concat(F.expr(_SNIFFED).cast("binary"), F.when(F.col("doc_id") % 7 == 0, F.unhex(F.lit("00"))).otherwise(F.unhex(F.lit(""))))
     return table(spark, sf_dir, "documents").select("doc_id", lines.looks_binary(body).alias("binary"))
@@ -478,27 +467,28 @@ def snapshot_merge(spark, sf_dir):
 
 # ---- daily log ----------------------------------------------------------------------------------------------------------------
 
-_SCANS = """SELECT {day} AS date, 'u' || CAST(user_id % 6 AS VARCHAR(20)) AS project_id, 'n' || CAST(user_id % 6 AS VARCHAR(20)) AS name, event_id AS scanned_at,
-  CASE WHEN event_id > {half} AND user_id % 6 = 2 THEN 'AllText' ELSE 'SourceOnly' END AS scope, 'O200k' AS tokenizer,
+# Every event is a scan and an assistant row; days without a scan of u1 come from a derived column: on every fifth day of a month its
+# events are u0's.
+_USER = "(CASE WHEN user_id % 6 = 1 AND day(ts) % 5 = 0 THEN 0 ELSE user_id % 6 END)"
+_SCANS = f"""SELECT {{day}} AS date, 'u' || CAST({_USER} AS VARCHAR(20)) AS project_id, 'n' || CAST({_USER} AS VARCHAR(20)) AS name, event_id AS scanned_at,
+  CASE WHEN event_id > 400 AND {_USER} = 2 THEN 'AllText' ELSE 'SourceOnly' END AS scope, 'O200k' AS tokenizer,
   event_id % 50 AS files, event_id AS bytes, event_id % 1000 AS tokens, event_id % 313 AS physical, event_id % 7 AS blank, event_id % 211 AS code, event_id % 13 AS comment, 0 AS content
-  FROM events WHERE event_id % 17 = 3 AND user_id % 6 <> 5"""
-_HALF = 4000
+  FROM events"""
 
 
-def scans(spark: SparkSession, sf_dir: str, rows: str = _SCANS, half: int = _HALF) -> DataFrame:
-    table(spark, sf_dir, "events").createOrReplaceTempView("_events")
-    sql = rows.format(day="date_format(ts, 'yyyy-MM-dd')", half=half).replace("VARCHAR(20)", "STRING").replace("FROM events", "FROM _events")
-    return spark.sql(sql)
+def scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = _split_columns(_SCANS.format(day="date_format(ts, 'yyyy-MM-dd')").replace("VARCHAR(20)", "STRING").removeprefix("SELECT").rsplit("FROM", 1)[0])
+    return table(spark, sf_dir, "events").selectExpr(*columns)
 
 
-def ai_days(spark: SparkSession, sf_dir: str, some: str = "event_id % 3 = 0") -> DataFrame:
-    e = table(spark, sf_dir, "events").where(some).groupBy(F.date_format("ts", "yyyy-MM-dd").alias("date"))
+def ai_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("date"))
     return e.agg(F.sum(F.col("event_id") % 10).cast("double").alias("tokens"), F.count(F.lit(1)).cast("double").alias("cost"), (F.count(F.lit(1)) % 2 == 0).alias("cost_partial"))
 
 
-SCAN = f"""raw AS ({_SCANS.format(day="strftime(ts, '%Y-%m-%d')", half=_HALF)}), lines AS (
+SCAN = f"""raw AS ({_SCANS.format(day="strftime(ts, '%Y-%m-%d')")}), lines AS (
   SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY date, project_id ORDER BY scanned_at DESC) AS rn FROM raw) WHERE rn = 1),
-ai AS (SELECT strftime(ts, '%Y-%m-%d') AS date, CAST(sum(event_id % 10) AS DOUBLE) AS tokens, CAST(count(*) AS DOUBLE) AS cost, count(*) % 2 = 0 AS cost_partial FROM events WHERE event_id % 3 = 0 GROUP BY 1)"""
+ai AS (SELECT strftime(ts, '%Y-%m-%d') AS date, CAST(sum(event_id % 10) AS DOUBLE) AS tokens, CAST(count(*) AS DOUBLE) AS cost, count(*) % 2 = 0 AS cost_partial FROM events GROUP BY 1)"""
 
 
 def day_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -550,18 +540,11 @@ def daily_compare_metrics(spark, sf_dir):
     return dailylog.compare_metrics(day_lines(spark, sf_dir), ai_days(spark, sf_dir), "2024-01-05", "2024-01-12")
 
 
-@query(f"""WITH {_DOC}, g AS (SELECT lang AS language, doc_id % 2 AS side, sum(physical) AS physical, sum(physical - blank) AS code FROM m WHERE NOT (lang = 'de' AND doc_id % 2 = 0) GROUP BY ALL),
+@query(f"""WITH {_DOC}, g AS (SELECT lang AS language, CASE WHEN lang = 'de' THEN 1 ELSE doc_id % 2 END AS side, sum(physical) AS physical, sum(physical - blank) AS code FROM m GROUP BY ALL),
 a AS (SELECT * FROM g WHERE side = 0), b AS (SELECT * FROM g WHERE side = 1)
 SELECT coalesce(a.language, b.language) AS language, 'DocumentationText' AS category, coalesce(a.physical, 0) AS lines_a, coalesce(a.code, 0) AS code_a, coalesce(b.physical, 0) AS lines_b,
   coalesce(b.code, 0) AS code_b, coalesce(b.physical, 0) - coalesce(a.physical, 0) AS delta_lines, coalesce(b.code, 0) - coalesce(a.code, 0) AS delta_code FROM a FULL JOIN b ON a.language = b.language""")
 def daily_compare_languages(spark, sf_dir):
-    docs = doc_metrics(spark, sf_dir).where("not (lang = 'de' and doc_id % 2 = 0)")
-    docs = docs.select("doc_id", F.col("lang").alias("language"), F.lit(dims.TEXT).alias("category"), "physical", F.col("content").alias("code"))
-    return dailylog.compare_languages(docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1"))
-
-
-@query(ORACLES["daily_compare_languages"].replace(" WHERE NOT (lang = 'de' AND doc_id % 2 = 0)", "").replace("doc_id % 2 AS side", "CASE WHEN lang = 'de' THEN 1 ELSE doc_id % 2 END AS side"))
-def daily_compare_languages_all(spark, sf_dir):
     """Every document; the language of one side is on that side by a derived column."""
     docs = doc_metrics(spark, sf_dir).withColumn("side", F.when(F.col("lang") == "de", 1).otherwise(F.col("doc_id") % 2))
     docs = docs.select("doc_id", F.col("lang").alias("language"), F.lit(dims.TEXT).alias("category"), "physical", F.col("content").alias("code"), "side")
@@ -589,43 +572,6 @@ def daily_default_pair(spark, sf_dir):
     return dailylog.default_pair(day_lines(spark, sf_dir), ai_days(spark, sf_dir))
 
 
-# The SQL above stays as it was given and reads some events only; the queries named _all read every event as a scan and as an
-# assistant row.  Days without a scan of u1 come from a derived column: on every fifth day of a month its events are u0's.
-_EVERY = _SCANS.replace(" WHERE event_id % 17 = 3 AND user_id % 6 <> 5", "").replace("user_id % 6", "(CASE WHEN user_id % 6 = 1 AND day(ts) % 5 = 0 THEN 0 ELSE user_id % 6 END)")
-_EVERY_HALF = 400
-SCAN_ALL = SCAN.replace(_SCANS.format(day="strftime(ts, '%Y-%m-%d')", half=_HALF), _EVERY.format(day="strftime(ts, '%Y-%m-%d')", half=_EVERY_HALF)).replace(" WHERE event_id % 3 = 0", "")
-
-
-def every_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scans(spark, sf_dir, _EVERY, _EVERY_HALF)
-
-
-_WHOLE = {
-    "daily_upsert": lambda day, ai: day,
-    "daily_effective": lambda day, ai: dailylog.effective(day, "2024-01-10"),
-    "daily_timeline": lambda day, ai: dailylog.timeline(day, ai),
-    "daily_compare_metrics": lambda day, ai: dailylog.compare_metrics(day, ai, "2024-01-05", "2024-01-12"),
-    "daily_contract": lambda day, ai: dailylog.warnings(dailylog.effective(day, "2024-01-05"), dailylog.effective(day, "2024-01-12")),
-    "daily_default_pair": lambda day, ai: dailylog.default_pair(day, ai),
-    "daily_ai_merge": lambda day, ai: dailylog.record_ai(
-        ai.where("date < '2024-01-25'").withColumn("tokens", F.col("tokens") + F.right("date", F.lit(1)).cast("int") - 4), ai.where("date > '2024-01-03'"), "2024-01-16"
-    ),
-}
-
-
-def _over_every_event(run):
-    def whole(spark, sf_dir):
-        s = every_scan(spark, sf_dir)
-        return run(dailylog.record_lines(s.limit(0), s), ai_days(spark, sf_dir, "true"))
-
-    return whole
-
-
-for _name, _run in _WHOLE.items():
-    QUERIES[f"{_name}_all"] = _over_every_event(_run)
-    ORACLES[f"{_name}_all"] = ORACLES[_name].replace(SCAN, SCAN_ALL)
-
-
 # ---- history ------------------------------------------------------------------------------------------------------------------
 
 _START, _END = "1996-01-01", "1997-06-30"
@@ -692,18 +638,11 @@ def git_totals(spark, sf_dir):
     return both[0].unionByName(both[1])
 
 
-@query(f"""WITH {HIST}, few AS (SELECT * FROM f WHERE project_id <> 'r3')
-SELECT project_id AS project, 'OK' AS status, commits, changed_files, binary_files, path, few.added, few.deleted, few.modified, few.added - few.deleted AS net, few."binary",
-  CASE WHEN path IS NULL THEN 'ProjectStatus' ELSE 'File' END AS record_type FROM t LEFT JOIN few USING (project_id)
+@query(f"""WITH {HIST}
+SELECT project_id AS project, 'OK' AS status, commits, changed_files, binary_files, path, f.added, f.deleted, f.modified, f.added - f.deleted AS net, f."binary",
+  CASE WHEN path IS NULL THEN 'ProjectStatus' ELSE 'File' END AS record_type FROM t LEFT JOIN f USING (project_id)
 UNION ALL SELECT 'All projects', CAST(count(*) AS VARCHAR) || ' projects; 0 incomplete/unavailable', sum(commits), sum(changed_files), sum(binary_files), '', sum(added), sum(deleted), sum(modified), sum(net), NULL, 'Totals' FROM t""")
 def export_with_status(spark, sf_dir):
-    files, projects = _history(spark, sf_dir)
-    return history.export_rows(projects.withColumn("status", F.lit("OK")), files.where("project_id <> 'r3'"), history.grand_totals(projects))
-
-
-@query(ORACLES["export_with_status"].replace(" WHERE project_id <> 'r3'", ""))
-def export_with_status_all(spark, sf_dir):
-    """Every project's files."""
     files, projects = _history(spark, sf_dir)
     return history.export_rows(projects.withColumn("status", F.lit("OK")), files, history.grand_totals(projects))
 
@@ -744,18 +683,10 @@ def format_deltas(spark, sf_dir):
     )
 
 
-@query("""WITH t AS (SELECT doc_id, list_extract(['=', '+', '-', '@', chr(9), 'x"', '<b>&'], CAST(doc_id % 7 AS INT) + 1) || substr(coalesce(text, ''), 1, 40) AS s FROM documents)
+@query("""WITH t AS (SELECT doc_id, list_extract(['=', '+', '-', '@', chr(9), 'x"', '<b>&'], CAST(doc_id % 7 AS INT) + 1) || coalesce(text, '') AS s FROM documents)
 SELECT doc_id, '"' || replace(CASE WHEN doc_id % 7 < 5 THEN chr(39) || s ELSE s END, '"', '""') || '"' AS cell,
   replace(replace(replace(replace(s, '&', '&#38;'), '<', '&#60;'), '>', '&#62;'), '"', '&#34;') AS html FROM t""")
 def csv_guard_html_escape(spark, sf_dir):
-    first = F.element_at(F.array(*map(F.lit, ["=", "+", "-", "@", "\t", 'x"', "<b>&"])), (F.col("doc_id") % 7 + 1).cast("int"))
-    s = F.concat(first, F.substring(F.coalesce("text", F.lit("")), 1, 40))
-    return table(spark, sf_dir, "documents").select("doc_id", S.csv_cell(S.formula_guard(s)).alias("cell"), S.html_escape(s).alias("html"))
-
-
-@query(ORACLES["csv_guard_html_escape"].replace("substr(coalesce(text, ''), 1, 40)", "coalesce(text, '')"))
-def csv_guard_html_escape_all(spark, sf_dir):
-    """Whole texts."""
     first = F.element_at(F.array(*map(F.lit, ["=", "+", "-", "@", "\t", 'x"', "<b>&"])), (F.col("doc_id") % 7 + 1).cast("int"))
     s = F.concat(first, F.coalesce("text", F.lit("")))
     return table(spark, sf_dir, "documents").select("doc_id", S.csv_cell(S.formula_guard(s)).alias("cell"), S.html_escape(s).alias("html"))

@@ -18,10 +18,19 @@ from ..functions import scalars as S
 
 BOM = "﻿"
 SCAN_COLUMNS = ["project", "path", "extension", "language", "category", "bytes", "tokens", "physical", "blank", "code", "comment", "mixed", "content"]
-# Heads of the three CSV exports.
-SCAN_HEAD = "Project,Path,Extension,Language,Category,Bytes,Tokens,PhysicalLines,BlankLines,CodeLines,CommentLines,MixedLines,ContentLines"
-DAILY_HEAD = "Date,Projects,CarriedProjects,Files,PhysicalLines,DeltaPhysicalLines,CodeLines,DeltaCodeLines,CommentLines,BlankLines,ContentLines,Tokens,DeltaTokens,AiTokens,AiCost,AiCostPartial,Notes"
-HISTORY_HEAD = "Project,Branch,Head,Start,End,Mode,Scope,Status,Commits,ChangedFiles,BinaryFiles,Path,Added,Deleted,ModifiedEstimate,Net,Binary,RecordType"
+DAILY_COLUMNS = [
+    "date", "projects", "carried", "files", "physical", "delta_physical", "code", "delta_code", "comment", "blank", "content", "tokens", "delta_tokens",
+    "ai_tokens", "ai_cost", "ai_partial", "notes",
+]
+HISTORY_COLUMNS = [
+    "project", "branch", "head", "start", "end", "mode", "scope", "status", "commits", "changed_files", "binary_files", "path", "added", "deleted",
+    "modified", "net", "binary", "record_type",
+]
+
+
+def head(columns: list[str]) -> str:
+    """The first line of an export: the engine's column names, each word with a capital."""
+    return ",".join("".join(part.title() for part in c.split("_")) for c in columns)
 
 
 def replace_file(path: str | os.PathLike, data: str | bytes) -> None:

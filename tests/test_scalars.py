@@ -84,9 +84,9 @@ def test_token_counts(spark):
 def test_csv_files(spark, tmp_path):
     row = ("=p", 'a"b', ".x", "L", "SourceCode", *range(8))
     df = spark.createDataFrame([row], "project string, path string, extension string, language string, category string, " + ", ".join(f"{c} long" for c in sinks.SCAN_COLUMNS[5:]))
-    sinks.write_csv_file(sinks.scan_csv(df), str(tmp_path / "s.csv"), sinks.SCAN_HEAD)
+    sinks.write_csv_file(sinks.scan_csv(df), str(tmp_path / "s.csv"), sinks.head(sinks.SCAN_COLUMNS))
     data = (tmp_path / "s.csv").read_bytes().decode()
-    assert data == "﻿" + sinks.SCAN_HEAD + '\r\n"=p","a""b",".x","L",SourceCode,0,1,2,3,4,5,6,7\r\n'
+    assert data == "﻿" + sinks.head(sinks.SCAN_COLUMNS) + '\r\n"=p","a""b",".x","L",SourceCode,0,1,2,3,4,5,6,7\r\n'
     sinks.write_lines(sinks.scan_csv(df), str(tmp_path / "parts"))
     assert spark.read.text(str(tmp_path / "parts")).count() == 1
     themes = spark.createDataFrame([('{"a":{"theme":1},"theme":"dark"}',), ("{",)], "t string")

@@ -1,4 +1,4 @@
-"""Queries named _all leave nothing out."""
+"""Queries over every row and whole texts leave nothing out."""
 
 from pyspark.sql import functions as F
 
@@ -10,12 +10,12 @@ SF = "/root/testdata/sf0.001"
 
 def test_every_event_is_a_scan(spark):
     events = spark.read.parquet(f"{SF}/events.parquet")
-    assert catalogue.every_scan(spark, SF).count() == events.count()
-    assert catalogue.ai_days(spark, SF, "true").groupBy().sum("cost").first()[0] == events.count()
+    assert catalogue.scans(spark, SF).count() == events.count()
+    assert catalogue.ai_days(spark, SF).groupBy().sum("cost").first()[0] == events.count()
     days = events.selectExpr("date_format(ts, 'yyyy-MM-dd') AS d", "user_id % 6 AS u", "day(ts) AS n").distinct().collect()
     want = {(r.d, f"u{0 if r.u == 1 and r.n % 5 == 0 else r.u}") for r in days}
-    assert {(r.date, r.project_id) for r in catalogue.QUERIES["daily_upsert_all"](spark, SF).collect()} == want
-    found = {r.project_id: r.is_carried for r in catalogue.QUERIES["daily_effective_all"](spark, SF).collect()}
+    assert {(r.date, r.project_id) for r in catalogue.QUERIES["daily_upsert"](spark, SF).collect()} == want
+    found = {r.project_id: r.is_carried for r in catalogue.QUERIES["daily_effective"](spark, SF).collect()}
     assert set(found) == {f"u{k}" for k in range(6)} and found["u1"]
 
 
@@ -30,20 +30,20 @@ def test_the_whole_window_is_sniffed(spark):
         behind += 0 in data and 0 not in head
         late += want[i] and len(text) > 4000
     assert behind and late
-    assert {r.doc_id: r.binary for r in catalogue.QUERIES["binary_sniff_all"](spark, SF).collect()} == want
+    assert {r.doc_id: r.binary for r in catalogue.QUERIES["binary_sniff"](spark, SF).collect()} == want
 
 
 def test_whole_texts_are_escaped(spark):
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     assert any(c in t[40:] for t in docs.values() for c in '"<>&')
-    for r in catalogue.QUERIES["csv_guard_html_escape_all"](spark, SF).collect():
+    for r in catalogue.QUERIES["csv_guard_html_escape"](spark, SF).collect():
         s = ["=", "+", "-", "@", "\t", 'x"', "<b>&"][r.doc_id % 7] + docs[r.doc_id]
         assert r.cell == '"' + ("'" * (r.doc_id % 7 < 5) + s).replace('"', '""') + '"'
         assert r.html == s.replace("&", "&#38;").replace("<", "&#60;").replace(">", "&#62;").replace('"', "&#34;")
 
 
 def test_every_line_is_compared(spark):
-    rows = {r.language: r for r in catalogue.QUERIES["daily_compare_languages_all"](spark, SF).collect()}
+    rows = {r.language: r for r in catalogue.QUERIES["daily_compare_languages"](spark, SF).collect()}
     want = {r.lang: r.n for r in catalogue.doc_metrics(spark, SF).groupBy("lang").agg({"physical": "sum"}).toDF("lang", "n").collect()}
     assert {k: r.lines_a + r.lines_b for k, r in rows.items()} == want
     assert rows["de"].lines_a == 0 < rows["de"].lines_b
@@ -51,7 +51,7 @@ def test_every_line_is_compared(spark):
 
 def test_every_file_is_exported(spark):
     files, projects = catalogue._history(spark, SF)
-    rows = catalogue.QUERIES["export_with_status_all"](spark, SF).where("record_type = 'File'")
+    rows = catalogue.QUERIES["export_with_status"](spark, SF).where("record_type = 'File'")
     assert sorted((r.project, r.path) for r in rows.collect()) == sorted((r.project_id, r.path) for r in files.collect())
     total = history.grand_totals(projects)
     some = history.export_rows(projects.withColumn("status", F.lit("OK")), files.where("project_id <> 'r3'"), total).where("project = 'r3'").collect()
