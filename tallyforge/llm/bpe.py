@@ -3,17 +3,20 @@
 Texts become arrays of codepoint classes.  A finite automaton over the classes says where pieces start.  It is run as
 a scan: transition functions are elements of a finite monoid, composed by table, so the arrays are cut into columns,
 the columns' functions are scanned associatively, and every column then runs from its own state, all at a time.  No
-regular expression is used.  Pieces are hashed in bulk; each distinct piece goes through the pair merging once while it is in
-the cache.  Piece offsets are kept, and ids decode through the table of the vocabulary's bytes.
+regular expression is used.  Pieces are hashed in bulk; each distinct piece goes through the pair merging (a heap of
+ranks over linked pairs) once while it is in the cache.  Piece offsets are kept, and ids decode through the table of the
+vocabulary's bytes.
 
-Defined cases: null text is empty and has no ids; the vocabulary's ids are ranks and no special tokens are made; repeated
-rows are encoded one by one; an empty table gives an empty result.
+Defined cases: null text is empty and has no ids; the vocabulary's ids are ranks and no special tokens are made; a byte
+that is not UTF-8 counts as a symbol of its own and survives the round trip; null ids decode to nothing; repeated rows are
+encoded one by one; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import sys
 import unicodedata
 from collections.abc import Iterator
@@ -22,7 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._arrays import blocks, expand, span_hashes
+from ._arrays import blocks, expand, lean, span_hashes
+from ._common import ready
 
 # Classes: letter, number, other, apostrophe before a suffix of one or two letters, blank that joins what follows,
 # blank before more white space, white space before a visible character, white space before more of it.
@@ -30,8 +34,12 @@ L, N, O, A1, A2, JOIN, BLANK, LAST, SPACE = range(9)
 FRESH, IN_L, IN_N, IN_O, JOINED, IN_SPACE, ONE_LEFT, TWO_LEFT = range(8)
 N_CLASS, N_STATE = 9, 8
 WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+# Letters and numbers that Unicode 16.0 has and Python's tables of 15.1 have not.
+LETTERS_16 = """1C89-1C8A A7CB-A7CD A7DA-A7DC 105C0-105F3 10D4A-10D65 10D6F-10D85 10EC2-10EC4 11380-11389 1138B 1138E 11390-113B5 113B7
+113D1 113D3 11BC0-11BE0 13460-143FA 16100-1611D 16D40-16D6C 18CFF 1E5D0-1E5ED 1E5F0"""
+NUMBERS_16 = "10D40-10D49 116D0-116E3 11BF0-11BF9 16130-16139 16D70-16D79 1CCF0-1CCF9 1E5F1-1E5FA"
 COLUMN = 256
-CACHE = 400_000
+CACHE = 1 << 17
 
 
 def _automaton() -> tuple[np.ndarray, np.ndarray]:
@@ -91,6 +99,10 @@ def codepoint_classes() -> np.ndarray:
         kinds = {"L": L, "N": N}
         table = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], O) for c in range(sys.maxunicode + 1)), np.uint8)
         table[WHITE] = SPACE
+        for listed, kind in ((LETTERS_16, L), (NUMBERS_16, N)):
+            for part in listed.split():
+                first, _, last = part.partition("-")
+                table[int(first, 16) : int(last or first, 16) + 1] = kind
         _CLASS.append(table)
     return _CLASS[0]
 
@@ -137,15 +149,56 @@ def piece_starts(points: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     return out.T.reshape(-1)[:n]
 
 
+def merge_pairs(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of a piece: the neighbours of lowest rank merge, the leftmost first, until no pair has a rank.
+
+    The heap holds (rank, start, end) of pairs; an entry whose tokens have grown meanwhile is passed over.
+    """
+    whole = ranks.get(piece)
+    if whole is not None:
+        return [whole]
+    n, get = len(piece), ranks.get
+    after, before = list(range(1, n + 1)), list(range(-1, n))  # start of the next token and of the one before; 0: merged away
+    heap = [(r, i, i + 2) for i in range(n - 1) if (r := get(piece[i : i + 2])) is not None]
+    heapq.heapify(heap)
+    while heap:
+        _, i, end = heapq.heappop(heap)
+        middle = after[i]
+        if not middle or middle >= n or after[middle] != end:
+            continue
+        after[i], after[middle] = end, 0
+        if end < n:
+            before[end] = i
+            if (r := get(piece[i : after[end]])) is not None:
+                heapq.heappush(heap, (r, i, after[end]))
+        left = before[i]
+        if left >= 0 and (r := get(piece[left:end])) is not None:
+            heapq.heappush(heap, (r, left, end))
+    out, i = [], 0
+    while i < n:
+        out.append(ranks[piece[i : after[i]]])
+        i = after[i]
+    return out
+
+
+def code_points(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of UTF-8 bytes and the place of each; a byte that is not UTF-8 is a lone surrogate."""
+    try:
+        points = np.frombuffer(bytes(buf).decode().encode("utf-32-le"), np.uint32)
+        return points, np.flatnonzero((buf & 0xC0) != 0x80)
+    except UnicodeDecodeError:
+        points = np.frombuffer(bytes(buf).decode(errors="surrogateescape").encode("utf-32-le", "surrogatepass"), np.uint32)
+        escaped = (points >= 0xDC80) & (points <= 0xDCFF)
+        size = np.where(escaped, 1, 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000))
+        return points, np.cumsum(size) - size
+
+
 class Codec:
     """Ranks, their byte table, and a cache of merged pieces."""
 
     def __init__(self, path: str):
-        import tiktoken
-
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.core = tiktoken.Encoding("ranks", pat_str=r"[\s\S]+", mergeable_ranks=self.ranks, special_tokens={})._core_bpe
         size = max(self.ranks.values()) + 1
         by_id = [b""] * size
         for piece, rank in self.ranks.items():
@@ -159,7 +212,7 @@ class Codec:
 
     def _clear(self) -> None:
         self.place: dict[bytes, int] = {}
-        self.flat, self.at, self.used, self.count = np.empty(1 << 20, np.int32), np.zeros(CACHE * 2 + 2, np.int64), 0, 0
+        self.flat, self.at, self.used, self.count = np.empty(CACHE * 4, np.int32), np.zeros(CACHE + 2, np.int64), 0, 0
 
     def _merged(self, pieces: list[bytes]) -> np.ndarray:
         """Places in the cache, merging what is not there."""
@@ -167,11 +220,11 @@ class Codec:
             self._clear()
             if len(pieces) > CACHE:
                 self.at = np.zeros(len(pieces) + 2, np.int64)
-        out, get, merge = np.empty(len(pieces), np.int64), self.place.get, self.core.encode_single_piece
+        out, get = np.empty(len(pieces), np.int64), self.place.get
         for i, piece in enumerate(pieces):
             k = get(piece)
             if k is None:
-                ids = merge(piece)
+                ids = merge_pairs(piece, self.ranks)
                 if self.used + len(ids) > len(self.flat):
                     self.flat = np.concatenate([self.flat, np.empty(max(len(self.flat), len(ids)), np.int32)])
                 self.flat[self.used : self.used + len(ids)] = ids
@@ -188,8 +241,7 @@ class Codec:
             if not len(buf):
                 yield lo, hi, np.zeros(0, np.int32), np.zeros(hi - lo + 1, np.int64), np.zeros(0, np.int64)
                 continue
-            points = np.frombuffer(bytes(buf).decode().encode("utf-32-le"), np.uint32)
-            byte_of = np.flatnonzero((buf & 0xC0) != 0x80)
+            points, byte_of = code_points(buf)
             firsts = np.searchsorted(byte_of, offs[:-1][offs[:-1] < offs[1:]])
             starts = byte_of[piece_starts(points, firsts)]
             ends = np.append(starts[1:], len(buf))
@@ -244,7 +296,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
                     names=[id_col, "n_tokens", "ids", "starts"],
                 )
 
-    return df.select(id_col, text_col).mapInArrow(run, _schema(df, id_col, "n_tokens long, ids array<int>, starts array<int>"))
+    return ready(df).select(id_col, text_col).mapInArrow(lean(run), _schema(df, id_col, "n_tokens long, ids array<int>, starts array<int>"))
 
 
 def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -260,7 +312,7 @@ def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids
             texts = [data[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], names=[id_col, "bytes"])
 
-    return df.select(id_col, ids_col).mapInArrow(run, _schema(df, id_col, "bytes binary"))
+    return ready(df).select(id_col, ids_col).mapInArrow(lean(run), _schema(df, id_col, "bytes binary"))
 
 
 def digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -284,6 +336,6 @@ def digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
                     names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
 
-    return df.select(id_col, text_col).mapInArrow(
-        run, _schema(df, id_col, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return ready(df).select(id_col, text_col).mapInArrow(
+        lean(run), _schema(df, id_col, "n_tokens long, ids_sha256 string, decoded_sha256 string")
     )
