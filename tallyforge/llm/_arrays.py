@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 _rng = np.random.default_rng(20240229)
 #: A random odd number for each byte, and an odd base with its inverse modulo 2 ** 64.
 BYTE_VALUE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -18,6 +19,28 @@ IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
+def release() -> None:
+    """Give freed memory back to the system: a worker that waits for its next task holds little."""
+    _POWERS.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def lean(run: Callable) -> Callable:
+    """``run`` over batches, releasing memory at the end of each task."""
+
+    def go(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return go
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE ** i and BASE ** -i modulo 2 ** 64 for i < n (at least)."""
     if not _POWERS or len(_POWERS[0][0]) < n:

@@ -16,11 +16,20 @@ from pyspark.sql import functions as F
 from ..session import ship_package
 
 _OWN: dict[str, str] = {}
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def ready(df: DataFrame) -> DataFrame:
+    """``df`` in a session whose Python workers find this package and get batches of bounded size; first in each operator."""
+    spark = df.sparkSession
     ship_package(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, str(4 << 20))
+    return df
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return ready(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -39,8 +48,7 @@ def scratch_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends at replicated files."""
-    spark = df.sparkSession
-    ship_package(spark)
+    spark = ready(df).sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

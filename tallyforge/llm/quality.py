@@ -6,8 +6,8 @@ null or a table without it.  The score is
 sigmoid(w0 + sum w_i x_i + 1/2 sum_f ((sum v_if x_i)^2 - sum v_if^2 x_i^2)): all pairs of features interact at the cost of
 one pass.  Labels, language, source and identifiers are no features.
 
-Fit: at most ``max_train`` labelled rows, those first in a hash order of the id, by mini-batches on the driver; a row is
-a few kilobytes there.  Everything else is read whole and scored in blocks with the model (about 1 MB) in every task.
+Fit: at most ``max_train`` labelled rows, those first in a hash order of the id (where an id stands at several rows, of id
+and text), by mini-batches on the driver; a row is a few kilobytes there.  Everything else is read whole and scored in blocks with the model (about 1 MB) in every task.
 
 Defined cases: null text is empty and is scored like any text; labels other than 0 and 1 and rows without a text are not
 learnt from; of repeated labels of an id each is an example; without examples of both classes every score is the
@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._arrays import IS_SPACE, blocks, runs_of, span_hashes, words
+from ._arrays import IS_SPACE, blocks, lean, runs_of, span_hashes, words
+from ._common import ready
 
 HASH_BITS = 14
 STATS, BINS = 11, 12
@@ -75,12 +76,9 @@ def vectors(column, n_chars) -> "list[tuple[int, int, np.ndarray, np.ndarray, np
         of, feature = keys >> HASH_BITS, keys & ((1 << HASH_BITS) - 1)
         n_words = np.bincount(row, minlength=n).astype(float)
         value = np.sqrt(counts / n_words[of] * (1 - STAT_SHARE))
-        kind_sums = np.zeros((6, len(buf) + 1), np.int32)
-        for k in range(6):
-            np.cumsum(KIND[buf] == k, out=kind_sums[k, 1:])
-        kinds = kind_sums[:, offs[1:]] - kind_sums[:, offs[:-1]]
-        lines = np.zeros(len(buf) + 1, np.int64)
-        np.cumsum(buf == 10, out=lines[1:])
+        place = np.repeat(np.arange(0, 6 * n, 6, dtype=np.int32), np.diff(offs)) + KIND[buf]
+        kinds = np.bincount(place, minlength=6 * n).reshape(n, 6).T
+        lines = np.diff(np.searchsorted(np.flatnonzero(buf == 10), offs))
         safe, some = np.maximum(size, 1), np.maximum(n_words, 1)
         distinct, top = np.bincount(of, minlength=n), np.zeros(n)
         np.maximum.at(top, of, counts)
@@ -96,7 +94,7 @@ def vectors(column, n_chars) -> "list[tuple[int, int, np.ndarray, np.ndarray, np
                 np.minimum(1, size / some / 24),
                 distinct / some,
                 top / some,
-                np.minimum(1, 20 * (lines[offs[1:]] - lines[offs[:-1]]) / some),
+                np.minimum(1, 20 * lines / some),
                 np.minimum(1, low / safe),
             ]
         )
@@ -158,15 +156,17 @@ def _vector_rows(batches):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(lo, hi - lo),
+                    batch.column(3).slice(lo, hi - lo),
                     pa.array([feature[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary()),
                     pa.array([value[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary()),
                 ],
-                names=["label", "features", "values"],
+                names=["label", "place", "features", "values"],
             )
 
 
 def train(df: DataFrame, labels: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train: int = MAX_TRAIN) -> Model:
     """Fit on labelled rows for which ``allowed`` (over the id) holds; ``labels``: (id, label)."""
+    ready(df)
     some = (
         labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label"))
         .where(F.col("_id").isNotNull() & F.col("_label").isin(0, 1))
@@ -175,8 +175,11 @@ def train(df: DataFrame, labels: DataFrame, allowed: Column, id_col: str = "doc_
         .limit(max_train)
     )
     texts = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), metadata(df).alias("_n_chars")).where(F.col("_text").isNotNull())
-    rows = texts.join(F.broadcast(some), "_id").select("_label", "_text", "_n_chars")  # at most max_train rows of two numbers
-    got = rows.mapInArrow(_vector_rows, "label int, features binary, values binary").collect()
+    place = F.xxhash64("_id", "_text", "_n_chars")
+    rows = texts.join(F.broadcast(some), "_id").select("_label", "_text", "_n_chars", place.alias("_place"))  # at most max_train rows of two numbers
+    # Ids may repeat, so the bound holds again for what the join makes.
+    found = rows.mapInArrow(lean(_vector_rows), "label int, place long, features binary, values binary")
+    got = found.orderBy("place", "label", "features", "values").limit(max_train).collect()
     examples = [(np.frombuffer(r.features, np.int32), np.frombuffer(r.values, np.float32), r.label) for r in got]
     return fit(sorted(examples, key=lambda e: (e[2], len(e[0]), e[0].tobytes(), e[1].tobytes())))
 
@@ -192,7 +195,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(p)], names=[id_col, "score"])
 
     model = Model(model.w0, model.w.astype(np.float32), model.v.astype(np.float32))
-    return df.select(id_col, text_col, metadata(df).alias("_n_chars")).mapInArrow(run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, score double")
+    return ready(df).select(id_col, text_col, metadata(df).alias("_n_chars")).mapInArrow(lean(run), f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, score double")
 
 
 def keep_good(df: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -207,7 +210,7 @@ def keep_good(df: DataFrame, model: Model, text_col: str = "text", threshold: fl
                 yield batch.slice(lo, hi - lo).select(columns).filter(pa.array(p >= threshold))
 
     model = Model(model.w0, model.w.astype(np.float32), model.v.astype(np.float32))
-    return df.select(*columns, metadata(df).alias("_n_chars")).mapInArrow(run, df.schema)
+    return ready(df).select(*columns, metadata(df).alias("_n_chars")).mapInArrow(lean(run), df.schema)
 
 
 def fold(id_col: str = "doc_id") -> Column:
