@@ -7,6 +7,7 @@ import contextlib
 import gc
 import shutil
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 from ..session import ship_package
 
 _OWN: dict[str, str] = {}
+_MADE: set[str] = set()
+_collected = 0.0
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -53,20 +56,58 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
+    _MADE.add(path)
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    _MADE.discard(path)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all tables that :func:`cut` has made and nobody has discarded; results that still read them are gone with them."""
+    for path in sorted(_MADE):
+        _delete(spark, path)
+
+
+def _sweep_at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        with contextlib.suppress(Exception):  # the session may be ending too
+            sweep(spark)
+
+
+atexit.register(_sweep_at_exit)
+
+
 def discard(*tables: DataFrame) -> None:
-    """Delete tables made by :func:`cut` that no later read needs, and let Spark drop shuffles nobody holds."""
+    """Delete tables made by :func:`cut` that no later read needs, and now and then let Spark drop shuffles nobody holds."""
+    global _collected
     for df in tables:
         path = getattr(df, "_scratch_path", None)
         if path:
-            spark = df.sparkSession
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    gc.collect()
-    if tables:
+            _delete(df.sparkSession, path)
+    if tables and time.monotonic() - _collected > 5:
+        gc.collect()
         tables[0].sparkSession._jvm.System.gc()
+        _collected = time.monotonic()
+
+
+HOT = 1000
+
+
+def join_hot(rows: DataFrame, per_key: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """``rows`` joined with ``per_key``, which has a row for each of the keys and how many of the ``total`` rows have it (``n``).
+
+    Keys of more than a HOT-th of the rows, so fewer than HOT of them, are joined by broadcast: their rows stay where they
+    are.  The others are shuffled, a key with at most that share.
+    """
+    most = total // HOT
+    hot = F.broadcast(per_key.where(F.col("n") > most))
+    cold = rows.join(hot.select(*keys), keys, "left_anti").join(per_key.where(F.col("n") <= most), keys)
+    return rows.join(hot, keys).unionByName(cold)
 
 
 @contextlib.contextmanager
@@ -87,25 +128,51 @@ def bloom_filters(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(k, v)
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a column that is computed once, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def scan(items: Column, start: Column, kind: str, step) -> Column:
+    """The outputs of a fold over an array: ``step(state, x)`` gives the next state and an output of type ``kind``.
+
+    Outputs are gathered in blocks of SCAN_BLOCK, so a text with many items costs in proportion to them.
+    """
+    none = F.array().cast(f"array<{kind}>")
+
+    def one(acc: Column, x: Column) -> Column:
+        state, out = step(acc["state"], x)
+        return F.struct(state.alias("state"), F.concat(acc["out"], F.array(out)).alias("out"))
+
+    def block(acc: Column, some: Column) -> Column:
+        folded = F.aggregate(some, F.struct(acc["state"].alias("state"), none.alias("out")), one)
+        return let(folded, lambda r: F.struct(r["state"].alias("state"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
+
+    def blocks(all_: Column) -> Column:
+        at = F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / SCAN_BLOCK).cast("int"))
+        return F.transform(at, lambda k: F.slice(all_, k * SCAN_BLOCK + 1, F.lit(SCAN_BLOCK)))
+
+    begin = F.struct(start.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+    folded = let(items, lambda all_: F.when(F.size(all_) > 0, F.aggregate(blocks(all_), begin, block, lambda acc: F.flatten(acc["out"]))))
+    return F.coalesce(folded, none)
+
+
+SCAN_BLOCK = 128
+SPAN = "struct<s:int,e:int,m:string,before:string>"
+
+
 def match_spans(text: Column, pattern: str) -> Column:
-    """All leftmost non-overlapping matches as array<struct<s,e,m>>, offsets in code points.
+    """All leftmost non-overlapping matches as array<struct<s,e,m,before>>, offsets in code points.
 
     ``split`` gives the gaps, ``regexp_extract_all`` the hits; offsets are running sums of their lengths.
     """
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     zipped = F.arrays_zip(hits.alias("m"), F.split(text, pattern, -1).alias("g"))
-    none = F.array().cast("array<struct<s:int,e:int,m:string,before:string>>")
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["pos"] + F.char_length(x["g"])
+    def step(pos: Column, x: Column) -> tuple[Column, Column]:
+        s = pos + F.char_length(x["g"])
         e = s + F.char_length(x["m"])
-        hit = F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m"), F.right(x["g"], F.lit(32)).alias("before"))
-        return F.struct(e.alias("pos"), F.concat(acc["out"], F.array(hit)).alias("out"))
-
-    folded = F.aggregate(
-        F.filter(zipped, lambda x: x["m"].isNotNull()),
-        F.struct(F.lit(0).alias("pos"), none.alias("out")),
-        step,
-        lambda acc: acc["out"],
-    )
-    return F.when(F.regexp_like(text, F.lit(pattern)), folded).otherwise(none)
+        return e, F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m"), F.right(x["g"], F.lit(32)).alias("before")).cast(SPAN)
+
+    found = scan(F.filter(zipped, lambda x: x["m"].isNotNull()), F.lit(0), SPAN, step)
+    return F.when(F.regexp_like(text, F.lit(pattern)), found).otherwise(F.array().cast(f"array<{SPAN}>"))

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut, discard
+from ._common import cut, discard, join_hot
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b); the root is the component's smallest node.
 
-    Each step keeps at most as many edges as there were, a step's sums are combined before the shuffle, and the
+    Each step keeps at most as many edges as there were, a step's sums are combined before the shuffle, the centre of a
+    large star is joined by broadcast, and the
     tables are written between steps, so a lost executor repeats one step at most.
     """
     now = cut(
@@ -21,8 +22,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         # Large star: every larger neighbour points to the smallest of a node and its neighbours.
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"), F.count(F.lit(1)).alias("n"))
+        large = join_hot(both.where("b > a"), low, ["a"], 2 * seen[0]).select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
         # Small star: a node and its smaller neighbours point to the smallest of them.
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         pairs = large.join(low, "a").select(F.explode(F.array(F.struct("a", "low"), F.struct(F.col("b").alias("a"), "low"))).alias("e"))

@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut, match_spans
+from ._common import SPAN, cut, match_spans
 
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
 IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
@@ -85,7 +85,7 @@ def _candidates(kind: str, spans: Column, passes, base: bool) -> Column:
 def propose(df: DataFrame, text_col: str = "text") -> DataFrame:
     """``df`` plus ``cands``: every generator's spans with label (1, 0, -1 unknown) and feature bits."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    none = F.array().cast("array<struct<s:int,e:int,m:string,before:string>>")
+    none = F.array().cast(f"array<{SPAN}>")
     has = lambda needle, spans: F.when(F.contains(text, F.lit(needle)), spans).otherwise(none)
     between = lambda n, lo, hi: (n >= lo) & (n <= hi)
     card = lambda m: between(_digits(m), 13, 19) & F.call_function("luhn_check", F.regexp_replace(m, "[^0-9]", ""))
@@ -158,9 +158,12 @@ def boost(counts: dict[tuple[int, int, int], int], rounds: int = 25, rate: float
             score[mask] += leaves[(mask >> a & 1) * 2 + (mask >> b & 1)]
     held = [(raw_score(trees, bias, mask), label, n) for (fold, label, mask), n in sorted(counts.items()) if fold == 1]
     slope, offset = _platt(held)
+    at_score: dict[float, list[int]] = {}  # all rows of a score stand or fall together
+    for s, label, n in held:
+        at_score.setdefault(s, [0, 0])[label] += n
     limit, hits, all_rows = None, 0, 0
-    for s, label, n in sorted(held, reverse=True):
-        hits, all_rows = hits + n * label, all_rows + n
+    for s, (no, yes) in sorted(at_score.items(), reverse=True):
+        hits, all_rows = hits + yes, all_rows + no + yes
         if hits >= precision * all_rows:
             limit = s
     return trees, bias, slope, offset, None if limit is None else max(0.5, 1 / (1 + math.exp(-(slope * limit + offset))))

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import match_spans
+from ._common import SPAN, match_spans, scan
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
@@ -36,7 +36,8 @@ KINDS = (
 )
 ROLES = ("identifier", "secret", "endpoint")
 REACH = 200
-PART = "array<struct<s:int,k:int,e:int,kind:string,role:string,weak:boolean,scope:int,linked:boolean>>"
+ONE = "struct<s:int,k:int,e:int,kind:string,role:string,weak:boolean,scope:int,linked:boolean>"
+PART = f"array<{ONE}>"
 
 
 def _parts(kind: str, spans: Column) -> Column:
@@ -53,36 +54,56 @@ def _parts(kind: str, spans: Column) -> Column:
 def _sweep(parts: Column, reach: int, back: bool) -> Column:
     """Mark parts that a complementary part precedes (``back``: follows) within reach and in the same scope."""
     none = F.struct(F.lit(None).cast("int").alias("at"), F.lit(None).cast("int").alias("scope"))
-    start = F.struct(*[none.alias(r) for r in ROLES], F.array().cast(PART).alias("out"))
+    start = F.struct(*[none.alias(r) for r in ROLES])
 
-    def step(acc: Column, x: Column) -> Column:
+    def step(held: Column, x: Column) -> tuple[Column, Column]:
         near = F.lit(False)
         for r in ROLES:
-            gap = (acc[r]["at"] - x["e"]) if back else (x["s"] - acc[r]["at"])
-            near = near | ((x["role"] != r) & F.coalesce((gap <= reach) & (acc[r]["scope"] == x["scope"]), F.lit(False)))
+            gap = (held[r]["at"] - x["e"]) if back else (x["s"] - held[r]["at"])
+            near = near | ((x["role"] != r) & F.coalesce((gap <= reach) & (held[r]["scope"] == x["scope"]), F.lit(False)))
         here = F.struct((x["s"] if back else x["e"]).alias("at"), x["scope"].alias("scope"))
         better = F.least if back else F.greatest
-        held = [
+        then = [
             F.when(
                 x["role"] == r,
-                F.when(acc[r]["at"].isNull() | (acc[r]["scope"] != x["scope"]), here).otherwise(
-                    F.struct(better(acc[r]["at"], here["at"]).alias("at"), x["scope"].alias("scope"))
+                F.when(held[r]["at"].isNull() | (held[r]["scope"] != x["scope"]), here).otherwise(
+                    F.struct(better(held[r]["at"], here["at"]).alias("at"), x["scope"].alias("scope"))
                 ),
             )
-            .otherwise(acc[r])
+            .otherwise(held[r])
             .alias(r)
             for r in ROLES
         ]
-        return F.struct(*held, F.concat(acc["out"], F.array(x.withField("linked", x["linked"] | near))).alias("out"))
+        return F.struct(*then), x.withField("linked", x["linked"] | near).cast(ONE)
 
-    return F.aggregate(F.reverse(parts) if back else parts, start, step, lambda acc: F.reverse(acc["out"]) if back else acc["out"])
+    out = scan(F.reverse(parts) if back else parts, start, ONE, step)
+    return F.reverse(out) if back else out
+
+
+def _scoped(parts: Column, ends: Column) -> Column:
+    """``parts`` with the number of blank lines before each, without weak ones that lie inside a strong one.
+
+    A part inside a strong one is that part again, not a complement to it.  One pass over parts and ends in order.
+    """
+    mark = F.struct(*[F.lit(v).alias(n) for n, v in (("s", 0), ("k", -1), ("e", 0), ("kind", ""), ("role", ""), ("weak", True), ("scope", 0), ("linked", False))])
+    both = F.array_sort(F.concat(parts, F.transform(ends, lambda x: mark.withField("s", x["e"]).cast(ONE))))
+
+    def step(held: Column, x: Column) -> tuple[Column, Column]:
+        scope = held["scope"] + F.when(x["k"] < 0, 1).otherwise(0)
+        strong = F.when(~x["weak"], F.greatest(held["strong"], x["e"])).otherwise(held["strong"])
+        again = (x["k"] < 0) | (x["weak"] & (x["e"] <= held["strong"]))
+        out = x.withField("scope", scope).withField("k", F.when(again, -1).otherwise(x["k"]))
+        return F.struct(scope.alias("scope"), strong.alias("strong")), out.cast(ONE)
+
+    out = scan(both, F.struct(F.lit(0).alias("scope"), F.lit(-1).alias("strong")), ONE, step)
+    return F.filter(out, lambda x: x["k"] >= 0)
 
 
 def scan_secrets(df: DataFrame, text_col: str = "text", reach: int = REACH) -> DataFrame:
     """``df`` plus ``parts``: array of (s, k, e, kind, role, weak, scope, linked), strong ones and linked weak ones."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     named = F.regexp_like(text, F.lit(r"(?i)passw|secret|token|api_?key"))
-    none = F.array().cast("array<struct<s:int,e:int,m:string,before:string>>")
+    none = F.array().cast(f"array<{SPAN}>")
     value = F.regexp_extract
     df = df.withColumns(
         {
@@ -99,22 +120,12 @@ def scan_secrets(df: DataFrame, text_col: str = "text", reach: int = REACH) -> D
     )
     parts = F.concat(*[_parts(kind, F.col(f"_{kind}")) for kind, *_ in KINDS])
     df = df.withColumn("_all", F.array_sort(parts)).drop(*[f"_{kind}" for kind, *_ in KINDS])
-    # A part that lies inside a strong one is that part again, not a complement to it.
-    strong = F.filter("_all", lambda x: ~x["weak"])
-    inside = F.filter("_all", lambda x: ~x["weak"] | ~F.exists(strong, lambda y: (y["s"] <= x["s"]) & (x["e"] <= y["e"])))
-    weak_any = F.exists("_all", lambda x: x["weak"]) & (F.size("_all") > 1)
-    df = df.withColumn("_kept", F.when(weak_any, inside).otherwise(F.filter("_all", lambda x: ~x["weak"])))
-    ends = F.transform(match_spans(text, r"\n[\x20\t]*\n"), lambda x: x["e"])
-    df = df.withColumn("_ends", F.when(weak_any & (F.size("_kept") > 1), ends))
-    scoped = F.transform(
-        "_kept", lambda x: x.withField("scope", F.coalesce(F.size(F.filter("_ends", lambda b: b <= x["s"])), F.lit(0)))
-    )
-    df = df.withColumn("_scoped", F.when(F.col("_ends").isNotNull(), scoped).otherwise(F.col("_kept")))
+    company = F.exists("_all", lambda x: x["weak"]) & (F.size("_all") > 1)
+    scoped = _scoped(F.col("_all"), match_spans(text, r"\n[\x20\t]*\n"))
+    df = df.withColumn("_scoped", F.when(company, scoped))
     linked = _sweep(_sweep(F.col("_scoped"), reach, False), reach, True)
-    df = df.withColumn("_linked", F.when(F.col("_ends").isNotNull(), linked).otherwise(F.col("_scoped")))
-    return df.withColumn("parts", F.filter("_linked", lambda x: ~x["weak"] | x["linked"])).drop(
-        "_all", "_kept", "_ends", "_scoped", "_linked"
-    )
+    df = df.withColumn("_linked", F.when(F.col("_scoped").isNotNull(), linked).otherwise(F.col("_all")))
+    return df.withColumn("parts", F.filter("_linked", lambda x: ~x["weak"] | x["linked"])).drop("_all", "_scoped", "_linked")
 
 
 def listed(spans: Column) -> Column:

@@ -73,10 +73,34 @@ def test_odd_rows(spark):
     assert join.near_groups(df.limit(0)).count() == 0
 
 
-def test_the_prefix_is_as_long_as_recall_allows():
-    d = join.prefix_depth()
+def test_the_forest_stops_at_the_recall(spark, monkeypatch):
+    d = join.floor_depth()
     miss = [(1 - 0.8**k) ** join.TREES for k in (d, d + 1)]
     assert miss[0] <= 1 - join.RECALL < miss[1]
+    rng, depths, own = random.Random(8), [], join._buckets
+    monkeypatch.setattr(join, "_buckets", lambda forest, rows, depth, before: depths.append(depth) or own(forest, rows, depth, before))
+    base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    close = [(i, " ".join([*base, f"tail{i}"]), "", 0, 0) for i in range(120)]  # links of 0.99 say that whole labels are enough
+    got = join.near_groups(spark.createDataFrame(close, SCHEMA)).collect()
+    assert depths == [join.DEPTH] and all(r.n_links == 119 for r in got)
+    depths.clear()
+    far = [(2 * i + k, " ".join([f"t{i}w{j}" for j in range(40)] + [f"x{k}{i}{j}" for j in range(5)]), "", 0, 0) for i in range(300) for k in (0, 1)]
+    pairs = join.near_groups(spark.createDataFrame(far, SCHEMA)).collect()  # 36 of 46 shingles: below
+    assert all(r.n_links == 0 for r in pairs) and depths[-1] == join.floor_depth()
+    depths.clear()
+    near = [(2 * i + k, " ".join([f"t{i}w{j}" for j in range(40)] + [f"x{k}{i}{j}" for j in range(4)]), "", 0, 0) for i in range(300) for k in (0, 1)]
+    pairs = join.near_groups(spark.createDataFrame(near, SCHEMA)).collect()  # 36 of 44: above, and not all at the first depth
+    assert all(r.n_links == 1 for r in pairs) and len(depths) > 1
+
+
+def test_ids_of_any_type(spark):
+    a, b = (" ".join(f"{k}{i}" for i in range(60)) for k in "ab")
+    rows = [("x", a), ("b", a + " end"), (None, b), (None, b + " end"), ("c", "")]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    got = sorted(map(tuple, join.near_groups(df).collect()), key=str)
+    assert [g[1] for g in got if g[0] in ("x", "b")] == ["b", "b"] and [g[4] for g in got] == [1, 0, 1, 1, 1]
+    kept = sorted((r.doc_id or "") for r in join.keep_one(df).collect())
+    assert kept == ["", "b", "c"]
 
 
 def test_ids_do_not_stand_for_rows(spark):
