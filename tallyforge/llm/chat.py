@@ -9,7 +9,8 @@ sums inside a sorted part, and each part gets what the parts before it add up to
 
 Defined cases: a null speaker is ``unknown`` and a null text empty; null turns come first; ties go by speaker, then
 text; repeated rows are turns of their own; null conversation ids form one conversation; an empty table gives an empty
-result.  Offsets are code points.
+result; ``<|`` in what a speaker said or is called becomes ``<||``, so that nobody can forge the marks of a turn.  Offsets are
+code points.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ def rotate(
     turns = df.select(
         F.col(conv).alias("conv"),
         F.col(turn).alias("turn"),
-        F.coalesce(F.col(speaker), F.lit("unknown")).alias("speaker"),
-        F.coalesce(F.col(text), F.lit("")).alias("text"),
+        F.replace(F.coalesce(F.col(speaker), F.lit("unknown")), F.lit("<|"), F.lit("<||")).alias("speaker"),
+        F.replace(F.coalesce(F.col(text), F.lit("")), F.lit("<|"), F.lit("<||")).alias("text"),
     )
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     turns = cut(
@@ -95,7 +96,7 @@ def render(rotated: DataFrame) -> DataFrame:
 
 ORACLE = """
 WITH t AS (
-  SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations
+  SELECT conv_id, turn, replace(coalesce(role, 'unknown'), '<|', '<||') AS speaker, replace(coalesce(text, ''), '<|', '<||') AS text FROM conversations
 ), n AS (
   SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, speaker, text) - 1 AS seq FROM t
 ), p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t),

@@ -57,12 +57,13 @@ def mix(
     weights: tuple[float, ...] = WEIGHTS,
     max_epochs: int = MAX_EPOCHS,
     seed: int = 17,
+    key: Column | None = None,
 ) -> DataFrame:
-    """(id, source, size, source_size, target, taken, times): a row for each row of ``df``."""
-    shift = 64 - BUCKET_BITS
+    """(id, source, size, source_size, target, taken, times, key): a row for each row of ``df``; ``key``: what it is known by."""
+    shift, order = 64 - BUCKET_BITS, F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
     docs = cut(
-        df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), _key(id_col, text_col).alias("key"))
-        .withColumn("h", F.xxhash64(F.lit(seed), "key"))
+        df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), order.alias("order"), (order if key is None else key).alias("key"))
+        .withColumn("h", F.xxhash64(F.lit(seed), "order"))
         .withColumn("bucket", F.shiftrightunsigned("h", shift).cast("int"))
         .withColumn("row", F.monotonically_increasing_id()),
         "mix-docs",
@@ -93,7 +94,7 @@ def mix(
     edge = plan.join(ends, F.col("src").eqNullSafe(F.col("source2")), "left").drop("source2")
     edge = cut(edge.withColumn("before", F.coalesce("before", F.lit(0))), "mix-edge")
     dealt = docs.join(edge, same)
-    in_edge = Window.partitionBy("source").orderBy("h", "key", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    in_edge = Window.partitionBy("source").orderBy("h", "order", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     split = cut(
         dealt.where(able & (F.col("bucket") == F.col("edge")))
         .withColumn("upto", F.col("before") + F.sum("size").over(in_edge))
@@ -133,12 +134,18 @@ def _stepped(marked: DataFrame, steps: DataFrame | None) -> DataFrame:
     return marked.join(summed, "row", "left").withColumn("step", F.coalesce("step", F.lit(0)))
 
 
-def _key(id_col: str, text_col: str) -> Column:
-    return F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
+def whole_key(*columns: str) -> Column:
+    """128 bits of the columns' values; a null is not the same as a value in another column."""
+    cells = [x for c in columns for x in (F.col(c).isNull(), F.col(c))]
+    return F.struct(F.xxhash64(F.lit(1), *cells).alias("a"), F.xxhash64(F.lit(2), *cells).alias("b"))
 
 
 def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``df`` with each row as often as the mix takes it."""
-    times = mix(df, id_col=id_col, text_col=text_col, **how).groupBy("key").agg(F.sum("times").cast("int").alias("_times"))
-    one = df.withColumn("_key", _key(id_col, text_col)).join(times.withColumnRenamed("key", "_key"), "_key").dropDuplicates(["_key"])
-    return one.where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*df.columns)
+    """``df`` with each row as often as the mix takes it.
+
+    Rows are known by all their columns: only rows that are the same in each stand for each other, and their repetitions add up.
+    """
+    keyed = df.withColumn("_key", whole_key(*df.columns))
+    times = mix(keyed, id_col=id_col, text_col=text_col, key=F.col("_key"), **how).groupBy("key").agg(F.sum("times").cast("int").alias("_times"))
+    one = keyed.join(times.where("_times > 0").withColumnRenamed("key", "_key"), "_key").dropDuplicates(["_key"])
+    return one.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*df.columns)

@@ -9,7 +9,8 @@ Codebooks are fitted on at most ``SAMPLE`` vectors, those first in a hash order
 of the number of vectors, up to ``MAX_K``.
 
 Cells are dealt to parts of about ``PART`` entries in the order of cells; a cell that is larger, such as that of a very
-common vector, is cut over as many parts as it needs.  Queries go in blocks to the parts that hold their cells.
+common vector, is cut over as many parts as it needs.  A query goes once to each part that holds cells of its; an entry goes
+to its part once for every QUERY_BLOCK queries that ask there, and nowhere if none does.
 
 Defined cases: vectors that are null, zero, of another length than most, or hold null or non-finite components take no
 part; equal scores go to the smaller id; repeated ids are entries of their own, but never neighbours of that id; a
@@ -26,25 +27,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import cut
+from ._arrays import lean
+from ._common import cut, discard, join_hot
 
 SAMPLE, MAX_K, PER_CELL = 16384, 256, 32
-PART, QUERY_BLOCK, STRIP = 8192, 2048, 128
+PART, QUERY_BLOCK, STRIP = 4096, 2048, 128
 RECALL, CALIBRATION = 0.95, 256
 
 
 def _usable(batches, dim: int):
-    """Ids and vectors as bytes of doubles, without those that take no part."""
+    """Ids, vectors as bytes of doubles and whether they ask, without those that take no part."""
     for batch in batches:
-        ids, lists = batch.column(0), batch.column(1)
+        ids, lists, asks = batch.columns
         lens = np.asarray(lists.value_lengths().fill_null(0))
         ok = (lens == dim) & np.asarray(ids.is_valid())
         picked = lists.filter(pa.array(ok))
         flat = picked.flatten().to_numpy(zero_copy_only=False).astype(np.float64)  # null components become NaN
         x = flat.reshape(-1, dim)
         good = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
-        x, ids = x[good], ids.filter(pa.array(ok)).filter(pa.array(good))
-        yield pa.RecordBatch.from_arrays([ids, pa.array([r.tobytes() for r in x], pa.binary())], names=["vec_id", "vec"])
+        x, (ids, asks) = x[good], [c.filter(pa.array(ok)).filter(pa.array(good)) for c in (ids, asks)]
+        yield pa.RecordBatch.from_arrays([ids, pa.array([r.tobytes() for r in x], pa.binary()), asks], names=["vec_id", "vec", "asks"])
 
 
 def stacked(column) -> np.ndarray:
@@ -128,13 +130,13 @@ def search(
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest by inner product of every vector for which ``queries`` holds."""
     spark, schema = df.sparkSession, "query_id long, rank int, vec_id long, score double"
-    df = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("v"))
+    df = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("v"), F.coalesce(queries, F.lit(False)).alias("asks"))
     lengths = df.where(F.col("v").isNotNull()).groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     if lengths is None or not lengths["n"]:
         return spark.createDataFrame([], schema)
     dim = lengths["n"]
     half = (dim + 1) // 2
-    table = cut(df.mapInArrow(lambda it: _usable(it, dim), "vec_id long, vec binary"), "ann-vectors")
+    table = cut(df.mapInArrow(lean(lambda it: _usable(it, dim)), "vec_id long, vec binary, asks boolean"), "ann-vectors")
     total = table.count()
     sample = table.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
     if not total:
@@ -152,9 +154,10 @@ def search(
             v = stacked(batch.column(1))
             if len(v):
                 cell = nearest_centroid(v[:, :half], c1) * size + nearest_centroid(v[:, half:], c2)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32))], names=["vec_id", "vec", "cell"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32))], names=["vec_id", "vec", "asks", "cell"])
 
-    indexed = cut(table.mapInArrow(assign, "vec_id long, vec binary, cell int"), "ann-index")
+    indexed = cut(table.mapInArrow(lean(assign), "vec_id long, vec binary, asks boolean, cell int"), "ann-index")
+    discard(table)
     counts = np.zeros(size * size, np.int64)  # K * K numbers
     for r in indexed.groupBy("cell").count().collect():
         counts[r["cell"]] = r["count"]
@@ -200,20 +203,26 @@ def search(
             {"query_id": columns[0].astype(np.int64), "vec_id": columns[1].astype(np.int64), "score": columns[2].astype(np.float64)}
         )
 
-    asked = indexed.where(queries).select("vec_id", "vec").dropDuplicates(["vec_id"])
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")
-    probes = asked.mapInArrow(probe, "part long, query_id long, q binary, cells binary").withColumn("block", block)
+    asked = indexed.where("asks").groupBy("vec_id").agg(F.min("vec").alias("vec"))  # of repeated ids one asks, always the same
+    probes = cut(asked.mapInArrow(lean(probe), "part long, query_id long, q binary, cells binary"), "ann-probes")
+    needs = probes.groupBy("part").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / QUERY_BLOCK).cast("int"))
+    needs = cut(needs, "ann-needs")
+    block = F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int").alias("block")
+    dealt = join_hot(probes, needs, ["part"], needs.agg(F.sum("n")).first()[0] or 0).select("part", block, "query_id", "q", "cells")
     # An entry's part: its cell's place in the order of cells, moved on within a large cell by a hash of its id.
     place = spark.createDataFrame(pa.table({"cell": np.arange(size * size, dtype=np.int32), "before": before, "n": counts}))
     spread = F.pmod(F.xxhash64("vec_id"), F.col("n"))
     entries = (
         indexed.join(F.broadcast(place), "cell")  # K * K rows, at most 65,536
         .withColumn("part", F.floor((F.col("before") + spread) / PART))
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        .join(needs.select("part", "blocks"), "part")
+        .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("part", "block", "vec_id", "vec", "cell")
     )
-    found = probes.groupBy("part", "block").cogroup(entries.groupBy("part", "block"))
+    found = dealt.groupBy("part", "block").cogroup(entries.groupBy("part", "block"))
     hits = found.applyInArrow(lambda key, a, b: rerank(key, b, a), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    out = hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    out = cut(out, "ann-found")
+    discard(indexed, probes, needs)
+    return out

@@ -33,8 +33,15 @@ def recall_on(spark, sf):
     return hits / (20 * len(got))
 
 
-def test_recall(spark):
-    assert recall_on(spark, "/root/testdata/sf0.1") >= 0.9
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_recall(spark, sf):
+    assert recall_on(spark, f"/root/testdata/{sf}") >= 0.9
+
+
+def test_an_id_of_another_name(spark):
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(1, 30)], "key long, v array<double>")
+    got = index.search(df, F.col("key") == 7, k=3, id_col="key", vec_col="v", recall=1.0).orderBy("rank").collect()
+    assert [(r.query_id, r.vec_id, r.score) for r in got] == [(7, 29, 204.0), (7, 28, 197.0), (7, 27, 190.0)]
 
 
 def test_the_walk_is_in_order():
