@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalars as S
+from . import usage
 
 TOTALS = ["files", "bytes", "tokens", "physical", "blank", "code", "comment", "content"]
 
@@ -32,6 +33,21 @@ def record_ai(old: DataFrame, new: DataFrame, today: str) -> DataFrame:
     return both.select("date", *[F.col(f"v.{c}").alias(c) for c in fields])
 
 
+def ai_rows(cube: DataFrame) -> DataFrame:
+    """(date, tokens, cost, cost_partial): what a usage load says of each day, from the priced cube of all agents."""
+    days = usage.totals(cube, "day")
+    return days.select(F.col("day").alias("date"), usage.real_tokens().alias("tokens"), "cost", usage.partial_flag().alias("cost_partial"))
+
+
+def ai_project_rows(priced: DataFrame, roots: DataFrame, tz: str = "UTC") -> DataFrame:
+    """(date, project_id, tokens, cost, cost_partial): each day's records by the project whose folder the session was in."""
+    days = priced.withColumn("agent", F.concat(S.day_key(F.col("ts"), tz), F.lit(" "), "agent"))  # a session counts on each of its days
+    sessions = usage.agent_sessions(days)
+    by_day = usage.project_sessions(sessions, roots).withColumn("date", F.substring("agent", 1, 10)).groupBy("date", "project_id")
+    sums = by_day.agg(*[F.sum(c).alias(c) for c in usage.AGENT_MEASURES])
+    return sums.select("date", "project_id", usage.real_tokens().alias("tokens"), "cost", usage.partial_flag().alias("cost_partial"))
+
+
 def chosen(df: DataFrame, projects: list[str] | None) -> DataFrame:
     return df if projects is None else df.where(F.col("project_id").isin(projects))
 
@@ -83,8 +99,8 @@ def timeline(lines: DataFrame, ai: DataFrame, ai_projects: DataFrame | None = No
         steps.where("was is not null").select("date", F.col("was").alias("contract"), F.lit(-1).alias("n"))
     )
     moves = moves.groupBy("date", "contract").agg(F.sum("n").alias("n"))
-    usage = ai_by_day(ai, ai_projects, projects, all_agents)
-    days = scans.join(usage, "date", "full_outer")
+    ai_day = ai_by_day(ai, ai_projects, projects, all_agents)
+    days = scans.join(ai_day, "date", "full_outer")
     by_day = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sums = days.select(
         "date", F.coalesce("scanned", F.lit(0)).alias("scanned"), "ai_tokens", "ai_cost", "ai_partial",
@@ -136,19 +152,19 @@ COMPARED = [
 ]
 
 
-def _day_totals(lines, usage, date, projects):
+def _day_totals(lines, ai_day, date, projects):
     sums = effective(lines, date, projects).agg(*[F.sum(c).cast("double").alias(c) for c in TOTALS])
-    day = usage.where(F.col("date") == date).agg(F.first("ai_tokens").alias("ai_tokens"), F.first("ai_cost").alias("ai_cost"))
+    day = ai_day.where(F.col("date") == date).agg(F.first("ai_tokens").alias("ai_tokens"), F.first("ai_cost").alias("ai_cost"))
     return sums, day
 
 
 def compare_metrics(lines: DataFrame, ai: DataFrame, date_a: str, date_b: str, ai_projects: DataFrame | None = None, projects: list[str] | None = None, all_agents: bool = True) -> DataFrame:
     """(ord, metric, a, b, delta, delta_percent, is_currency): what is unknown on a day is null, and so is its difference."""
-    usage = ai_by_day(ai, ai_projects, projects, all_agents)
+    ai_day = ai_by_day(ai, ai_projects, projects, all_agents)
     columns = []
     frame = None
     for side, date in (("a", date_a), ("b", date_b)):
-        for part in _day_totals(lines, usage, date, projects):
+        for part in _day_totals(lines, ai_day, date, projects):
             part = part.select([F.col(c).alias(f"{side}_{c}") for c in part.columns])
             frame = part if frame is None else frame.join(F.broadcast(part))  # one row each
     for i, (name, column, money) in enumerate(COMPARED):

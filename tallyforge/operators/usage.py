@@ -285,21 +285,29 @@ def status_text(found: Column, enabled: Column, failed: Column, records: Column)
 # ---- attribution ------------------------------------------------------------------------------------------------------------
 
 
-def match_projects(sessions: DataFrame, roots: DataFrame, since: int | None = None) -> DataFrame:
-    """Sums of the sessions inside each project's folder; a session counts for the innermost one only.
+def project_sessions(sessions: DataFrame, roots: DataFrame) -> DataFrame:
+    """Sessions with the project whose folder they are in, the innermost one; others are left out.
 
     ``roots``: (project_id, root_path, ord).  A session's folder is spelled out as all its ancestors and meets the roots in an
-    equi-join, so the work is sessions times depth, not times projects.  Projects without sessions keep zeros.
+    equi-join, so the work is sessions times depth, not times projects.
     """
-    if since is not None:
-        sessions = sessions.where(F.col("start") >= since)
     keyed = roots.select("project_id", "ord", S.windows_path(F.col("root_path")).alias("root")).where("root <> ''")
     own = keyed.groupBy("root").agg(F.min_by("project_id", "ord").alias("project_id"))
     parts = F.split(S.windows_path(F.col("cwd")), r"\\", -1)
     ups = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "\\"))
     rows = sessions.where("cwd <> ''").withColumn("_id", F.struct("agent", "id", "first_pos")).withColumn("root", F.explode(ups))
     hit = rows.join(own, "root").groupBy("_id").agg(F.max_by("project_id", F.length("root")).alias("project_id"), *[F.first(c).alias(c) for c in AGENT_MEASURES])
-    sums = hit.groupBy("project_id").agg(F.count(F.lit(1)).alias("sessions"), *[F.sum(c).alias(c) for c in AGENT_MEASURES])
+    return hit.select("_id.agent", "_id.id", "project_id", *AGENT_MEASURES)
+
+
+def match_projects(sessions: DataFrame, roots: DataFrame, since: int | None = None) -> DataFrame:
+    """Sums of the sessions inside each project's folder; a session counts for the innermost one only.
+
+    ``roots``: (project_id, root_path, ord).  Projects without sessions keep zeros.
+    """
+    if since is not None:
+        sessions = sessions.where(F.col("start") >= since)
+    sums = project_sessions(sessions, roots).groupBy("project_id").agg(F.count(F.lit(1)).alias("sessions"), *[F.sum(c).alias(c) for c in AGENT_MEASURES])
     return roots.select("project_id").join(sums, "project_id", "left").select(
         "project_id",
         F.coalesce("sessions", F.lit(0)).alias("sessions"),

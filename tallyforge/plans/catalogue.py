@@ -618,7 +618,7 @@ def git_net_baseline(spark, sf_dir):
     return history.baseline(commits(spark, sf_dir), _bounds()[0])
 
 
-def _history(spark, sf_dir, mode="Activity"):
+def history_rows(spark, sf_dir, mode="Activity"):
     start, end = _bounds()
     files = history.activity(commits(spark, sf_dir), changes(spark, sf_dir), start, end)
     return files, history.project_totals(commits(spark, sf_dir), files, start, end, mode)
@@ -626,7 +626,7 @@ def _history(spark, sf_dir, mode="Activity"):
 
 @query(f"WITH {HIST} SELECT * FROM t")
 def git_project_totals(spark, sf_dir):
-    return _history(spark, sf_dir)[1]
+    return history_rows(spark, sf_dir)[1]
 
 
 _GRAND = "count(*) AS projects, 0 AS incomplete, {commits} AS commits, " + ", ".join(f"sum({c}) AS {c}" for c in ("changed_files", "binary_files", "added", "deleted", "modified", "net"))
@@ -634,7 +634,7 @@ _GRAND = "count(*) AS projects, 0 AS incomplete, {commits} AS commits, " + ", ".
 
 @query(f"WITH {HIST} SELECT 'Activity' AS mode, {_GRAND.format(commits='sum(commits)')} FROM t UNION ALL SELECT 'NetChange', {_GRAND.format(commits='NULL')} FROM t")
 def git_totals(spark, sf_dir):
-    both = [history.grand_totals(_history(spark, sf_dir, m)[1], m).withColumn("mode", F.lit(m)) for m in ("Activity", "NetChange")]
+    both = [history.grand_totals(history_rows(spark, sf_dir, m)[1], m).withColumn("mode", F.lit(m)) for m in ("Activity", "NetChange")]
     return both[0].unionByName(both[1])
 
 
@@ -643,7 +643,7 @@ SELECT project_id AS project, 'OK' AS status, commits, changed_files, binary_fil
   CASE WHEN path IS NULL THEN 'ProjectStatus' ELSE 'File' END AS record_type FROM t LEFT JOIN f USING (project_id)
 UNION ALL SELECT 'All projects', CAST(count(*) AS VARCHAR) || ' projects; 0 incomplete/unavailable', sum(commits), sum(changed_files), sum(binary_files), '', sum(added), sum(deleted), sum(modified), sum(net), NULL, 'Totals' FROM t""")
 def export_with_status(spark, sf_dir):
-    files, projects = _history(spark, sf_dir)
+    files, projects = history_rows(spark, sf_dir)
     return history.export_rows(projects.withColumn("status", F.lit("OK")), files, history.grand_totals(projects))
 
 
@@ -706,3 +706,14 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     cube = priced_cube(spark, sf_dir)
     days = usage.totals(cube, "day").select("day", usage.partial_flag().alias("cost_partial"))
     return cube.join(days, "day")
+
+
+ACUBE_DAY = f"aday AS (SELECT day, {MEASURES} FROM acube GROUP BY day)"
+
+
+def timeline_sql() -> str:
+    """The SQL of the daily timeline, as a subquery."""
+    return ORACLES["daily_timeline"]
+
+
+from . import readers  # noqa: E402, F401  fills QUERIES and ORACLES

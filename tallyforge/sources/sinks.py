@@ -65,6 +65,13 @@ def guarded_csv(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(F.concat_ws(",", *[_guarded(df, c) for c in columns]).alias("line"))
 
 
+def history_csv(rows: DataFrame, branch: str, head_: str, start, end, mode: str, scope: str) -> DataFrame:
+    """One ``line`` a row of ``operators.history.export_rows``, all 18 columns; ``rows`` may have columns of its own for these values."""
+    given = {"branch": branch, "head": head_, "start": start, "end": end, "mode": mode, "scope": scope}
+    rows = rows.withColumns({c: F.lit(v) for c, v in given.items() if c not in rows.columns})
+    return guarded_csv(rows, HISTORY_COLUMNS)
+
+
 def write_lines(lines: DataFrame, folder: str) -> None:
     """CSV parts without a head, written by all tasks: the form for results that no one file should hold."""
     lines.select("line").write.mode("overwrite").text(folder)
@@ -149,8 +156,12 @@ def read_document(path: str, default: dict) -> dict:
 FORMAT, VERSION = "tallyforge-projects", 1
 
 
+def projects_text(projects: list[dict]) -> str:
+    return json.dumps({"format": FORMAT, "version": VERSION, "projects": projects}, ensure_ascii=False, indent=2)
+
+
 def export_projects(projects: list[dict], path: str) -> None:
-    write_document({"format": FORMAT, "version": VERSION, "projects": projects}, path)
+    replace_file(path, projects_text(projects))
 
 
 def import_projects(spark: SparkSession, text: str) -> DataFrame:
