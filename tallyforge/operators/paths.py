@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,29 +84,58 @@ def parse_rules(lines: list[str], base: str = "") -> list[tuple[str, bool, bool]
     return rules
 
 
-RULE = "ord int, project_id string, base string, regex string, negated boolean, folders boolean"
+RULE = "ord long, project_id string, base string, regex string, negated boolean, folders boolean"
+OWN = 1 << 62  # a project's own patterns come last
 
 
 def rules_frame(spark: SparkSession, defaults: list[str], files: list[tuple[str, str, list[str]]] = (), own: list[tuple[str, list[str]]] = ()) -> DataFrame:
-    """Rules in order: defaults, ignore files from the root down (project, folder, lines), a project's own patterns."""
-    rows = [(None, "", r) for r in parse_rules(list(defaults))]
-    for project, base, lines in sorted(files, key=lambda f: (f[0], f[1].count("/") + bool(f[1]), f[1])):
-        rows += [(project, base, r) for r in parse_rules(lines, base)]
-    rows += [(project, "", r) for project, lines in own for r in parse_rules(lines)]
-    return spark.createDataFrame([(i, p, b, *r) for i, (p, b, r) in enumerate(rows)], RULE)
+    """Rules in order: defaults (no project), ignore files from the root down (project, folder, lines), a project's own patterns."""
+    rows = [(i, None, "", *r) for i, r in enumerate(parse_rules(list(defaults)))]
+    for project, base, lines in files:
+        rows += file_rules(project, base, lines)
+    for project, lines in own:
+        rows += [(OWN + i, project, "", *r) for i, r in enumerate(parse_rules(lines))]
+    return spark.createDataFrame(rows, RULE)
+
+
+def file_rules(project: str, base: str, lines: list[str]) -> list[tuple]:
+    """The rules of one ignore file; deeper files come later, so they win."""
+    depth = base.count("/") + bool(base)
+    return [((depth + 1 << 32) + i, project, base, *r) for i, r in enumerate(parse_rules(lines, base))]
+
+
+def rules_of(ignore_files: DataFrame) -> DataFrame:
+    """Rules of ignore files (project_id, path, text), parsed where they are read."""
+
+    def parse(frames):
+        for frame in frames:
+            rows = [r for project, path, text in zip(frame["project_id"], frame["path"], frame["text"]) for r in file_rules(project, path.rpartition("/")[0], text.splitlines())]
+            yield pd.DataFrame(rows, columns=["ord", "project_id", "base", "regex", "negated", "folders"])
+
+    return ignore_files.select("project_id", "path", "text").where("text is not null").mapInPandas(parse, RULE)
 
 
 def ignored(paths: DataFrame, rules: DataFrame, keys: list[str]) -> DataFrame:
     """``keys`` and ``ignored``: the last rule that matches decides; ``paths``: keys, project_id, path, is_dir.
 
-    Rules come from a few files and are broadcast; each path meets those of its project whose folder it is in.
+    Rules without a project are the caller's own list and become one expression.  The others meet, by an equi-join on the
+    project and the folder of their file, the paths below that folder; each path is spelled out as its ancestors.
     """
-    r = F.broadcast(rules.withColumnRenamed("project_id", "_p"))
-    scope = F.col("_p").isNull() | (F.col("_p") == F.col("project_id"))
-    inside = (F.col("base") == "") | F.startswith(F.col("path"), F.concat("base", F.lit("/"))) | (F.col("is_dir") & (F.col("path") == F.col("base")))
-    folders = ~F.col("folders") | F.col("is_dir") | F.contains(F.col("path"), F.lit("/"))
-    hit = paths.join(r, scope & inside & folders & F.regexp_like(F.col("path"), F.col("regex")), "left")
-    return hit.groupBy(*keys).agg(F.coalesce(F.max_by(~F.col("negated"), "ord"), F.lit(False)).alias("ignored"))
+    mark = F.struct("ord", "negated")
+    general = rules.where("project_id is null").orderBy("ord").collect()  # the configured defaults
+    fits = lambda r: F.regexp_like(F.col("path"), F.lit(r.regex)) & (F.col("is_dir") | F.contains(F.col("path"), F.lit("/")) if r.folders else F.lit(True))
+    default = F.coalesce(
+        *[F.when(fits(r), F.struct(F.lit(r.ord).alias("ord"), F.lit(r.negated).alias("negated"))) for r in reversed(general)],
+        F.lit(None).cast("struct<ord:bigint,negated:boolean>"),
+    )
+    folders = F.concat(F.array(F.lit("")), ancestors(F.col("path")), F.when(F.col("is_dir"), F.array(F.col("path"))).otherwise(F.array().cast("array<string>")))
+    spelled = paths.select(*keys, *[c for c in ("project_id", "path", "is_dir") if c not in keys], F.explode(folders).alias("base"))
+    own = rules.where("project_id is not null")
+    allowed = ~F.col("folders") | F.col("is_dir") | F.contains(F.col("path"), F.lit("/"))
+    hits = spelled.join(own, ["project_id", "base"]).where(allowed & F.regexp_like(F.col("path"), F.col("regex")))
+    last = hits.groupBy(*keys).agg(F.max(mark).alias("hit"))
+    rows = paths.select(*keys, default.alias("default")).join(last, keys, "left")
+    return rows.select(*keys, F.coalesce(~F.greatest("default", "hit")["negated"], F.lit(False)).alias("ignored"))
 
 
 def ancestors(path: Column) -> Column:

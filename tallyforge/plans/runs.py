@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dims
 from ..functions import scalars as S
-from ..operators import history, lines, paths, usage
+from ..operators import dailylog, history, lines, paths, usage
 from ..sources import agents, registry, sinks
 from ..sources import files as raw
 
@@ -19,12 +19,8 @@ def scan(spark: SparkSession, roots: dict[str, str], scope: str = "SourceOnly",
     """(file metrics, warnings) of all projects.  ``tokens``: a function from a text column to its token count."""
     entries = raw.source_tree(spark, roots, max_bytes)
     ignore = entries.where(F.regexp_like("path", F.lit(r"(^|/)\.gitignore$")) & F.col("content").isNotNull())
-    listed = [
-        (r.project_id, r.path.rpartition("/")[0], r.t.splitlines())
-        for r in ignore.select("project_id", "path", F.try_validate_utf8(F.col("content").cast("string")).alias("t")).collect()
-        if r.t is not None
-    ]
-    rules = paths.rules_frame(spark, excludes, listed, own)
+    ignore = ignore.select("project_id", "path", F.try_validate_utf8(F.col("content").cast("string")).alias("text"))
+    rules = paths.rules_frame(spark, excludes, (), own).unionByName(paths.rules_of(ignore))
     found, warnings = paths.scannable(entries.select("project_id", "path", "is_dir", "size"), rules, max_bytes)
     chosen = paths.classify(found, scope)
     texts = entries.select("project_id", "path", "content").join(chosen, ["project_id", "path"])
@@ -77,9 +73,14 @@ def claude_report(records: DataFrame, tz: str = "UTC", since: int | None = None,
     }
 
 
-def history_report(spark: SparkSession, repos: dict[str, str], start: int, end: int, scope: str = "SourceOnly", rules: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Activity of all repositories between two times (epoch seconds)."""
-    commits, diffs = raw.git_log(spark, repos), raw.git_diff(spark, repos, start, end)
+def history_report(
+    spark: SparkSession, repos: dict[str, str], start: int, end: int, scope: str = "SourceOnly", rules: DataFrame | None = None, mode: str = "Activity"
+) -> dict[str, DataFrame]:
+    """Changes of all repositories between two times (epoch seconds): of every commit (Activity), or from the last commit
+    before the window to the last one in it (NetChange)."""
+    commits = raw.git_log(spark, repos)
+    net = mode == "NetChange"
+    diffs = raw.git_net(spark, repos, start, end) if net else raw.git_diff(spark, repos, start, end)
     keys = ["project_id", "hash"]
 
     def counting(df: DataFrame, column: str, flag: str) -> DataFrame:
@@ -99,9 +100,57 @@ def history_report(spark: SparkSession, repos: dict[str, str], start: int, end:
     parts = parts.withColumn("path", F.regexp_extract("patch", r"(?m)^\+\+\+ (?:b/)?(.*?)\t?$", 1))
     modified = history.modified_estimate(parts, [*keys, "path"])
     changes = changes.join(modified, [*keys, "path"], "left").na.fill(0, ["modified"])
-    files = history.activity(commits, changes, start, end, commits.where("shallow").select("project_id").distinct())
-    totals = history.project_totals(commits, files, start, end)
-    return {"files": files, "projects": totals, "totals": history.grand_totals(totals)}
+    files = history.activity(commits, changes, start, end, None if net else commits.where("shallow").select("project_id").distinct())
+    totals = history.project_totals(commits, files, start, end, mode)
+    known = commits.groupBy("project_id").agg(
+        F.max_by("hash", F.when(F.col("ts") <= end, -F.col("ord"))).alias("head"), F.bool_or("shallow").alias("_shallow"), F.count_if(F.col("ts").between(start, end)).alias("_n"),
+        F.bool_or(F.col("parent").isNull() & F.col("ts").between(start, end)).alias("_edge"), F.bool_or(F.col("ts") < start).alias("_base"),
+    )
+    said = history.status(F.col("_n"), F.col("_shallow"), F.col("_edge"), F.col("_base"), mode)
+    projects = totals.join(known, "project_id").withColumn("status", said).drop("_shallow", "_n", "_edge", "_base")
+    grand = history.grand_totals(projects, mode, "status is not null and status <> 'No commits'")
+    return {"files": files, "projects": projects, "totals": grand}
+
+
+def history_export(report: dict[str, DataFrame], path: str, branch: str, start: int, end: int, mode: str = "Activity", scope: str = "SourceOnly") -> None:
+    """The report as one CSV file of 18 columns."""
+    rows = history.export_rows(report["projects"], report["files"], report["totals"])
+    heads = report["projects"].select(F.col("project_id").alias("project"), "head")
+    lines = sinks.history_csv(rows.join(heads, "project", "left"), branch, "", start, end, mode, scope)
+    sinks.write_csv_file(lines, path, sinks.head(sinks.HISTORY_COLUMNS))
+
+
+def record_day(files: DataFrame, names: DataFrame, log: DataFrame | None, day: str, scanned_at: int, scope: str, tokenizer: str) -> DataFrame:
+    """The daily log's lines with a scan's file metrics put in: a row a project and day, the newest scan of the day.
+
+    ``names``: (project_id, name); projects without files get a row of zeros.
+    """
+    sums = files.groupBy("project_id").agg(F.count(F.lit(1)).alias("files"), *[F.sum(c).alias(c) for c in dailylog.TOTALS if c != "files"])
+    rows = names.join(sums, "project_id", "left").na.fill(0, dailylog.TOTALS).select(
+        F.lit(day).alias("date"), "project_id", "name", F.lit(scanned_at).cast("long").alias("scanned_at"), F.lit(scope).alias("scope"), F.lit(tokenizer).alias("tokenizer"),
+        *[F.col(c).cast("long").alias(c) for c in dailylog.TOTALS],
+    )
+    return rows if log is None else dailylog.record_lines(log, rows)
+
+
+def record_usage(report: dict[str, DataFrame], priced: DataFrame, roots: DataFrame, ai: DataFrame | None, ai_projects: DataFrame | None, today: str, tz: str = "UTC") -> tuple[DataFrame, DataFrame]:
+    """The daily log's assistant rows, a row a day and a row a day and project, with a usage load put in.
+
+    Of days that were known, today's is replaced and a past one only by at least as many tokens; a day's project rows go
+    with its own row.
+    """
+    days, parts = dailylog.ai_rows(report["cube"]), dailylog.ai_project_rows(priced, roots, tz)
+    if ai is None:
+        return days, parts
+    taken = days.join(ai.select("date", F.col("tokens").alias("_old")), "date", "left").where((F.col("date") == today) | F.col("_old").isNull() | (F.col("tokens") >= F.col("_old"))).select("date")
+    kept = ai_projects.join(taken, "date", "left_anti").unionByName(parts.join(taken, "date", "left_semi"))
+    return dailylog.record_ai(ai, days, today), kept
+
+
+def daily_export(lines: DataFrame, ai: DataFrame, path: str) -> None:
+    """The timeline as one CSV file of 17 columns, newest day last."""
+    rows = dailylog.notes(dailylog.timeline(lines, ai))
+    sinks.write_csv_file(sinks.guarded_csv(rows, sinks.DAILY_COLUMNS).withColumn("_d", F.substring("line", 2, 10)), path, sinks.head(sinks.DAILY_COLUMNS), ["_d"])
 
 
 def usage_of(spark: SparkSession, where: registry.Home, tz: str = "UTC", disabled: set[str] = frozenset(), extra_transcripts: list[str] = (), out: str | None = None) -> dict:

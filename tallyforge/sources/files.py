@@ -16,7 +16,6 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.window import Window
 
 from ..session import ship_package
 
@@ -186,6 +185,19 @@ def git_diffs(project: str, folder: str, since: int, until: int) -> Iterator[tup
             )
 
 
+def git_net_diff(project: str, folder: str, since: int, until: int) -> Iterator[tuple]:
+    """One row: texts as of :func:`git_diffs` from the newest commit before the window (nothing, if there is none and the
+    history is whole) to the newest one in it, under the latter's name."""
+    log = list(git_commits(project, folder))
+    inside = [c for c in log if since <= c[4] <= until]
+    before = [c for c in log if c[4] < since]
+    if not inside or (not before and log[-1][6]):
+        return
+    pair = [before[0][3] if before else git(folder, "hash-object", "-t", "tree", "/dev/null").strip(), inside[0][3]]
+    diff = lambda *args: git(folder, "diff", *args, *DIFF, *pair)
+    yield project, pair[1], diff("--numstat", "-z", "--find-renames=50%"), diff("--numstat", "-z", "--no-renames"), diff("--unified=0", "--find-renames=50%")
+
+
 class GitLog(DataSource):
     """Options: ``repos`` (lines of project TAB folder)."""
 
@@ -201,7 +213,7 @@ class GitLog(DataSource):
 
 
 class GitDiff(DataSource):
-    """Options: ``repos`` (lines of project TAB folder), ``since``, ``until`` (epoch seconds)."""
+    """Options: ``repos`` (lines of project TAB folder), ``since``, ``until`` (epoch seconds), ``net`` (one change over the window)."""
 
     @classmethod
     def name(cls) -> str:
@@ -213,7 +225,7 @@ class GitDiff(DataSource):
     def reader(self, schema) -> DataSourceReader:
         lo, hi = int(self.options.get("since", 0)), int(self.options.get("until", 1 << 60))
         repos = [tuple(x.split("\t", 1)) for x in self.options.get("repos", "").split("\n") if x]
-        return _Reader([(p, f, lo, hi) for p, f in repos], git_diffs)
+        return _Reader([(p, f, lo, hi) for p, f in repos], git_net_diff if self.options.get("net") == "true" else git_diffs)
 
 
 def register(spark: SparkSession) -> None:
@@ -243,12 +255,22 @@ def git_diff(spark: SparkSession, repos: dict[str, str], since: int = 0, until:
     return spark.read.format("git_diff").options(repos="\n".join(f"{p}\t{r}" for p, r in repos.items()), since=since, until=until).load()
 
 
+def git_net(spark: SparkSession, repos: dict[str, str], since: int = 0, until: int = 1 << 60) -> DataFrame:
+    register(spark)
+    return spark.read.format("git_diff").options(repos="\n".join(f"{p}\t{r}" for p, r in repos.items()), since=since, until=until, net="true").load()
+
+
 def numbered_lines(files: DataFrame, pattern: str) -> DataFrame:
-    """(path, ord, line) of the text files whose names match: ord grows with the sorted paths, then the lines."""
+    """(path, ord, line) of the text files whose names match: ord grows with the sorted paths, then the lines.
+
+    Names are range-sorted without their contents; ord holds a file's range (13 bits), its place there (22) and the line (26).
+    """
     text = F.col("content").cast("string")
     chosen = files.where(~F.col("is_dir") & F.regexp_like("path", F.lit(pattern)) & F.col("content").isNotNull())
-    number = F.row_number().over(Window.orderBy("project_id", "path"))  # a row a file, without its content
-    order = chosen.select("project_id", "path").withColumn("file_ord", number)
+    parts = min(8192, int(files.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    order = chosen.select("project_id", "path").repartitionByRange(parts, "project_id", "path").sortWithinPartitions("project_id", "path")
+    place = F.monotonically_increasing_id()  # the range from bit 33 on, the place below
+    order = order.withColumn("file_ord", F.shiftleft(F.shiftright(place, 33), 22) + place.bitwiseAND(F.lit((1 << 22) - 1)))
     rows = chosen.join(order, ["project_id", "path"])
     lines = rows.select("project_id", "path", "file_ord", F.posexplode(F.split(text, r"\r\n|\r|\n", -1)).alias("n", "line"))
-    return lines.select("project_id", "path", (F.shiftleft(F.col("file_ord").cast("long"), 32) + F.col("n")).alias("ord"), "line")
+    return lines.select("project_id", "path", (F.shiftleft(F.col("file_ord"), 26) + F.col("n")).alias("ord"), "line")

@@ -79,3 +79,32 @@ def test_comparison_and_texts(spark):
     assert (w.contracts, w.differ, w.carried_a, w.carried_b) == ("S/t", False, True, False)
     notes = [r.notes for r in dailylog.notes(dailylog.timeline(df, spark.createDataFrame([("0", 1.0, 0.0, False), ("2", 1.0, 0.0, False)], AI))).orderBy("date").collect()]
     assert notes == ["Not scanned yet", "", "Not scanned this day; latest earlier scan shown", ""]
+
+
+def test_a_day_is_recorded(spark, tmp_path):
+    from tallyforge.operators import usage
+    from tallyforge.plans import runs
+
+    sums = ["bytes", "tokens", "physical", "blank", "code", "comment", "content"]
+    files = spark.createDataFrame([("p", *range(7)), ("p", *[10] * 7)], "project_id string, " + ", ".join(f"{c} long" for c in sums))
+    names = spark.createDataFrame([("p", "P"), ("q", "Q")], "project_id string, name string")
+    first = runs.record_day(files, names, None, "2024-01-01", 5, "AllText", "T")
+    assert {(r.project_id, r.files, r.physical) for r in first.collect()} == {("p", 2, 12), ("q", 0, 0)}
+    again = runs.record_day(files.limit(1), names, first, "2024-01-01", 6, "AllText", "T").collect()
+    assert sorted((r.project_id, r.files) for r in again) == [("p", 1), ("q", 0)]
+    day = 86_400_000
+    record = lambda i, ts, cwd, n: ("a", ts, "m", float(n), 0.0, 0.0, 0.0, 0.0, 1.0, "s", f"r{i}", cwd, 1, i)
+    kind = "agent string, ts long, model string, input double, cw double, cr double, output double, thinking double, cost double, session string, request string, cwd string, calls int, ord long"
+    rows = spark.createDataFrame([record(0, 1, "/w/p/x", 5), record(1, day + 1, "/w/p", 7), record(2, day + 2, "/w/p", 2)], kind)
+    roots = spark.createDataFrame([("p", "/w/p", 0), ("q", "/w/q", 1)], "project_id string, root_path string, ord int")
+    load = lambda df: ({"cube": usage.agent_cube(df)}, df, roots)
+    ai, parts = runs.record_usage(*load(rows), None, None, "1970-01-02")
+    assert sorted((r.date, r.tokens) for r in ai.collect()) == [("1970-01-01", 5.0), ("1970-01-02", 9.0)]
+    assert sorted((r.date, r.project_id, r.tokens) for r in parts.collect()) == [("1970-01-01", "p", 5.0), ("1970-01-02", "p", 9.0)]
+    less = spark.createDataFrame([record(0, 1, "/w/q", 4), record(1, day + 1, "/w/q", 1)], kind)  # fewer tokens: only today is replaced
+    ai, parts = runs.record_usage(*load(less), ai, parts, "1970-01-02")
+    assert sorted((r.date, r.tokens) for r in ai.collect()) == [("1970-01-01", 5.0), ("1970-01-02", 1.0)]
+    assert sorted((r.date, r.project_id, r.tokens) for r in parts.collect()) == [("1970-01-01", "p", 5.0), ("1970-01-02", "q", 1.0)]
+    runs.daily_export(first, ai, str(tmp_path / "d.csv"))
+    lines = (tmp_path / "d.csv").read_text(encoding="utf-8-sig").splitlines()
+    assert lines[0].count(",") == 16 and [line[1:11] for line in lines[1:]] == ["1970-01-01", "1970-01-02", "2024-01-01"]

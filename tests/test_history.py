@@ -139,3 +139,22 @@ def test_days_and_status(spark):
     got = df.select(history.status(*map(F.col, "nsbh"), "Activity").alias("a"), history.status(*map(F.col, "nsbh"), "NetChange").alias("n")).collect()
     assert [r.a for r in got] == ["No commits", "Incomplete: shallow boundary excluded", "Incomplete: shallow local history", None]
     assert got[1].n == "Unavailable: period starts before available shallow history" and got[3].n is None
+
+
+def test_net_change_and_export(spark, repo, tmp_path):
+    repo.commit({"a.cs": "1\n2\n3\n", "gone.cs": "x\n"})
+    start = repo.commit({"a.cs": "1\nTWO\n3\n", "tmp.cs": "y\n"})
+    repo.commit({"tmp.cs": None, "gone.cs": None})
+    end = repo.commit({"a.cs": "1\n2\n3\n4\n"})
+    report = runs.history_report(spark, {"p": str(repo.path)}, start, end, mode="NetChange")
+    assert by_path(report) == {"a.cs": (1, 0, 0, False), "gone.cs": (0, 1, 0, False)}
+    p = report["projects"].first()
+    assert (p.commits, p.changed_files, p.net, p.status) == (None, 2, 0, None) and p.head == repo("rev-parse", "HEAD").strip()
+    whole = runs.history_report(spark, {"p": str(repo.path)}, 0, end, mode="NetChange")  # no commit before: all that is there
+    assert by_path(whole) == {"a.cs": (4, 0, 0, False)}
+    none = runs.history_report(spark, {"p": str(repo.path)}, end + 1, end + 2, mode="NetChange")
+    assert none["files"].count() == 0 and none["projects"].first().status == "No commits"
+    runs.history_export(report, str(tmp_path / "h.csv"), "main", start, end, "NetChange")
+    lines = (tmp_path / "h.csv").read_text(encoding="utf-8-sig").splitlines()
+    assert lines[0].count(",") == 17 and len(lines) == 4 and all(line.count('","') == 17 for line in lines[1:])
+    assert any(f'"{p.head}"' in line and '"NetChange"' in line for line in lines[1:])
