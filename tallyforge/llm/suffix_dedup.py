@@ -16,6 +16,9 @@ Sorting.  A task's contexts are one text with a separator of its own after each.
 the triples at places 1 and 2 mod 3, recurse on the names until they differ, sort the other suffixes by
 first symbol and the rank of the next, merge by counting, and compare adjacent suffixes' LENGTH bytes.
 
+Runs count as equal when name, context and length agree: two 64-bit hashes of different spans (the smallest core, the whole
+context) and the number of bytes.
+
 Copies of a text are judged by a key of its bytes, and every text's removed ranges come back to it by that key.
 
 Defined cases: null text is empty; texts shorter than LENGTH lose nothing; repeated rows are texts of their own, so each
@@ -29,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrays import BYTE_VALUE, blocks, mix64, powers, raw
-from ._common import bloom_filters, cut, discard
+from ._arrays import BYTE_VALUE, blocks, lean, mix64, powers, raw
+from ._common import bloom_filters, cut, discard, join_hot, ready
 
 LENGTH, CORE = 200, 50
 GROUP_BYTES = 1 << 20
@@ -257,12 +260,14 @@ def _apply(length: int):
 
 def _ranges_by_text(texts: DataFrame) -> DataFrame:
     """(k1, size, runs): the repeated runs of each text that has any."""
-    found = cut(texts.where(F.col("size") >= LENGTH).select("k1", "size", "text").mapInArrow(_find_runs, RUN), "suffix-runs")
+    found = cut(texts.where(F.col("size") >= LENGTH).select("k1", "size", "text").mapInArrow(lean(_find_runs), RUN), "suffix-runs")
     # What each name holds; sums are combined before the shuffle.
     names = found.groupBy("name").agg(
-        F.count(F.lit(1)).alias("n"), F.min("context").alias("lo"), F.max("context").alias("hi"), F.max("own").alias("own")
-    )
-    names = names.where((F.col("n") > 1) | F.col("own")).select("name", ((F.col("lo") == F.col("hi")) & (F.col("n") > 1)).alias("whole"))
+        F.count(F.lit(1)).alias("n"), F.min("context").alias("lo"), F.max("context").alias("hi"), F.min("starts").alias("least"), F.max("starts").alias("most"),
+        F.max("own").alias("own"),
+    )
+    alike = (F.col("lo") == F.col("hi")) & (F.col("least") == F.col("most")) & (F.col("n") > 1)
+    names = names.where((F.col("n") > 1) | F.col("own")).select("name", alike.alias("whole"))
     names = cut(names, "suffix-names")
     live = found.join(names, "name").select(*found.columns, "whole")
     live = cut(live, "suffix-live")
@@ -282,15 +287,16 @@ def _ranges_by_text(texts: DataFrame) -> DataFrame:
     listed = cut(listed, "suffix-listed")
     one = texts.join(listed.where(F.col("size") >= LENGTH), ["k1", "size"]).dropDuplicates(["k1", "size"]).select("text", "runs")
     with bloom_filters(texts.sparkSession):  # most texts have no such run and stay out of the shuffle
-        pieces = cut(one.mapInArrow(_cut_contexts, "name long, context long, bytes binary"), "suffix-pieces")
+        pieces = cut(one.mapInArrow(lean(_cut_contexts), "name long, context long, bytes binary"), "suffix-pieces")
     dealt = pieces.join(groups, "name")
     tasks = max(1, int((contexts.agg(F.sum("bytes")).first()[0] or 0) // TASK_BYTES))
     small = dealt.where(F.col("total") <= GROUP_BYTES).withColumn("task", F.pmod(F.xxhash64("name"), F.lit(tasks)))
     sorted_ = small.groupBy("task").applyInArrow(_sort_group, "name long, context long, ranges binary")
     windows = dealt.where(F.col("total") > GROUP_BYTES).select("name", "context", "bytes")
-    windows = windows.mapInArrow(_windows, "name long, context long, start int, window long")
-    often = windows.groupBy("name", "window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    starts = windows.join(often, ["name", "window"]).groupBy("name", "context").agg(F.collect_list("start").alias("starts"))
+    windows = cut(windows.mapInArrow(lean(_windows), "name long, context long, start int, window long"), "suffix-windows")
+    often = cut(windows.groupBy("name", "window").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "suffix-often")
+    total = often.agg(F.sum("n")).first()[0] or 0
+    starts = join_hot(windows, often, ["name", "window"], total).groupBy("name", "context").agg(F.collect_list("start").alias("starts"))
     spread = starts.mapInArrow(_starts_to_ranges, "name long, context long, ranges binary")
     decided = sorted_.unionByName(spread)
     # A context with several runs repeats as a whole, whatever its parts do.
@@ -302,7 +308,7 @@ def _ranges_by_text(texts: DataFrame) -> DataFrame:
     every = live.where("whole").select("k1", "size", "at", "starts", F.lit(None).cast("binary").alias("ranges"))
     both = some.unionByName(every)
     out = cut(both.groupBy("k1", "size").agg(F.collect_set(F.struct("at", "starts", "ranges")).alias("runs")), "suffix-ranges")
-    discard(live, names, listed, pieces, contexts, decided)
+    discard(live, names, listed, pieces, contexts, decided, windows, often)
     return out
 
 
@@ -318,13 +324,13 @@ def _starts_to_ranges(batches):
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept): what is left of every row's bytes."""
-    texts = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).select(
+    texts = ready(df).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).select(
         "id", "text", F.xxhash64("text").alias("k1"), F.octet_length("text").alias("size")
     )
     ranges = _ranges_by_text(texts)
     kind = df.schema[id_col].dataType.simpleString()
     joined = texts.join(ranges, ["k1", "size"], "left").select("id", "text", "runs")
-    return joined.mapInArrow(_apply(LENGTH), f"id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return joined.mapInArrow(lean(_apply(LENGTH)), f"id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def repeat_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
