@@ -301,23 +301,24 @@ def _grouped(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         depth = max([d for d in range(floor_depth(), depth) if expected_recall(steps, depth, d) >= RECALL], default=floor_depth())
     checked = reduce(DataFrame.unionByName, parts).where("rep is not null")
     links = checked.groupBy("rep").agg(F.sum("links").alias("n_links"))
-    roots = components(checked.select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    roots = cut(components(checked.select(F.col("rep").alias("a"), F.col("root").alias("b"))), "near-roots")
     # The smallest id of a class or group; without any id, a name of its own.
     nameless = F.concat(F.lit("class-"), F.hex("seq")) if id_type == "string" else (-F.abs("seq") - 1).try_cast(id_type)
     own = F.coalesce("low_id", nameless)
     joined = classes.join(roots, F.col("seq") == F.col("node")).groupBy("root")
-    ids = joined.agg(F.coalesce(F.min("low_id"), F.min(own)).alias("group_id"))
+    ids = cut(joined.agg(F.coalesce(F.min("low_id"), F.min(own)).alias("group_id"), F.count(F.lit(1)).alias("n")), "near-ids")
+    in_group = join_hot(roots, ids, ["root"], roots.count()).drop("n")
     info = (
         classes.select("seq", "n_words", own.alias("copy_of"), "n_copies")
         .join(links, F.col("seq") == F.col("rep"), "left")
-        .join(roots.join(ids, "root"), F.col("seq") == F.col("node"), "left")
+        .join(in_group, F.col("seq") == F.col("node"), "left")
         .select(
             "seq", "n_words", "copy_of", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"),
             F.coalesce("group_id", "copy_of").alias("group_id"), F.coalesce("root", "seq").alias("root"),
         )
     )
     info = cut(info, "near-info")
-    discard(*fetched, *rounds, *parts, forest, classes)
+    discard(*fetched, *rounds, *parts, forest, classes, roots, ids)
     hot = info.select("seq", "n_words", F.col("n_copies").alias("n"), *[c for c in info.columns if c not in ("seq", "n_words")])
     return join_hot(rows.select("id", "seq", "n_words"), hot, ["seq", "n_words"], rows.count()).drop("n")
 
@@ -333,12 +334,13 @@ def _ids_tell_classes(rows: DataFrame, classes: DataFrame) -> bool:
 def _sets_of(df: DataFrame, id_col: str, text_col: str, known: DataFrame, plain: bool) -> DataFrame:
     """(rep, grams) of the classes ``known``, from one text of each."""
     known = cut(known, "near-known")
+    some = known.where("n_words > 0")  # Spark makes a filter only of a side that has a predicate
     if plain:  # Spark's own Bloom filter of at most 8 MB keeps most texts without a candidate out of the shuffle.
         texts = df.select(F.col(id_col).alias("node"), F.col(text_col).alias("text"))
-        wanted = texts.join(known, F.col("node") == F.col("low_id")).dropDuplicates(["node"])
+        wanted = texts.join(some, F.col("node") == F.col("low_id")).dropDuplicates(["node"])
     else:  # texts are found by their words
         with_seq = df.select(F.col(text_col).alias("text")).mapInArrow(lean(_with_words), "text string, seq long, n_words int")
-        wanted = with_seq.join(known, ["seq", "n_words"]).dropDuplicates(["seq"])
+        wanted = with_seq.join(some, ["seq", "n_words"]).dropDuplicates(["seq"])
     sets = wanted.select(F.col("seq").alias("rep"), "text").mapInArrow(lean(_sets), "rep long, grams binary")
     with bloom_filters(df.sparkSession):
         sets = cut(sets, "near-sets")
