@@ -278,9 +278,14 @@ def _grouped(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         rows.groupBy("seq", "n_words").agg(F.min("id").alias("low_id"), F.count(F.lit(1)).alias("n_copies"), F.first("keys").alias("keys")),
         "near-classes",
     )
+    # Labels that no other has the first bits of, at the least depth, have no partner at any: they stay out of the forest.
     trees = classes.where("n_words > 0").select(F.col("seq").alias("rep"), F.posexplode("keys").alias("tree", "label"))
-    forest = cut(trees.repartitionByRange("tree", "label").sortWithinPartitions("tree", "label"), "near-forest")
+    trees = trees.withColumn("top", F.xxhash64("tree", F.shiftrightunsigned("label", 64 - BITS[floor_depth()])))
+    common = cut(trees.groupBy("top").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "near-common")
+    shared = join_hot(trees, common, ["top"], TREES * classes.count()).select("rep", "tree", "label")
+    forest = cut(shared.repartitionByRange("tree", "label").sortWithinPartitions("tree", "label"), "near-forest")
     n_labels = forest.count()
+    discard(common)
     known = classes.select("seq", "n_words", "low_id").where("n_words > 0")
     plain = _ids_tell_classes(rows, classes)
     rounds, fetched, parts, steps, depth = [], [], [], np.zeros(STEPS), DEPTH
