@@ -84,15 +84,20 @@ atexit.register(_sweep_at_exit)
 
 def discard(*tables: DataFrame) -> None:
     """Delete tables made by :func:`cut` that no later read needs, and now and then let Spark drop shuffles nobody holds."""
-    global _collected
     for df in tables:
         path = getattr(df, "_scratch_path", None)
         if path:
             _delete(df.sparkSession, path)
     if tables and time.monotonic() - _collected > 5:
-        gc.collect()
-        tables[0].sparkSession._jvm.System.gc()
-        _collected = time.monotonic()
+        drop_shuffles(tables[0].sparkSession)
+
+
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nobody holds."""
+    global _collected
+    gc.collect()
+    spark._jvm.System.gc()
+    _collected = time.monotonic()
 
 
 HOT = 1000

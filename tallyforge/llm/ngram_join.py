@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from ._arrays import blocks, lean, mix64, powers, runs_of, span_hashes, words
-from ._common import bloom_filters, cut, discard, join_hot, ready
+from ._common import bloom_filters, cut, discard, drop_shuffles, join_hot, ready
 from .graph import components
 
 WORDS = 5
@@ -286,6 +286,7 @@ def _grouped(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     forest = cut(shared.repartitionByRange("tree", "label").sortWithinPartitions("tree", "label"), "near-forest")
     n_labels = forest.count()
     discard(common)
+    drop_shuffles(spark)
     known = classes.select("seq", "n_words", "low_id").where("n_words > 0")
     plain = _ids_tell_classes(rows, classes)
     rounds, fetched, parts, steps, depth = [], [], [], np.zeros(STEPS), DEPTH
@@ -298,7 +299,9 @@ def _grouped(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         fetched.append(_sets_of(df, id_col, text_col, known.join(wanted, "seq", "left_semi"), plain))
         sets, members = reduce(DataFrame.unionByName, fetched), reduce(DataFrame.unionByName, rounds)
         seen = members.groupBy("rep").agg(F.sort_array(F.collect_list("bucket")).alias("seen"))  # at most TREES a round
+        drop_shuffles(spark)
         parts.append(_checked(sets, new, seen))
+        drop_shuffles(spark)
         for r in parts[-1].where("step is not null").groupBy("step").agg(F.sum("links").alias("n")).collect():  # at most STEPS
             steps[r.step] += r.n / 2
         if depth == floor_depth() or expected_recall(steps, depth, depth) >= RECALL:
