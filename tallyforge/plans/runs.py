@@ -153,23 +153,34 @@ def daily_export(lines: DataFrame, ai: DataFrame, path: str) -> None:
     sinks.write_csv_file(sinks.guarded_csv(rows, sinks.DAILY_COLUMNS).withColumn("_d", F.substring("line", 2, 10)), path, sinks.head(sinks.DAILY_COLUMNS), ["_d"])
 
 
-def usage_of(spark: SparkSession, where: registry.Home, tz: str = "UTC", disabled: set[str] = frozenset(), extra_transcripts: list[str] = (), out: str | None = None) -> dict:
+def usage_of(spark: SparkSession, where: registry.Home, tz: str = "UTC", disabled: set[str] = frozenset(), extra_transcripts: list[str] = (), out: str | None = None, cache: str | None = None, rescan: bool = False) -> dict:
     """The usage of all agents found: records, each agent's status and the report; pages go to the folder ``out``.
 
-    The assistant's transcripts are deduplicated by best copy, over all time, before they join the others.
+    The assistant's transcripts are deduplicated by best copy, over all time, before they join the others.  With a folder
+    ``cache``, transcripts and rollouts of the size and time they had at the load before are not read again.
     """
     found = registry.detect(where)
     folders = [f for f in [*registry.places("claude", where), *extra_transcripts] if os.path.isdir(f)]
     loads: dict[str, Callable[[], DataFrame]] = {}
+    counts: dict[str, dict[str, int]] = {}
+
+    def kept(agent: str, load: Callable[[], tuple[DataFrame, dict[str, int]]]) -> DataFrame:
+        rows, counts[agent] = load()
+        return rows
+
     if folders:
-        loads["claude"] = lambda: usage.from_claude(registry.transcripts(spark, folders))
+        loads["claude"] = lambda: usage.from_claude(
+            kept("claude", lambda: registry.kept_transcripts(spark, folders, cache, rescan)) if cache else registry.transcripts(spark, folders)
+        )
     for agent, load in registry.LOADERS.items():
         if found[agent]:
             loads[agent] = lambda load=load: load(spark, where)
+    if cache and found["codex"]:
+        loads["codex"] = lambda: kept("codex", lambda: registry.kept_codex(spark, where, cache, rescan))
     records, status = load_sources(loads, disabled)
     status = {agent: status.get(agent, "Disabled" if agent in disabled else "NotFound") for agent in registry.PLACES}
     if records is None:
-        return {"status": status, "records": None}
+        return {"status": status, "records": None, "files": counts}
     report = usage_report(records, tz)
     if out:
         os.makedirs(out, exist_ok=True)
@@ -180,4 +191,4 @@ def usage_of(spark: SparkSession, where: registry.Home, tz: str = "UTC", disable
         stale = [n for n in os.listdir(out) if n.endswith(".html") and n != "agents.html"]
         for name in stale:  # pages of agents that are gone
             os.remove(os.path.join(out, name))
-    return {"status": status, "records": records} | report
+    return {"status": status, "records": records, "files": counts} | report

@@ -260,17 +260,21 @@ def git_net(spark: SparkSession, repos: dict[str, str], since: int = 0, until: i
     return spark.read.format("git_diff").options(repos="\n".join(f"{p}\t{r}" for p, r in repos.items()), since=since, until=until, net="true").load()
 
 
-def numbered_lines(files: DataFrame, pattern: str) -> DataFrame:
-    """(path, ord, line) of the text files whose names match: ord grows with the sorted paths, then the lines.
+def in_order(files: DataFrame) -> DataFrame:
+    """``files`` with ``file_ord``, which grows with the sorted paths: a range (13 bits) and a place there (22).
 
-    Names are range-sorted without their contents; ord holds a file's range (13 bits), its place there (22) and the line (26).
+    Names are range-sorted without the other columns.
     """
-    text = F.col("content").cast("string")
-    chosen = files.where(~F.col("is_dir") & F.regexp_like("path", F.lit(pattern)) & F.col("content").isNotNull())
     parts = min(8192, int(files.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
-    order = chosen.select("project_id", "path").repartitionByRange(parts, "project_id", "path").sortWithinPartitions("project_id", "path")
+    order = files.select("project_id", "path").repartitionByRange(parts, "project_id", "path").sortWithinPartitions("project_id", "path")
     place = F.monotonically_increasing_id()  # the range from bit 33 on, the place below
     order = order.withColumn("file_ord", F.shiftleft(F.shiftright(place, 33), 22) + place.bitwiseAND(F.lit((1 << 22) - 1)))
-    rows = chosen.join(order, ["project_id", "path"])
+    return files.join(order, ["project_id", "path"])
+
+
+def numbered_lines(files: DataFrame, pattern: str) -> DataFrame:
+    """(path, ord, line) of the text files whose names match: ord is the file's place (35 bits), then the line (26)."""
+    text = F.col("content").cast("string")
+    rows = in_order(files.where(~F.col("is_dir") & F.regexp_like("path", F.lit(pattern)) & F.col("content").isNotNull()))
     lines = rows.select("project_id", "path", "file_ord", F.posexplode(F.split(text, r"\r\n|\r|\n", -1)).alias("n", "line"))
     return lines.select("project_id", "path", (F.shiftleft(F.col("file_ord"), 26) + F.col("n")).alias("ord"), "line")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from . import agents
 from . import files as raw
+from . import record_cache
 
 
 @dataclass
@@ -75,6 +76,16 @@ def transcripts(spark: SparkSession, folders: list[str]) -> DataFrame:
     return agents.transcript_records(raw.numbered_lines(_tree(spark, folders, r"\.jsonl$"), r"\.jsonl$"))
 
 
+def kept_transcripts(spark: SparkSession, folders: list[str], cache: str, rescan: bool = False) -> tuple[DataFrame, dict[str, int]]:
+    """As ``transcripts``, unchanged files from the cache; and how many files were read and reused."""
+    return record_cache.load(spark, folders, r"\.jsonl$", agents.transcript_records, os.path.join(cache, "claude"), rescan)
+
+
+def kept_codex(spark: SparkSession, where: Home, cache: str, rescan: bool = False) -> tuple[DataFrame, dict[str, int]]:
+    """The records of rollouts, unchanged files from the cache; and how many files were read and reused."""
+    return record_cache.load(spark, places("codex", where), r"^rollout-.*\.jsonl$", agents.codex_records, os.path.join(cache, "codex"), rescan)
+
+
 def _codex(spark: SparkSession, where: Home) -> DataFrame:
     return agents.codex_records(raw.numbered_lines(_tree(spark, places("codex", where), r"^rollout-.*\.jsonl$"), r"\.jsonl$"))
 

@@ -45,3 +45,45 @@ def test_usage_of_a_home(spark, tmp_path):
 def test_nothing_found(spark, tmp_path):
     got = runs.usage_of(spark, registry.Home.of(str(tmp_path)))
     assert got["records"] is None and set(got["status"].values()) == {"NotFound"}
+
+
+def test_only_changed_logs_are_read_again(spark, tmp_path):
+    logs, cache = tmp_path / "logs", str(tmp_path / "cache")
+    (logs / "p").mkdir(parents=True)
+    (logs / "p/a.jsonl").write_text(line(requestId="a") + "\n" + line(requestId="b"))
+    (logs / "p/b.jsonl").write_text(line(requestId="c"))
+    (logs / "empty.jsonl").write_text("")
+
+    def load(rescan=False):
+        rows, counts = registry.kept_transcripts(spark, [str(logs)], cache, rescan)
+        assert rows.columns == registry.transcripts(spark, [str(logs)]).columns
+        wanted = [r[:-1] for r in registry.transcripts(spark, [str(logs)]).orderBy("ord").collect()]
+        assert [r[:-1] for r in rows.orderBy("ord").collect()] == wanted
+        return counts, [r[9] for r in wanted]
+
+    assert load() == ({"read": 3, "reused": 0}, ["a", "b", "c"])
+    assert load() == ({"read": 0, "reused": 3}, ["a", "b", "c"])
+    (logs / "p/b.jsonl").write_text(line(requestId="c") + "\n" + line(requestId="dd"))
+    (logs / "p/aa.jsonl").write_text(line(requestId="e"))
+    assert load() == ({"read": 2, "reused": 2}, ["a", "b", "e", "c", "dd"])
+    (logs / "p/a.jsonl").unlink()
+    assert load() == ({"read": 0, "reused": 3}, ["e", "c", "dd"])
+    assert load(rescan=True) == ({"read": 3, "reused": 0}, ["e", "c", "dd"])
+    assert len([n for n in (tmp_path / "cache/claude/records").iterdir() if n.name.startswith("part=")]) == 1
+
+
+def test_usage_with_a_cache_is_the_same(spark, tmp_path):
+    (tmp_path / ".claude/projects/p").mkdir(parents=True)
+    (tmp_path / ".claude/projects/p/s.jsonl").write_text(line(requestId="a") + "\n" + line(requestId="b"))
+    count = json.dumps({"timestamp": "2026-01-01T00:00:00Z", "type": "event_msg", "payload": {
+        "type": "token_count", "info": {"total_token_usage": {"total_tokens": 5}, "last_token_usage": {"input_tokens": 5}}}})
+    for folder in ("sessions", "archived_sessions"):
+        (tmp_path / ".codex" / folder).mkdir(parents=True)
+    (tmp_path / ".codex/sessions/rollout-1.jsonl").write_text(count)
+    where, cache = registry.Home.of(str(tmp_path)), str(tmp_path / "cache")
+    plain = runs.usage_of(spark, where)
+    first, again = (runs.usage_of(spark, where, cache=cache) for _ in range(2))
+    rows = lambda got: sorted(map(tuple, got["totals"].fillna("", ["agent"]).collect()))
+    assert rows(plain) == rows(first) == rows(again)
+    assert first["files"] == {"claude": {"read": 1, "reused": 0}, "codex": {"read": 1, "reused": 0}}
+    assert again["files"] == {"claude": {"read": 0, "reused": 1}, "codex": {"read": 0, "reused": 1}}
