@@ -39,7 +39,7 @@ LETTERS_16 = """1C89-1C8A A7CB-A7CD A7DA-A7DC 105C0-105F3 10D4A-10D65 10D6F-10D8
 113D1 113D3 11BC0-11BE0 13460-143FA 16100-1611D 16D40-16D6C 18CFF 1E5D0-1E5ED 1E5F0"""
 NUMBERS_16 = "10D40-10D49 116D0-116E3 11BF0-11BF9 16130-16139 16D70-16D79 1CCF0-1CCF9 1E5F1-1E5FA"
 COLUMN = 256
-CACHE = 1 << 19
+CACHE = 1 << 18
 
 
 def _automaton() -> tuple[np.ndarray, np.ndarray]:
