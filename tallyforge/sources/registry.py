@@ -87,7 +87,8 @@ def kept_codex(spark: SparkSession, where: Home, cache: str, rescan: bool = Fals
 
 
 def _codex(spark: SparkSession, where: Home) -> DataFrame:
-    return agents.codex_records(raw.numbered_lines(_tree(spark, places("codex", where), r"^rollout-.*\.jsonl$"), r"\.jsonl$"))
+    lines = raw.numbered_lines(_tree(spark, places("codex", where), r"^rollout-.*\.jsonl$"), r"\.jsonl$")
+    return agents.codex_records(lines.withColumn("path", F.concat("project_id", F.lit("/"), "path")))  # both folders may hold a name
 
 
 def _cline(spark: SparkSession, where: Home) -> DataFrame:

@@ -79,11 +79,13 @@ def test_usage_with_a_cache_is_the_same(spark, tmp_path):
         "type": "token_count", "info": {"total_token_usage": {"total_tokens": 5}, "last_token_usage": {"input_tokens": 5}}}})
     for folder in ("sessions", "archived_sessions"):
         (tmp_path / ".codex" / folder).mkdir(parents=True)
-    (tmp_path / ".codex/sessions/rollout-1.jsonl").write_text(count)
+        (tmp_path / ".codex" / folder / "rollout-1.jsonl").write_text(count.replace("00Z", "01Z") if folder == "sessions" else count)
     where, cache = registry.Home.of(str(tmp_path)), str(tmp_path / "cache")
     plain = runs.usage_of(spark, where)
     first, again = (runs.usage_of(spark, where, cache=cache) for _ in range(2))
     rows = lambda got: sorted(map(tuple, got["totals"].fillna("", ["agent"]).collect()))
     assert rows(plain) == rows(first) == rows(again)
-    assert first["files"] == {"claude": {"read": 1, "reused": 0}, "codex": {"read": 1, "reused": 0}}
-    assert again["files"] == {"claude": {"read": 0, "reused": 1}, "codex": {"read": 0, "reused": 1}}
+    # The same name and running total in two folders: two files, two records.
+    assert {r.agent: r.requests for r in plain["totals"].collect()}["codex"] == 2.0
+    assert first["files"] == {"claude": {"read": 1, "reused": 0}, "codex": {"read": 2, "reused": 0}}
+    assert again["files"] == {"claude": {"read": 0, "reused": 1}, "codex": {"read": 0, "reused": 2}}
