@@ -50,7 +50,7 @@ def test_every_line_is_compared(spark):
 
 
 def test_every_file_is_exported(spark):
-    files, projects = catalogue._history(spark, SF)
+    files, projects = catalogue.history_rows(spark, SF)
     rows = catalogue.QUERIES["export_with_status"](spark, SF).where("record_type = 'File'")
     assert sorted((r.project, r.path) for r in rows.collect()) == sorted((r.project_id, r.path) for r in files.collect())
     total = history.grand_totals(projects)
