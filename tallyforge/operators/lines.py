@@ -22,10 +22,19 @@ BREAK = r"\r\n|\r|\n"
 METRICS = ["physical", "blank", "code", "comment", "mixed", "content"]
 
 
+def once(value: Column, body) -> Column:
+    """``body`` of a column that is computed once: Spark shares no common part inside a branch of a ``when``."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _ended(lines: Column) -> Column:
+    """``lines`` without a last one that is empty."""
+    return once(lines, lambda all_: F.when(F.element_at(all_, -1) == "", F.slice(all_, 1, F.size(all_) - 1)).otherwise(all_))
+
+
 def split_lines(text: Column) -> Column:
     """Lines without their ends; the end of a text after its last line end is no line."""
-    lines = F.split(text, BREAK, -1)
-    return F.when(F.element_at(lines, -1) == "", F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
+    return _ended(F.split(text, BREAK, -1))
 
 
 def is_blank(line: Column) -> Column:
@@ -34,10 +43,13 @@ def is_blank(line: Column) -> Column:
 
 def text_metrics(text: Column) -> Column:
     """Struct of the six counts for documentation: lines are blank or content."""
-    lines = split_lines(F.coalesce(text, F.lit("")))
-    n, blank = F.size(lines).cast("long"), F.size(F.filter(lines, is_blank)).cast("long")
     zero = F.lit(0).cast("long")
-    return F.struct(n.alias("physical"), blank.alias("blank"), zero.alias("code"), zero.alias("comment"), zero.alias("mixed"), (n - blank).alias("content"))
+
+    def counts(lines: Column) -> Column:
+        n, blank = F.size(lines).cast("long"), F.size(F.filter(lines, is_blank)).cast("long")
+        return F.struct(n.alias("physical"), blank.alias("blank"), zero.alias("code"), zero.alias("comment"), zero.alias("mixed"), (n - blank).alias("content"))
+
+    return once(split_lines(F.coalesce(text, F.lit(""))), counts)
 
 
 def _quoted(text: str) -> str:
@@ -90,18 +102,19 @@ def code_metrics(text: Column, line_markers: list[str], block_pairs: list[tuple[
         )
 
     codes = F.array_join(F.flatten(F.transform(tokens, pieces)).cast("array<string>"), "")
-    # A letter a piece: lines are the parts between zeros, the last one only if it has a piece.
-    lines = F.split(codes, "0", -1)
-    lines = F.when(F.element_at(lines, -1) == "", F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
     has = lambda piece: lambda line: F.contains(line, F.lit(piece))
-    count = lambda test: F.size(F.filter(lines, test)).cast("long")
-    code, mixed = count(has("1")), count(lambda x: has("1")(x) & has("2")(x))
-    comment = count(lambda x: ~has("1")(x) & has("2")(x))
-    n = F.size(lines).cast("long")
-    return F.struct(
-        n.alias("physical"), (n - code - comment).alias("blank"), code.alias("code"), comment.alias("comment"), mixed.alias("mixed"),
-        F.lit(0).cast("long").alias("content"),
-    )
+
+    def counts(lines: Column) -> Column:
+        count = lambda test: F.size(F.filter(lines, test)).cast("long")
+        n, code, mixed = F.size(lines).cast("long"), count(has("1")), count(lambda x: has("1")(x) & has("2")(x))
+        comment = count(lambda x: ~has("1")(x) & has("2")(x))
+        return F.struct(
+            n.alias("physical"), (n - code - comment).alias("blank"), code.alias("code"), comment.alias("comment"), mixed.alias("mixed"),
+            F.lit(0).cast("long").alias("content"),
+        )
+
+    # A letter a piece: lines are the parts between zeros, the last one only if it has a piece.
+    return once(_ended(F.split(codes, "0", -1)), counts)
 
 
 def line_metrics(df: DataFrame, text_col: str = "text", language_col: str = "language", category_col: str = "category") -> DataFrame:
