@@ -226,41 +226,54 @@ def _top_key(df: DataFrame, keys: list[str], name: str, weight: Column) -> DataF
     return by.groupBy(*keys).agg(F.min_by(name, F.struct(-F.col("_w"), F.col("_first"))).alias("top"))
 
 
-def _latest(field: str, keys: list[str], order: str, at_tie: bool) -> tuple[Column, Column]:
-    """A running maximum of ts before each record, and whether the record passes it."""
-    before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    high = F.max("ts").over(before)
-    return high, high.isNull() | (F.col("ts") >= high if at_tie else F.col("ts") > high)
+BLOCK_BITS = 17
+
+
+def _folded(rows: DataFrame, keys: list[str], sums: list[Column], last: list[str], at_tie: bool) -> DataFrame:
+    """A row a session: start, end, first (its first record's pos and session), the sums, and of each column of ``last`` the
+    text of the last record that was the newest so far and has one.
+
+    A session may hold any share of all records (those without an id are one session), so it is folded by blocks of
+    neighbouring places first.  Among a block's newest-so-far records with a text the last has the greatest time: only it can be
+    newer than all blocks before, so a block is known by that record and its own greatest time.
+    """
+    passes = lambda ts, high: high.isNull() | (ts >= high if at_tie else ts > high)
+    before = lambda keys, order: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    in_block = [*keys, "_block"]
+    rows = rows.withColumn("_block", F.shiftright("pos", BLOCK_BITS))
+    rows = rows.withColumn("_new", passes(F.col("ts"), F.max("ts").over(before(in_block, "pos"))))
+    told = lambda c: F.max_by(F.struct("ts", F.col(c).alias("text")), F.when(F.col("_new") & (F.col(c) != ""), F.col("pos")))
+    blocks = rows.groupBy(*in_block).agg(
+        F.min("ts").alias("start"), F.max("ts").alias("end"), F.min(F.struct("pos", "session")).alias("first"), *sums, *[told(c).alias(c) for c in last]
+    )
+    names = blocks.columns[len(in_block) + 3 : -len(last)]
+    blocks = blocks.withColumn("_high", F.max("end").over(before(keys, "_block")))
+    counts = lambda c: F.when(F.col(c).isNotNull() & passes(F.col(f"{c}.ts"), F.col("_high")), F.col("_block"))
+    return blocks.groupBy(*keys).agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.min("first").alias("first"), *[F.sum(c).alias(c) for c in names],
+        *[F.coalesce(F.max_by(F.col(f"{c}.text"), counts(c)), F.lit("")).alias(c) for c in last],
+    )
 
 
 def claude_sessions(kept: DataFrame) -> DataFrame:
     """A row a session: bounds, sums, folder and branch of the last record that was the newest so far, top model."""
     rows = kept.withColumn("id", F.when(F.col("session") == "", "unknown").otherwise(F.col("session")))
-    _, newest = _latest("ts", ["id"], "pos", at_tie=False)
-    rows = rows.withColumn("_new", newest)
-    last = lambda c: F.coalesce(F.max_by(c, F.when(F.col("_new") & (F.col(c) != ""), F.col("pos"))), F.lit("")).alias(c)
-    sums = rows.groupBy("id").agg(
-        F.min("ts").alias("start"), F.max("ts").alias("end"), F.count(F.lit(1)).alias("requests"),
-        *[F.sum(c).alias(c) for c in TOKENS], last("cwd"), last("branch"), F.min("pos").alias("first_pos"),
-    )
+    sums = [F.count(F.lit(1)).alias("requests"), *[F.sum(c).alias(c) for c in TOKENS]]
+    folded = _folded(rows, ["id"], sums, ["cwd", "branch"], at_tie=False)
     top = _top_key(rows, ["id"], "model", F.col("output") + F.col("cr"))
-    return sums.join(top.withColumnRenamed("top", "top_model"), "id")
+    shown = folded.select("id", "start", "end", "requests", *TOKENS, "cwd", "branch", F.col("first.pos").alias("first_pos"))
+    return shown.join(top.withColumnRenamed("top", "top_model"), "id")
 
 
 def agent_sessions(kept: DataFrame) -> DataFrame:
     """As :func:`claude_sessions` by agent; a record that is as new as the newest counts as newer, ids may be empty."""
     rows = kept.withColumn("sid", F.when(F.col("session") == "", "unknown").otherwise(F.col("session"))).withColumnRenamed("ord", "pos")
     keys = ["agent", "sid"]
-    _, newest = _latest("ts", keys, "pos", at_tie=True)
-    rows = rows.withColumn("_new", newest)
-    sums = rows.groupBy(*keys).agg(
-        F.min_by("session", "pos").alias("id"), F.min("ts").alias("start"), F.max("ts").alias("end"),
-        F.coalesce(F.max_by("cwd", F.when(F.col("_new") & (F.col("cwd") != ""), F.col("pos"))), F.lit("")).alias("cwd"),
-        *agent_sums(), F.min("pos").alias("first_pos"),
-    )
+    folded = _folded(rows, keys, agent_sums(), ["cwd"], at_tie=True)
     weight = F.col("output") + F.col("cr") + F.col("input")
     top = _top_key(rows, keys, "model", weight).select("agent", "sid", F.concat("agent", F.lit("::"), "top").alias("top_key"))
-    return sums.join(top, keys).drop("sid")
+    shown = folded.select(*keys, F.col("first.session").alias("id"), "start", "end", "cwd", *AGENT_MEASURES, F.col("first.pos").alias("first_pos"))
+    return shown.join(top, keys).drop("sid")
 
 
 def summary(kept: DataFrame) -> DataFrame:
