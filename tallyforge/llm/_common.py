@@ -49,11 +49,14 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"file://{_OWN[app]}"
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends at replicated files."""
+def cut(df: DataFrame, label: str, *folders: str) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends at replicated files.
+
+    Columns named in ``folders`` part the files into folders, so that a filter on them reads only its own.
+    """
     spark = ready(df).sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*folders).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     _MADE.add(path)

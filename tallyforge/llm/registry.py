@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, mixing, multi_index, ngram_join, pii, quality, secrets, suffix_dedup
+from . import bpe, chat, exact_dedup, line_dedup, merkle, mixing, multi_index, ngram_join, phrases, pii, quality, secrets, suffix_dedup
 from ._common import table
 
 
@@ -58,9 +58,21 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digests(table(spark, sf_dir, "documents"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.top_phrases(table(spark, sf_dir, "documents"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_digests(table(spark, sf_dir, "documents"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.proof_digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat_perspectives": chat.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE}
+    return {"op6_chat_perspectives": chat.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE, "op11_phrases": phrases.ORACLE, "op12_line_dedup": line_dedup.ORACLE, "op13_merkle": merkle.ORACLE}
