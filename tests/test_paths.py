@@ -1,6 +1,8 @@
 """Classification, ignore rules and whole scans over trees made here."""
 
+import os
 import re
+import struct
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from tallyforge.functions import dims
 from tallyforge.operators import metrics, paths
 from tallyforge.plans import runs
 from tallyforge.sources import files as raw
+from tallyforge.sources import tree as tree_source
 
 
 def test_classification(spark):
@@ -122,3 +125,78 @@ def test_manifest_and_new_projects(spark):
     have = spark.createDataFrame([("k1",)], "root_key string")
     add = spark.createDataFrame([("k1", "n", 0), ("k2", "m", 1), ("k2", "o", 2)], "root_key string, name string, ord int")
     assert [r.name for r in metrics.new_projects(have, add).collect()] == ["m"]
+
+
+class Opened:
+    """How often files below a folder are opened, as the kernel counts it."""
+
+    OPEN, IS_DIR = 0x20, 0x40000000
+
+    def __init__(self, root):
+        import ctypes
+
+        self.libc, self.names, self.found = ctypes.CDLL(None, use_errno=True), {}, {}
+        self.fd = self.libc.inotify_init1(0o4000)
+        for folder, _, _ in list(os.walk(root)):
+            self.names[self.libc.inotify_add_watch(self.fd, folder.encode(), self.OPEN)] = os.path.relpath(folder, root)
+
+    def counts(self):
+        try:
+            while data := os.read(self.fd, 1 << 16):
+                while data:
+                    wd, mask, _, n = struct.unpack("iIII", data[:16])
+                    name = data[16 : 16 + n].rstrip(b"\0").decode()
+                    key = os.path.normpath(os.path.join(self.names[wd], name)) + "/" * bool(mask & self.IS_DIR)
+                    self.found[key] = self.found.get(key, 0) + 1
+                    data = data[16 + n :]
+        except BlockingIOError:
+            return self.found
+
+
+def scans_of(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("BatchScan")
+
+
+def test_a_scan_lists_once_and_opens_only_what_counts(spark, tree):
+    (tree / "node_modules/dep").mkdir(parents=True)
+    (tree / "node_modules/dep/x.cs").write_text("x\n")
+    (tree / "deep/a/b/c").mkdir(parents=True)
+    (tree / "deep/a/b/c/F.cs").write_text("x\n")
+    (tree / "deep/a/.gitignore").write_text("b/skip*\n!Keep.cs\n*.gen.cs\n")
+    (tree / "deep/a/b/skipped").mkdir()
+    (tree / "deep/a/b/skipped/S.cs").write_text("x\n")
+    (tree / "deep/a/b/c/x.gen.cs").write_text("x\n")
+    seen = Opened(tree)
+    found, warnings = runs.scan(spark, {"p": str(tree)}, "SourceOnly", excludes=["node_modules/", ".git/", "bin/"], max_bytes=4000)
+    assert scans_of(found) == 1 and scans_of(warnings) == 2
+    assert {r.path for r in found.collect()} == {"Program.cs", "deep/a/b/c/F.cs"}
+    opened = seen.counts()
+    assert {k: n for k, n in opened.items() if not k.endswith("/") and not k.endswith(".gitignore")} == {"Program.cs": 1, "latin.cs": 1, "deep/a/b/c/F.cs": 1}
+    shut = ("node_modules/", ".git/", "bin/", "logs/", "nested/", "deep/a/b/skipped/")
+    assert not any(k.startswith(shut) for k in opened)
+
+
+def test_listing_is_dealt_out(spark, tmp_path):
+    """The same listing by one task or many; a filter on the project opens no other root."""
+    for k in range(30):
+        (tmp_path / f"r/d{k % 5}/e{k}").mkdir(parents=True)
+        (tmp_path / f"r/d{k % 5}/e{k}/f{k}.py").write_text("x")
+    (tmp_path / "r/d1/.gitignore").write_text("/e1/\n")
+    other = tmp_path / "other"
+    other.mkdir()
+    whole = {(r.path, r.state) for r in tree_source.listing(spark, {"p": str(tmp_path / "r")}, [], spread=1).collect()}
+    assert len(whole) == 30  # with the ignore file, without e1
+    for spread in (3, 7, 100):
+        df = tree_source.listing(spark, {"p": str(tmp_path / "r")}, [], spread=spread)
+        rows = df.collect()
+        assert len(rows) == 30 and {(r.path, r.state) for r in rows} == whole
+        assert df.rdd.getNumPartitions() > 1 or spread == 1
+    seen = Opened(tmp_path)
+    both = tree_source.listing(spark, {"p": str(tmp_path / "r"), "q": str(other), "gone": "/no/where"}, [])
+    assert both.where("project_id = 'q'").count() == 0 and both.where("project_id in ('gone', 'q')").collect()[0].state == "absent"
+    assert not [k for k in seen.counts() if k.startswith("r/")]
+
+
+def test_own_patterns_come_last(spark, tree):
+    found, _ = runs.scan(spark, {"p": str(tree), "q": str(tree)}, "SourceOnly", own=[("p", ["!ignored.cs", "Program.cs"])], max_bytes=4000)
+    assert {(r.project_id, r.path) for r in found.collect()} == {("p", "ignored.cs"), ("q", "Program.cs")}
