@@ -190,7 +190,7 @@ def test_listing_is_dealt_out(spark, tmp_path):
         df = tree_source.listing(spark, {"p": str(tmp_path / "r")}, [], spread=spread)
         rows = df.collect()
         assert len(rows) == 30 and {(r.path, r.state) for r in rows} == whole
-        assert df.rdd.getNumPartitions() > 1 or spread == 1
+        assert (df.rdd.getNumPartitions() > 1) == (spread < 36)
     seen = Opened(tmp_path)
     both = tree_source.listing(spark, {"p": str(tmp_path / "r"), "q": str(other), "gone": "/no/where"}, [])
     assert both.where("project_id = 'q'").count() == 0 and both.where("project_id in ('gone', 'q')").collect()[0].state == "absent"
