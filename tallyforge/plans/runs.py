@@ -12,7 +12,7 @@ from ..functions import dims
 from ..functions import scalars as S
 from ..operators import dailylog, history, lines, paths, usage
 from ..sources import agents, registry, sinks, tree
-from ..sources import files as raw
+from ..sources import repos as git_repos
 
 
 def scanned(
@@ -86,9 +86,10 @@ def history_report(
 ) -> dict[str, DataFrame]:
     """Changes of all repositories between two times (epoch seconds): of every commit (Activity), or from the last commit
     before the window to the last one in it (NetChange)."""
-    commits = raw.git_log(spark, repos)
+    commits = git_repos.git_log(spark, repos)
     net = mode == "NetChange"
-    diffs = raw.git_net(spark, repos, start, end) if net else raw.git_diff(spark, repos, start, end)
+    diff = git_repos.git_net if net else git_repos.git_diff
+    form = lambda name: diff(spark, repos, start, end, name)
     keys = ["project_id", "hash"]
 
     def counting(df: DataFrame, column: str, flag: str) -> DataFrame:
@@ -100,11 +101,11 @@ def history_report(
         good = good.select("project_id", F.col("path").alias(column), F.lit(True).alias(flag))
         return df.join(good, ["project_id", column], "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
 
-    entries = counting(counting(history.numstat_entries(diffs, "output"), "path", "counts"), "old_path", "old_counts")
-    plain = counting(history.numstat_entries(diffs, "plain"), "path", "counts")
+    entries = counting(counting(history.numstat_entries(form("renames"), "output"), "path", "counts"), "old_path", "old_counts")
+    plain = counting(history.numstat_entries(form("plain"), "output"), "path", "counts")
     changes = history.split_renames(entries, plain, keys)
     # Each file's part of the patch, by the name it has after the change.
-    parts = diffs.select(*keys, F.explode(F.split("patch", r"(?m)^(?=diff --git )", -1)).alias("patch")).where("patch <> ''")
+    parts = form("patch").select(*keys, F.explode(F.split("output", r"(?m)^(?=diff --git )", -1)).alias("patch")).where("patch <> ''")
     parts = parts.withColumn("path", F.regexp_extract("patch", r"(?m)^\+\+\+ (?:b/)?(.*?)\t?$", 1))
     modified = history.modified_estimate(parts, [*keys, "path"])
     changes = changes.join(modified, [*keys, "path"], "left").na.fill(0, ["modified"])

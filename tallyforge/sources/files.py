@@ -1,6 +1,6 @@
-"""Python data sources: source trees (with names that begin with a point), SQLite tables, Git logs and diffs.
+"""Python data sources: files of trees with their contents (names that begin with a point too) and SQLite tables.
 
-They read what a folder on each executor's machine or a shared mount holds; a partition a top folder, database or repository.
+They read what a folder on each executor's machine or a shared mount holds.
 """
 
 from __future__ import annotations
@@ -9,7 +9,6 @@ import os
 import re
 import shutil
 import sqlite3
-import subprocess
 import tempfile
 from collections.abc import Iterator
 
@@ -151,86 +150,9 @@ def _bytes(x):
     return x.encode() if isinstance(x, str) else x
 
 
-def git(folder: str, *args: str) -> str:
-    done = subprocess.run(["git", "-C", folder, *args], capture_output=True, check=True, timeout=600)
-    return done.stdout.decode("utf-8", "replace")
-
-
-DIFF = ["--no-ext-diff", "--no-textconv", "--no-color", "--diff-algorithm=myers"]
-
-
-def git_commits(project: str, folder: str) -> Iterator[tuple]:
-    """The first-parent history, newest first."""
-    try:
-        log = git(folder, "log", "--first-parent", "--format=%H %ct %P", "HEAD")
-        shallow = git(folder, "rev-parse", "--is-shallow-repository").strip() == "true"
-    except (subprocess.SubprocessError, OSError):
-        return
-    for n, line in enumerate(x for x in log.split("\n") if x):
-        commit, ts, *parents = line.split()
-        yield project, folder, n, commit, int(ts), parents[0] if parents else None, shallow
-
-
-def git_diffs(project: str, folder: str, since: int, until: int) -> Iterator[tuple]:
-    """For each commit of the window: numstat texts with and without renames, and the patch without context."""
-    empty = git(folder, "hash-object", "-t", "tree", "/dev/null").strip()
-    for _, _, _, commit, ts, parent, shallow in git_commits(project, folder):
-        if since <= ts <= until and not (shallow and parent is None):
-            pair = [parent or empty, commit]
-            yield (
-                project, commit,
-                git(folder, "diff", "--numstat", "-z", "--find-renames=50%", *DIFF, *pair),
-                git(folder, "diff", "--numstat", "-z", "--no-renames", *DIFF, *pair),
-                git(folder, "diff", "--unified=0", "--find-renames=50%", *DIFF, *pair),
-            )
-
-
-def git_net_diff(project: str, folder: str, since: int, until: int) -> Iterator[tuple]:
-    """One row: texts as of :func:`git_diffs` from the newest commit before the window (nothing, if there is none and the
-    history is whole) to the newest one in it, under the latter's name."""
-    log = list(git_commits(project, folder))
-    inside = [c for c in log if since <= c[4] <= until]
-    before = [c for c in log if c[4] < since]
-    if not inside or (not before and log[-1][6]):
-        return
-    pair = [before[0][3] if before else git(folder, "hash-object", "-t", "tree", "/dev/null").strip(), inside[0][3]]
-    diff = lambda *args: git(folder, "diff", *args, *DIFF, *pair)
-    yield project, pair[1], diff("--numstat", "-z", "--find-renames=50%"), diff("--numstat", "-z", "--no-renames"), diff("--unified=0", "--find-renames=50%")
-
-
-class GitLog(DataSource):
-    """Options: ``repos`` (lines of project TAB folder)."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "git_log"
-
-    def schema(self) -> str:
-        return "project_id string, folder string, ord long, hash string, ts long, parent string, shallow boolean"
-
-    def reader(self, schema) -> DataSourceReader:
-        return _Reader([tuple(x.split("\t", 1)) for x in self.options.get("repos", "").split("\n") if x], git_commits)
-
-
-class GitDiff(DataSource):
-    """Options: ``repos`` (lines of project TAB folder), ``since``, ``until`` (epoch seconds), ``net`` (one change over the window)."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "git_diff"
-
-    def schema(self) -> str:
-        return "project_id string, hash string, output string, plain string, patch string"
-
-    def reader(self, schema) -> DataSourceReader:
-        lo, hi = int(self.options.get("since", 0)), int(self.options.get("until", 1 << 60))
-        repos = [tuple(x.split("\t", 1)) for x in self.options.get("repos", "").split("\n") if x]
-        return _Reader([(p, f, lo, hi) for p, f in repos], git_net_diff if self.options.get("net") == "true" else git_diffs)
-
-
 def register(spark: SparkSession) -> None:
     ship_package(spark)
-    for source in (SourceTree, SqliteTable, GitLog, GitDiff):
+    for source in (SourceTree, SqliteTable):
         spark.dataSource.register(source)
 
 
@@ -245,21 +167,6 @@ def sqlite_table(spark: SparkSession, paths: list[str], table: str, columns: str
     return spark.read.format("sqlite_table").schema(f"path string, row long, {columns}").options(paths="\n".join(paths), table=table).load()
 
 
-def git_log(spark: SparkSession, repos: dict[str, str]) -> DataFrame:
-    register(spark)
-    return spark.read.format("git_log").options(repos="\n".join(f"{p}\t{r}" for p, r in repos.items())).load()
-
-
-def git_diff(spark: SparkSession, repos: dict[str, str], since: int = 0, until: int = 1 << 60) -> DataFrame:
-    register(spark)
-    return spark.read.format("git_diff").options(repos="\n".join(f"{p}\t{r}" for p, r in repos.items()), since=since, until=until).load()
-
-
-def git_net(spark: SparkSession, repos: dict[str, str], since: int = 0, until: int = 1 << 60) -> DataFrame:
-    register(spark)
-    return spark.read.format("git_diff").options(repos="\n".join(f"{p}\t{r}" for p, r in repos.items()), since=since, until=until, net="true").load()
-
-
 def in_order(files: DataFrame) -> DataFrame:
     """``files`` with ``file_ord``, which grows with the sorted paths: a range (13 bits) and a place there (22).
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.operators import history
 from tallyforge.plans import runs
-from tallyforge.sources import files as raw
+from tallyforge.sources import repos as sources
 
 
 class Repo:
@@ -69,13 +69,13 @@ def test_activity(spark, repo):
 def test_baseline_and_empty(spark, repo, tmp_path):
     a = repo.commit({"a.cs": "1\n"})
     b = repo.commit({"a.cs": "2\n"})
-    log = raw.git_log(spark, {"p": str(repo.path), "none": str(tmp_path)})
+    log = sources.git_log(spark, {"p": str(repo.path), "none": str(tmp_path)})
     rows = log.orderBy("ord").collect()
     assert [r.ts for r in rows] == [b, a] and rows[1].parent is None and rows[0].parent == rows[1].hash
     assert history.baseline(log, F.lit(b)).first().hash == rows[1].hash
     assert history.baseline(log, F.lit(a)).first().hash is None
     empty = Repo(tmp_path / "e")
-    assert raw.git_log(spark, {"e": str(empty.path)}).count() == 0
+    assert sources.git_log(spark, {"e": str(empty.path)}).count() == 0
 
 
 def test_shallow_boundary(spark, repo, tmp_path):
@@ -158,3 +158,40 @@ def test_net_change_and_export(spark, repo, tmp_path):
     lines = (tmp_path / "h.csv").read_text(encoding="utf-8-sig").splitlines()
     assert lines[0].count(",") == 17 and len(lines) == 4 and all(line.count('","') == 17 for line in lines[1:])
     assert any(f'"{p.head}"' in line and '"NetChange"' in line for line in lines[1:])
+
+
+def test_ranges_of_one_repository(spark, repo, tmp_path):
+    """The same rows in many tasks as in one; ranges outside the window are no task."""
+    rng, times, body = random.Random(9), [], {f"f{k}.cs": [f"{k} {i}" for i in range(20)] for k in range(4)}
+    for n in range(40):
+        k = f"f{rng.randrange(4)}.cs"
+        body[k][rng.randrange(20)] = f"changed {n}"
+        times.append(repo.commit({k: "\n".join(body[k]) + "\n"} if n % 7 else {}))
+        if n == 20:
+            repo("mv", "f0.cs", "moved.cs")
+            body["moved.cs"] = body.pop("f0.cs")
+            body["f0.cs"] = ["new"] * 20
+    where = {"p": str(repo.path), "none": str(tmp_path)}
+    for form in sources.FORMS:
+        one, many = (sources.git_diff(spark, where, form=form, commits=size) for size in (1000, 4))
+        rows = sorted(map(tuple, one.collect()))
+        assert len(rows) == 40 and rows == sorted(map(tuple, many.collect()))
+        assert (one.rdd.getNumPartitions(), many.rdd.getNumPartitions()) == (1, 10)
+        empty = subprocess.run(["git", "-C", str(repo.path), "hash-object", "-t", "tree", "/dev/null"], check=True, capture_output=True).stdout.decode().strip()
+        log = {r.hash: r.parent for r in sources.git_log(spark, where, commits=7).collect()}
+        assert len(log) == 40
+        for _, commit, output in rows:  # as the porcelain has it
+            assert output == repo("diff", *sources.FORMS[form], *sources.PLAIN, log[commit] or empty, commit)
+    few = sources.git_diff(spark, where, times[-3], times[-1], commits=4)
+    assert few.count() == 3 and few.rdd.getNumPartitions() == 1
+    assert [r.ord for r in sources.git_log(spark, where, commits=7).orderBy("ord").collect()] == list(range(40))
+
+
+def test_a_report_is_the_same_by_ranges(spark, repo, monkeypatch):
+    rng, times = random.Random(4), []
+    for n in range(25):
+        times.append(repo.commit({f"s/f{rng.randrange(3)}.cs": "".join(f"{rng.randrange(9)}\n" for _ in range(12))}))
+    whole = by_path(runs.history_report(spark, {"p": str(repo.path)}, times[2], times[-2]))
+    monkeypatch.setattr(sources, "COMMITS", 3)
+    monkeypatch.setattr(sources.git_diff, "__defaults__", (0, 1 << 60, "renames", 3))
+    assert by_path(runs.history_report(spark, {"p": str(repo.path)}, times[2], times[-2])) == whole and len(whole) == 3
