@@ -5,12 +5,17 @@ They read what a folder on each executor's machine or a shared mount holds.
 
 from __future__ import annotations
 
+import atexit
+import hashlib
 import os
 import re
 import shutil
 import sqlite3
 import tempfile
+import uuid
 from collections.abc import Iterator
+from contextlib import closing
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,31 +95,77 @@ class SourceTree(DataSource):
         return _Reader(parts, walk)
 
 
-def read_sqlite(path: str, table: str, columns: list[str]) -> Iterator[tuple]:
-    """Rows of a table as text by column, nothing if there is no such table; a locked database is read from a copy."""
+ROWS = 100_000  # of a table in one task
 
-    def rows(file: str) -> list[tuple]:
-        with sqlite3.connect(f"file:{file}?mode=ro", uri=True) as db:
-            if not db.execute("select 1 from sqlite_master where type in ('table', 'view') and name = ?", (table,)).fetchone():
-                return []
-            cursor = db.execute(f'select * from "{table}"')
-            at = {d[0]: i for i, d in enumerate(cursor.description)}
-            return [tuple(r[at[c]] if c in at else None for c in columns) for r in cursor]
 
-    try:
-        found = rows(path)
-    except sqlite3.Error:
-        with tempfile.TemporaryDirectory() as tmp:
+def _not_held(status: int, *_) -> None:
+    if status in (5, 6):  # busy, locked: backup would try for ever
+        raise sqlite3.OperationalError("held by a writer")
+
+
+def snapshot(path: str, folder: str) -> str:
+    """A copy of a database as of one moment, what its log holds included; a locked one is copied with its log.
+
+    All tables of a database that has not changed meanwhile are read from the same copy.
+    """
+    stats = [os.stat(path + end) for end in ("", "-wal") if os.path.exists(path + end)]
+    state = [path, *((x.st_size, x.st_mtime_ns, x.st_ino) for x in stats)]
+    to = os.path.join(folder, hashlib.sha256(repr(state).encode()).hexdigest()[:32] + ".db")
+    if os.path.exists(to):
+        return to
+    new = f"{to}-{uuid.uuid4().hex}"
+    with closing(sqlite3.connect(f"file:{path}?mode=ro", uri=True)) as db:
+        try:
+            with closing(sqlite3.connect(new)) as copy:
+                db.backup(copy, progress=_not_held)
+        except sqlite3.OperationalError:  # held by a writer
             for end in ("", "-wal", "-shm"):
                 if os.path.exists(path + end):
-                    shutil.copy(path + end, tmp)
-            found = rows(os.path.join(tmp, os.path.basename(path)))
-    for n, row in enumerate(found):
-        yield (path, n, *row)
+                    shutil.copy(path + end, new + end)
+            with closing(sqlite3.connect(new)) as copy:  # what its log holds goes into the copy
+                copy.execute("pragma journal_mode = delete")
+    os.replace(new, to)
+    return to
+
+
+def columns_of(db: sqlite3.Connection, table: str) -> list[str]:
+    return [r[1] for r in db.execute(f"pragma table_info({quoted(table)})")]
+
+
+def quoted(name: str) -> str:
+    return '"' + name.replace('"', '""') + '"'
+
+
+def row_ranges(file: str, table: str, rows: int) -> list[tuple[int | None, int | None]]:
+    """Ranges of rowids, ``rows`` each, of a table; one open range of a view or a table without rowids; none without the table."""
+    with closing(sqlite3.connect(f"file:{file}?mode=ro", uri=True)) as db:
+        if not columns_of(db, table):
+            return []
+        try:
+            every = f"select rowid from (select rowid, row_number() over (order by rowid) as n from {quoted(table)}) where (n - 1) % ? = 0"
+            starts = [r[0] for r in db.execute(every, (rows,))]
+        except sqlite3.OperationalError:
+            return [(None, None)]
+        return list(zip(starts, [*starts[1:], None])) if all(isinstance(x, int) for x in starts) else [(None, None)]
+
+
+def read_sqlite(path: str, file: str, table: str, columns: list[str], low: int | None, high: int | None) -> Iterator[tuple]:
+    """Rows of a range as they come, with the number of each: its rowid, or its place where there is none."""
+    with closing(sqlite3.connect(f"file:{file}?mode=ro", uri=True)) as db:
+        there = set(columns_of(db, table))
+        picked = ", ".join(quoted(c) if c in there else "null" for c in columns) or "null"
+        if low is None:
+            found = enumerate(db.execute(f"select {picked} from {quoted(table)}"))
+        else:
+            until, bounds = (" and rowid < ?", (low, high)) if high is not None else ("", (low,))
+            found = ((r[0], r[1:]) for r in db.execute(f"select rowid, {picked} from {quoted(table)} where rowid >= ?{until} order by rowid", bounds))
+        for n, row in found:
+            yield (path, n, *row[: len(columns)])
 
 
 class SqliteTable(DataSource):
-    """Options: ``paths`` (lines), ``table``; the columns come from the schema, after ``path string, row long``."""
+    """Options: ``paths`` (lines), ``table``, ``copies`` (a folder that all tasks see, for copies of the databases), ``rows`` a task;
+    the columns come from the schema, after ``path string, row long``."""
 
     @classmethod
     def name(cls) -> str:
@@ -124,15 +175,19 @@ class SqliteTable(DataSource):
         return "path string, row long"
 
     def reader(self, schema) -> DataSourceReader:
-        table, fields = self.options["table"], [(f.name, f.dataType.simpleString()) for f in schema.fields[2:]]
+        o = self.options
+        table, fields = o["table"], [(f.name, f.dataType.simpleString()) for f in schema.fields[2:]]
         kinds = {"string": _text, "double": _number, "binary": _bytes}
 
-        def read(path: str) -> Iterator[tuple]:
-            for file, n, *row in read_sqlite(path, table, [c for c, _ in fields]):
-                yield (file, n, *[kinds[kind](x) for (_, kind), x in zip(fields, row)])
+        def read(path: str, file: str, low: int | None, high: int | None) -> Iterator[tuple]:
+            for file_, n, *row in read_sqlite(path, file, table, [c for c, _ in fields], low, high):
+                yield (file_, n, *[kinds[kind](x) for (_, kind), x in zip(fields, row)])
 
-        paths = [p for p in self.options.get("paths", "").split("\n") if p and os.path.exists(p)]
-        return _Reader([(p,) for p in paths], read)
+        parts = []
+        for path in (p for p in o.get("paths", "").split("\n") if p and os.path.exists(p)):
+            file = snapshot(path, o["copies"])
+            parts += [(path, file, low, high) for low, high in row_ranges(file, table, int(o.get("rows", ROWS)))]
+        return _Reader(parts, read)
 
 
 def _text(x):
@@ -162,9 +217,32 @@ def source_tree(spark: SparkSession, roots: dict[str, str], max_bytes: int = 5 <
     return spark.read.format("source_tree").options(roots=listed, max_bytes=max_bytes, names=names, prune=prune).load()
 
 
-def sqlite_table(spark: SparkSession, paths: list[str], table: str, columns: str) -> DataFrame:
+_FOLDERS: dict[tuple[str, str], str] = {}
+
+
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A folder of this application that driver and tasks see: below ``spark.checkpoint.dir``, in a local session without it a temporary one.  It goes at the driver's end."""
+    app = spark.sparkContext.applicationId, label
+    if app in _FOLDERS:
+        return _FOLDERS[app]
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None and spark.sparkContext.master.startswith("local"):
+        folder = tempfile.mkdtemp(prefix=f"tallyforge-{label}-")
+    elif shared is None or (urlparse(shared).scheme or "file") != "file":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors mount")
+    else:
+        folder = os.path.join(urlparse(shared).path, f"{label}-{uuid.uuid4().hex}")
+        os.makedirs(folder)
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    _FOLDERS[app] = folder
+    return folder
+
+
+def sqlite_table(spark: SparkSession, paths: list[str], table: str, columns: str, rows: int = ROWS) -> DataFrame:
+    """(path, row, columns) of a table of some databases, ``rows`` a task, all of a database as of one moment."""
     register(spark)
-    return spark.read.format("sqlite_table").schema(f"path string, row long, {columns}").options(paths="\n".join(paths), table=table).load()
+    options = {"paths": "\n".join(paths), "table": table, "copies": shared_folder(spark, "sqlite"), "rows": rows}
+    return spark.read.format("sqlite_table").schema(f"path string, row long, {columns}").options(**options).load()
 
 
 def in_order(files: DataFrame) -> DataFrame:
@@ -182,6 +260,7 @@ def in_order(files: DataFrame) -> DataFrame:
 def numbered_lines(files: DataFrame, pattern: str) -> DataFrame:
     """(path, ord, line) of the text files whose names match: ord is the file's place (35 bits), then the line (26)."""
     text = F.col("content").cast("string")
-    rows = in_order(files.where(~F.col("is_dir") & F.regexp_like("path", F.lit(pattern)) & F.col("content").isNotNull()))
+    rows = files.where(F.regexp_like("path", F.lit(pattern)) & F.col("content").isNotNull())
+    rows = rows if "file_ord" in files.columns else in_order(rows)
     lines = rows.select("project_id", "path", "file_ord", F.posexplode(F.split(text, r"\r\n|\r|\n", -1)).alias("n", "line"))
     return lines.select("project_id", "path", (F.shiftleft(F.col("file_ord"), 26) + F.col("n")).alias("ord"), "line")

@@ -12,7 +12,11 @@ from pyspark.sql import functions as F
 
 from . import agents
 from . import files as raw
-from . import record_cache
+from . import record_cache, tree
+
+
+MOST_BYTES = (1 << 31) - 1
+ENTRY_BITS = 28
 
 
 @dataclass
@@ -58,17 +62,21 @@ def detect(where: Home) -> dict[str, bool]:
 
 
 def _tree(spark: SparkSession, folders: list[str], names: str) -> DataFrame:
-    return raw.source_tree(spark, {f"{i:04d}": f for i, f in enumerate(folders)}, max_bytes=1 << 31, names=names)
+    """(project_id, path, size, file_ord, content) of the files below the folders, in order of folder and path.
+
+    Names are listed and put in order without contents, which are read where the ordered names have been dealt.
+    """
+    roots = {f"{i:04d}": f for i, f in enumerate(folders)}
+    listed = raw.source_tree(spark, roots, max_bytes=-1, names=names).where("not is_dir").select("project_id", "path", "size")
+    return tree.with_contents(raw.in_order(listed), roots, MOST_BYTES)
 
 
 def _documents(df: DataFrame, name: str) -> DataFrame:
-    """(dir, name, ord, content) of files; ord leaves room for a file's own entries."""
+    """(dir, name, ord, content) of files of ``_tree``; ord is the file's place and leaves ENTRY_BITS for its own entries."""
     text = F.try_validate_utf8(F.col("content").cast("string"))
-    rows = df.where(~F.col("is_dir") & F.regexp_like("path", F.lit(name)))
+    rows = df.where(F.regexp_like("path", F.lit(name)))
     folder = F.regexp_replace("path", r"/[^/]*$", "")
-    return rows.select(folder.alias("dir"), F.regexp_extract("path", "[^/]*$", 0).alias("name"), F.xxhash64("project_id", "path").bitwiseAND(F.lit(0x7FFFFFFF)).alias("h"), "path", text.alias("content")).select(
-        "dir", "name", F.shiftleft(F.col("h"), 31).alias("ord"), "content"
-    )
+    return rows.select(folder.alias("dir"), F.regexp_extract("path", "[^/]*$", 0).alias("name"), F.shiftleft("file_ord", ENTRY_BITS).alias("ord"), text.alias("content"))
 
 
 def transcripts(spark: SparkSession, folders: list[str]) -> DataFrame:
@@ -133,7 +141,7 @@ def _antigravity(agent: str) -> Callable[[SparkSession, Home], DataFrame]:
     def load(spark: SparkSession, where: Home) -> DataFrame:
         found = sorted(p for folder in places(agent, where) for p in glob.glob(os.path.join(glob.escape(folder), "*.db")))
         t = lambda name, columns: raw.sqlite_table(spark, found, name, columns)
-        return agents.antigravity_records(t("steps", "idx string, metadata binary"), t("gen_metadata", "data binary"), t("trajectory_metadata_blob", "data binary"), agent)
+        return agents.antigravity_records(t("steps", "idx string, metadata binary"), t("gen_metadata", "data binary"), t("trajectory_metadata_blob", "data binary"), agent, spark.createDataFrame(list(enumerate(found)), "file_ord long, path string"))
 
     return load
 

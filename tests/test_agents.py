@@ -1,6 +1,7 @@
 """Readers of agents' logs on small logs made here."""
 
 import json
+import random
 import sqlite3
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import lenient_json as J
 from tallyforge.sources import agents, sinks
+from tallyforge.sources import patches as patch_logs
 from tallyforge.sources import files as raw
 
 PAD = "x" * 80
@@ -147,8 +149,66 @@ def test_copilot(spark):
     assert [(r.ts, r.model, r.input, r.output, r.request, r.calls, r.cwd) for r in rows] == [
         (5, "gpt", 7.0, 9.0, "r0", 1, "d:\\my w"), (50, "pick", 1.0, 2.0, "S:1", 3, "d:\\my w"), (50, "pick", 6.0, 0.0, "S:4", 1, "d:\\my w"),
     ]
-    log = agents.replay('{"kind":2,"k":["a"],"v":[1,2,3]}\n{"kind":2,"k":["a"],"i":-1,"v":[9]}\n{"kind":1,"k":["b","2"],"v":1}\n{"kind":1,"k":["c",99999999],"v":1}')
-    assert log.root == {"a": [1, 2, 9], "b": {"2": 1}, "c": []}
+    log = patch_logs.of_lines(['{"kind":2,"k":["a"],"v":[1,2,3]}', '{"kind":2,"k":["a"],"i":-1,"v":[9]}', '{"kind":1,"k":["b","2"],"v":1}', '{"kind":1,"k":["c",99999999],"v":1}'])
+    assert log.document() == {"a": [1, 2, 9], "b": {"2": 1}, "c": []}
+
+
+def random_patch(rng):
+    path = [rng.choice(["a", "b", 0, 1, 2, "1", 3.0, 1.5, "requests", None, True])for _ in range(rng.randrange(1, 4))]
+    value = rng.choice([1, "x", None, [1, 2], {"a": [3]}, [], [[5, 6], {"b": 1}], True])
+    kind = rng.choice([0, 1, 1, 1, 2, 2, 2, 2, 3, "1", True])
+    if rng.random() < 0.15:
+        kind, path, value = 1, ["requests", rng.choice([0, 1, 2.0, "0", 0.5]), "completionTokens"], rng.choice([3, 9.5, "4", None])
+    patch = {"kind": kind, "k": path, "v": value}
+    if rng.random() < 0.4:
+        patch["i"] = rng.choice([0, 1, 2, 5, -1, -2, -9, 1.5, -0.5, "1", True])
+    if rng.random() < 0.1:
+        del patch[rng.choice(["k", "v"])]
+    return patch
+
+
+def test_patches_compose(spark):
+    """A log folded by blocks, in any grouping, is the log applied patch by patch."""
+    rng = random.Random(8)
+    logs = []
+    for n in range(150):
+        lines = [json.dumps(random_patch(rng)) for _ in range(rng.randrange(0, 30))]
+        lines += ["{", "[]", ""][: n % 4]
+        logs.append(lines)
+        document, seen = {}, {}
+        for line in lines:
+            one = patch_logs.of_lines([line])
+            if one.change is not None:
+                document = one.change(document)
+            for k, v in one.completion.items():
+                seen[k] = max(seen.get(k, 0), v)
+        document = json.loads(json.dumps(document))
+        for size in (1, 3, 100):
+            parts = [patch_logs.packed(patch_logs.of_lines(lines[k : k + size])) for k in range(0, len(lines), size)]
+            left = patch_logs.Log()
+            for part in parts:
+                left.and_then(patch_logs.unpacked(part))
+            while len(parts) > 1:  # the other way round
+                last = patch_logs.unpacked(parts.pop())
+                parts[-1] = patch_logs.packed(patch_logs.unpacked(parts[-1]).and_then(last))
+            right = patch_logs.unpacked(parts[0]) if parts else patch_logs.Log()
+            assert left.document() == right.document() == document and left.completion == right.completion == seen
+    df = spark.createDataFrame([(i, "\n".join(x)) for i, x in enumerate(logs)], "id int, content string")
+    whole = {r.id: (r.state, r.completion) for r in patch_logs.documents(df, ["id"]).collect()}
+    assert len(whole) == 150 and whole == {r.id: (r.state, r.completion) for r in patch_logs.documents(df, ["id"], block=2).collect()}
+
+
+def test_what_patches_do():
+    doc = lambda *ps: patch_logs.of_lines(map(json.dumps, ps)).document()
+    put = lambda *k, v=1: {"kind": 1, "k": list(k), "v": v}
+    cut = lambda *k, v=1, **i: {"kind": 2, "k": list(k), "v": v} | i
+    assert doc(put("a", 2, "b")) == {"a": [None, None, {"b": 1}]}
+    assert doc(put("a", "2")) == {"a": {"2": 1}} and doc(put("a", 0, v=5), put("a", "1")) == {"a": [5, 1]}
+    assert doc(put("a", 0), put("a", "x")) == {"a": [1]} and doc(put("a", 0), put("a", "x", "y"), cut("a", "z")) == {"a": [1]}
+    assert doc(cut("a", v=[1, 2, 3]), cut("a", v=[8, 9], i=1)) == {"a": [1, 8, 9]} == doc(cut("a", v=[1, 2, 3]), cut("a", v=[8, 9], i=-2))
+    assert doc(cut("a", v=[1, 2, 3]), cut("a", v=9, i=1.5)) == {"a": [1, 9, 3]} and doc(cut("a", v=7, i=4)) == {"a": [7]}
+    assert doc(put("a", v="text"), cut("a", v=[1])) == {"a": [1]} and doc(put("a", v="text"), put("a", "b")) == {"a": {"b": 1}}
+    assert doc({"kind": 0, "v": [1]}, put(1)) == [1, 1] and doc({"kind": 0, "v": 5}) == {} and doc(put("a", "response")) == {}
 
 
 def varint(n):
@@ -206,3 +266,53 @@ def test_project_import(spark, tmp_path):
 def test_page_escapes(text, want):
     page = sinks.report_page(text, {"x": "</script>"}, [(text, "1")])
     assert ("</script>" in page.split('id="data">')[1].split("\n")[0].replace("</script>", "", 1)) != want
+
+
+def test_sqlite_by_row_ranges(spark, tmp_path):
+    """Many tasks of one table, holes and negative rowids, a view, a table without rowids, rows still in the log."""
+    path = tmp_path / "t.db"
+    db = sqlite3.connect(path)
+    db.execute("pragma journal_mode = wal")
+    db.execute("create table t (id integer primary key, x text, n real)")
+    ids = [*range(-5, 3000), *range(10**9, 10**9 + 2000), 2**60]
+    db.executemany("insert into t values (?, ?, ?)", [(i, f"x{i}", i / 2) for i in ids])
+    db.execute("create table w (k text primary key, v) without rowid")
+    db.executemany("insert into w values (?, ?)", [(f"k{i:03d}", i) for i in range(300)])
+    db.execute("create view seen as select x, n from t where id < 10")
+    db.execute('create table "odd ""name" (a)')
+    db.execute('insert into "odd ""name" values (7)')
+    db.commit()
+    assert (tmp_path / "t.db-wal").stat().st_size
+    read = lambda table, columns, rows=700: raw.sqlite_table(spark, [str(path)], table, columns, rows)
+    df = read("t", "x string, n double, gone string")
+    assert df.rdd.getNumPartitions() == -(-len(ids) // 700)
+    assert [tuple(r)[1:] for r in df.orderBy("row").collect()] == [(i, f"x{i}", i / 2, None) for i in ids]
+    db.execute("delete from t where id >= 0")
+    db.commit()
+    late = read("t", "x string")
+    db.execute("begin exclusive")  # a writer holds it
+    assert late.count() == 5 and read("t", "x string").count() == 5
+    db.rollback()
+    locked = sqlite3.connect(tmp_path / "l.db")
+    locked.execute("create table t (x text)")
+    locked.execute("insert into t values ('a')")
+    locked.commit()
+    locked.execute("begin exclusive")  # no log beside it: its file is copied
+    assert raw.sqlite_table(spark, [str(tmp_path / "l.db")], "t", "x string").count() == 1
+    locked.close()
+    assert sorted(r.k for r in read("w", "k string, v double").collect()) == [f"k{i:03d}" for i in range(300)]
+    assert read("seen", "x string").count() == 5 and read("none", "x string").count() == 0 and read('odd "name', "a string").first().a == "7"
+    db.close()
+
+
+def test_a_large_table_is_streamed(tmp_path):
+    """A task holds a row at a time."""
+    import tracemalloc
+
+    with sqlite3.connect(tmp_path / "l.db") as db:
+        db.execute("create table t (x)")
+        db.executemany("insert into t values (?)", (("y" * 1000,) for _ in range(20_000)))
+    tracemalloc.start()
+    n = sum(1 for _ in raw.read_sqlite("l", str(tmp_path / "l.db"), "t", ["x"], 1, None))
+    assert n == 20_000 and tracemalloc.get_traced_memory()[1] < 2 << 20
+    tracemalloc.stop()

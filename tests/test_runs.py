@@ -3,10 +3,11 @@
 import json
 import sqlite3
 
+from tallyforge.operators import usage
 from tallyforge.plans import runs
 from tallyforge.sources import registry
 
-from .test_agents import line
+from .test_agents import field, line
 
 
 def test_usage_of_a_home(spark, tmp_path):
@@ -89,3 +90,31 @@ def test_usage_with_a_cache_is_the_same(spark, tmp_path):
     assert {r.agent: r.requests for r in plain["totals"].collect()}["codex"] == 2.0
     assert first["files"] == {"claude": {"read": 1, "reused": 0}, "codex": {"read": 2, "reused": 0}}
     assert again["files"] == {"claude": {"read": 0, "reused": 1}, "codex": {"read": 0, "reused": 2}}
+
+
+def test_the_first_file_by_path_counts(spark, tmp_path):
+    """A request that stands in several files: the copy in the first by path is the one that counts, for each agent."""
+
+    def put(path, text):
+        f = tmp_path / path
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_text(text)
+
+    names = "habdgcfe"
+    for k, name in enumerate(names):
+        n = ord(name)
+        step = {"stepIdentifier": "1700-1", "genInfo": {"identifier": "m", "stats": {"promptTokensCount": n, "predictedTokensCount": 1}}}
+        put(f".lmstudio/conversations/{name}.conversation.json", json.dumps({"messages": [{"versions": [{"role": "assistant", "steps": [step]}]}]}))
+        put(f".cline/data/sessions/{name}/{name}.messages.json", json.dumps({"messages": [{"id": "q", "role": "assistant", "ts": 9, "metrics": {"inputTokens": n, "outputTokens": 1}}]}))
+        log = {"kind": 0, "v": {"requests": [{"requestId": "r", "timestamp": 1, "modelId": "gpt", "promptTokens": n}]}}
+        put(f"AppData/Roaming/Code/User/workspaceStorage/{name}/chatSessions/f.jsonl", json.dumps(log))
+        (tmp_path / ".gemini/antigravity/conversations").mkdir(parents=True, exist_ok=True)
+        with sqlite3.connect(tmp_path / f".gemini/antigravity/conversations/{name}.db") as db:
+            db.execute("create table steps (idx, metadata)")
+            blob = field(1, field(1, 100)) + field(9, field(1, 1) + field(2, n) + field(11, "same"))
+            db.executemany("insert into steps values (?, ?)", [(0, None), (1, blob)][k % 2 :])
+    where = registry.Home.of(str(tmp_path))
+    for agent in ("lmstudio", "cline", "copilot", "antigravity"):
+        rows = registry.LOADERS[agent](spark, where)
+        assert [chr(int(r.input)) for r in rows.orderBy("ord").collect()] == sorted(names), agent
+        assert usage.keep_first(rows).first().input == ord("a"), agent
