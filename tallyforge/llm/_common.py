@@ -31,6 +31,18 @@ def ready(df: DataFrame) -> DataFrame:
     return df
 
 
+def set_apart(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with names that no operator uses, and the given name of each: columns of any name go through an operator unharmed."""
+    names = {f"given_{n}": c for n, c in enumerate(df.columns)}
+    return df.toDF(*names), {c: own for own, c in names.items()}
+
+
+def as_given(df: DataFrame, own: dict[str, str]) -> DataFrame:
+    """Columns of :func:`set_apart` by their given names again; other columns, whose names must be free, stay."""
+    given = {o: c for c, o in own.items()}
+    return df.toDF(*[given.get(c, c) for c in df.columns])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ready(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 

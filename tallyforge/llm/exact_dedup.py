@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut
+from ._common import as_given, cut, set_apart
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 KEY = ["sha", "bytes", "check"]
@@ -78,13 +78,12 @@ def dedup_classes(
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
     """``df`` with one row of each group of equal texts, all its columns unchanged."""
+    df, own = set_apart(df)
+    id_col, text_col = own[id_col], own[text_col]
     kept = dedup_classes(df, id_col, text_col, keep).where("kept").select(F.col("id").alias("_id"), F.col("text_sha256").alias("_sha"))
     marked = df.withColumn("_key", F.sha2(ascii_lower(F.col(text_col)), 256))
-    return (
-        marked.join(kept, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_sha")), "left_semi")
-        .dropDuplicates([id_col, "_key"])
-        .select(*df.columns)
-    )
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_sha"))
+    return as_given(marked.join(kept, same, "left_semi").dropDuplicates([id_col, "_key"]).select(*df.columns), own)
 
 
 ORACLE = f"""

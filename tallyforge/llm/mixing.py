@@ -13,11 +13,13 @@ target 0; repeated rows count one by one; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import cut, discard
+from ._common import as_given, cut, discard, set_apart
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -134,9 +136,10 @@ def _stepped(marked: DataFrame, steps: DataFrame | None) -> DataFrame:
     return marked.join(summed, "row", "left").withColumn("step", F.coalesce("step", F.lit(0)))
 
 
-def whole_key(*columns: str) -> Column:
-    """128 bits of the columns' values; a null is not the same as a value in another column."""
-    cells = [x for c in columns for x in (F.col(c).isNull(), F.col(c))]
+def whole_key(df: DataFrame) -> Column:
+    """128 bits of all columns' values; a null is not the same as a value in another column.  Maps and variants, which have no hash, count as their JSON."""
+    plain = lambda f: F.to_json(F.struct(f.name)) if re.search(r"\b(map<|variant\b)", f.dataType.simpleString()) else F.col(f.name)
+    cells = [x for f in df.schema.fields for x in (F.col(f.name).isNull(), plain(f))]
     return F.struct(F.xxhash64(F.lit(1), *cells).alias("a"), F.xxhash64(F.lit(2), *cells).alias("b"))
 
 
@@ -145,7 +148,9 @@ def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Rows are known by all their columns: only rows that are the same in each stand for each other, and their repetitions add up.
     """
-    keyed = df.withColumn("_key", whole_key(*df.columns))
-    times = mix(keyed, id_col=id_col, text_col=text_col, key=F.col("_key"), **how).groupBy("key").agg(F.sum("times").cast("int").alias("_times"))
+    df, own = set_apart(df)
+    how["source_col"] = own[how.get("source_col", "source")]
+    keyed = df.withColumn("_key", whole_key(df))
+    times = mix(keyed, id_col=own[id_col], text_col=own[text_col], key=F.col("_key"), **how).groupBy("key").agg(F.sum("times").cast("int").alias("_times"))
     one = keyed.join(times.where("_times > 0").withColumnRenamed("key", "_key"), "_key").dropDuplicates(["_key"])
-    return one.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*df.columns)
+    return as_given(one.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*df.columns), own)

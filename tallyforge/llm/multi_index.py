@@ -128,7 +128,10 @@ def _top(scores: np.ndarray, x: np.ndarray, q: np.ndarray, ids: np.ndarray, own:
 def search(
     df: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", recall: float = RECALL
 ) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest by inner product of every vector for which ``queries`` holds."""
+    """(query_id, rank, vec_id, score): the k nearest by inner product of every vector for which ``queries`` holds.
+
+    Identifiers are whole numbers, or texts of such; another text is an error of the cast.
+    """
     spark, schema = df.sparkSession, "query_id long, rank int, vec_id long, score double"
     df = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("v"), F.coalesce(queries, F.lit(False)).alias("asks"))
     lengths = df.where(F.col("v").isNotNull()).groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from ._arrays import blocks, lean, mix64, powers, runs_of, span_hashes, words
-from ._common import bloom_filters, cut, discard, drop_shuffles, join_hot, ready
+from ._common import as_given, bloom_filters, cut, discard, drop_shuffles, join_hot, ready, set_apart
 from .graph import components
 
 WORDS = 5
@@ -381,6 +381,11 @@ def _tagged(where: int):
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with one row of each group, that with the smallest id, or any if none has an id."""
+    df, own = set_apart(df)
+    return as_given(_one_of_each(df, own[id_col], own[text_col]), own)
+
+
+def _one_of_each(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     groups = cut(_grouped(df, id_col, text_col).select("id", "seq", "n_words", "root"), "near-kept")
     least = F.min(F.struct(F.col("id").isNull(), "id", "seq", "n_words"))
     first = groups.groupBy("root").agg(least.alias("f")).select(F.col("f.id").alias("_id"), F.col("f.seq").alias("_s"), F.col("f.n_words").alias("_w"))

@@ -37,6 +37,7 @@ MAX_WORDS = 3
 MIN_COUNT = 10
 SHARE = 50
 TOP = 2000
+FAN_IN = 16
 SCALE = 1_000_000
 CHUNK_BYTES = 8 << 20
 MEMORY = "256MB"
@@ -227,8 +228,11 @@ def top_phrases(df: DataFrame, top: int = TOP, **how) -> DataFrame:
     def first(rows: DataFrame, *key: str) -> DataFrame:
         return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where(F.col("rank") <= top)
 
-    dealt_out = found.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))))
-    best = first(first(dealt_out, "lang", "part").drop("rank", "part"), "lang")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    best = found.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(parts)))
+    while parts > 1:  # at most FAN_IN * top rows of a language meet in a task
+        best, parts = first(best, "lang", "part").drop("rank").withColumn("part", F.floor(F.col("part") / FAN_IN)), -(-parts // FAN_IN)
+    best = first(best, "lang")
     return best.join(n, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 

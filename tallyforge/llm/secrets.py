@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SPAN, match_spans, scan
+from ._common import SPAN, as_given, match_spans, scan, set_apart
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
@@ -100,7 +100,17 @@ def _scoped(parts: Column, ends: Column) -> Column:
 
 
 def scan_secrets(df: DataFrame, text_col: str = "text", reach: int = REACH) -> DataFrame:
-    """``df`` plus ``parts``: array of (s, k, e, kind, role, weak, scope, linked), strong ones and linked weak ones."""
+    """``df`` plus ``parts``: array of (s, k, e, kind, role, weak, scope, linked), strong ones and linked weak ones.
+
+    Where ``df`` has a column of that name, the new one is ``parts_1``, or the next that is free.
+    """
+    free = next(name for name in ("parts", *(f"parts_{n}" for n in range(1, len(df.columns) + 2))) if name.lower() not in map(str.lower, df.columns))
+    df, own = set_apart(df)
+    found = _with_parts(df, own[text_col], reach)
+    return as_given(found.withColumnRenamed("parts", free), own)
+
+
+def _with_parts(df: DataFrame, text_col: str, reach: int) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     named = F.regexp_like(text, F.lit(r"(?i)passw|secret|token|api_?key"))
     none = F.array().cast(f"array<{SPAN}>")
@@ -135,11 +145,11 @@ def listed(spans: Column) -> Column:
 
 
 def secret_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    found = scan_secrets(df.select(id_col, text_col), text_col)
+    found = scan_secrets(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
     count = lambda kind: F.size(F.filter("parts", lambda x: x["kind"] == kind)).cast("long")
     base = F.filter("parts", lambda x: ~x["weak"])
     return found.select(
-        id_col,
+        F.col("id").alias(id_col),
         *[count(k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
         F.sha2(listed(base), 256).alias("base_sha256"),
         listed(F.col("parts")).alias("spans"),
