@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dims
@@ -306,21 +306,24 @@ def token_prefilter_json(spark, sf_dir):
 
 
 _IDS = ["claude-haiku-4-5-20251001", "anthropic.claude-opus-5", "claude-sonnet-4-5@20250929", "omni/kr/claude-sonnet-4.5-high", "z-ai/glm-5.3-flash", "gemini-3-flash", "x:free", "MODEL-FREE", "claude-opus-4-8"]
-_ID_ROWS = ", ".join(f"('{m}')" for m in _IDS)
+_ID_LIST = ", ".join(f"'{m}'" for m in _IDS)
 
 
-@query(f"""WITH i(m) AS (VALUES {_ID_ROWS}), n AS (
-  SELECT m, regexp_replace(regexp_replace(regexp_replace(m, '-[0-9]{{8}}$', ''), '^anthropic\\.', ''), '@[0-9]{{8}}$', '') AS plain,
+@query(f"""WITH i AS (SELECT event_id, [{_ID_LIST}][event_id % {len(_IDS)} + 1] || CASE WHEN event_id % 4 = 0 THEN '-' || CAST(user_id AS VARCHAR) ELSE '' END AS m FROM events), n AS (
+  SELECT event_id, m, regexp_replace(regexp_replace(regexp_replace(m, '-[0-9]{{8}}$', ''), '^anthropic\\.', ''), '@[0-9]{{8}}$', '') AS plain,
     regexp_replace(list_extract(string_split(lower(m), '/'), -1), '-(thinking|xhigh|high|medium|low|max|agent)$', '') AS a FROM i
-) SELECT m, plain, CASE WHEN a = 'gemini-3-flash' THEN 'gemini-3-flash-preview' ELSE a END AS agent_id,
+) SELECT event_id, m, plain, CASE WHEN a = 'gemini-3-flash' THEN 'gemini-3-flash-preview' ELSE a END AS agent_id,
   regexp_matches(m, '(?i)(:free|-free)$') AS free,
   CASE WHEN regexp_matches(plain, '^claude-(opus|sonnet|haiku|fable|mythos)-[0-9]+(-[0-9]+)?$') THEN
     upper(substr(split_part(plain, '-', 2), 1, 1)) || substr(split_part(plain, '-', 2), 2) || ' ' || split_part(plain, '-', 3) ||
     CASE WHEN split_part(plain, '-', 4) <> '' THEN '.' || split_part(plain, '-', 4) ELSE '' END ELSE plain END AS shown FROM n""")
 def model_names(spark, sf_dir):
+    """An event's model: one of a few forms, on every fourth event with the user's number at its end."""
     m = F.col("m")
-    ids = spark.createDataFrame([(x,) for x in _IDS], "m string")
-    return ids.select("m", S.normalize_model(m).alias("plain"), S.agent_model(m).alias("agent_id"), S.is_free(m).alias("free"), S.display_model(m).alias("shown"))
+    form = F.get(F.array(*map(F.lit, _IDS)), (F.col("event_id") % len(_IDS)).cast("int"))
+    tail = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("-"), F.col("user_id").cast("string"))).otherwise("")
+    ids = table(spark, sf_dir, "events").select("event_id", F.concat(form, tail).alias("m"))
+    return ids.select("event_id", "m", S.normalize_model(m).alias("plain"), S.agent_model(m).alias("agent_id"), S.is_free(m).alias("free"), S.display_model(m).alias("shown"))
 
 
 # ---- source metrics -----------------------------------------------------------------------------------------------------------
@@ -451,8 +454,8 @@ def incremental_manifest(spark, sf_dir):
     now = docs.select(F.col("doc_id").cast("string").alias("path"), F.col("n_chars").alias("length"), F.lit(1).alias("modified"), "doc_id")
     old = now.where("doc_id % 5 <> 0 or doc_id % 4 = 0").select("path", (F.col("length") + F.when(F.col("doc_id") % 4 == 0, 1).otherwise(0)).alias("length"), "modified", F.lit("1").alias("version"))
     changed, same = metrics.manifest_diff(old, now, "1")
-    state = F.when(F.col("doc_id") % 4 == 0, "changed").otherwise("new")
-    return changed.select("doc_id", state.alias("state")).unionByName(same.select("doc_id", F.lit("reusable").alias("state")))
+    changed = changed.join(old.select("path", F.lit(True).alias("was")), "path", "left")
+    return changed.select("doc_id", F.when(F.col("was"), "changed").otherwise("new").alias("state")).unionByName(same.select("doc_id", F.lit("reusable").alias("state")))
 
 
 @query("""WITH a AS (SELECT source AS project_id, count(*) AS files FROM documents GROUP BY source), b AS (SELECT project_id, files + 1000 AS files FROM a WHERE project_id < 'src13')
@@ -647,16 +650,21 @@ def export_with_status(spark, sf_dir):
     return history.export_rows(projects.withColumn("status", F.lit("OK")), files, history.grand_totals(projects))
 
 
-_PATCHES = [
-    ("a", "diff --git a/x b/x\n@@ -1 +1,2 @@\n-a\n+b\n+c\n@@ -9,2 +10 @@\n-x\n-y\n\\ No newline at end of file\n+z"),
-    ("b", "diff --git a/x b/x\n--- a/x\n+++ b/x\n@@ -1 +1 @@\n-a\n context\n+b\ndiff --git a/y b/y\n-q\n+q\n@@ -1 +1 @@\n-1\n+2"),
-    ("c", ""),
-]
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS n FROM documents),
+k AS (SELECT doc_id, n, (n + doc_id) % 7 AS k FROM l), b AS (SELECT *, sum(CASE WHEN k = 4 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS block FROM k),
+m AS (SELECT doc_id, block, least(count(*) FILTER (k < 2 OR k = 5), count(*) FILTER (k IN (2, 3))) AS m FROM b GROUP BY ALL)
+SELECT doc_id, CAST(sum(m) AS BIGINT) AS modified FROM m GROUP BY doc_id""")
+def modified_estimate(spark, sf_dir):
+    """A document's lines as a patch: each is deleted, added or context by its place; a note on a missing line end does not end a block, nor counts."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("a"))
 
+    def line(x: Column, n: Column) -> Column:
+        k = (n + F.col("doc_id")) % 7
+        sign = F.when(k < 2, "-").when(k < 4, "+").when(k == 4, " ").when(k == 5, "-").otherwise("\\ No newline at end of file")
+        return F.concat(sign, x)
 
-@query("SELECT * FROM (VALUES ('a', 2), ('b', 1), ('c', 0)) v(id, modified)")
-def modified_estimate(spark, sf_dir):
-    return history.modified_estimate(spark.createDataFrame(_PATCHES, "id string, patch string"), ["id"])
+    patch = F.concat(F.lit("diff --git a/x b/x\n--- a/x\n+++ b/x\n@@ -1 +1 @@\n"), F.array_join(F.transform("a", line), "\n"))
+    return history.modified_estimate(d.select("doc_id", patch.alias("patch")), ["doc_id"])
 
 
 # ---- text -----------------------------------------------------------------------------------------------------------------------
@@ -671,6 +679,16 @@ def format_tokens(spark, sf_dir):
     return x.select("l_partkey", S.token_text(F.col("n")).alias("text"))
 
 
+@query("""WITH x AS (SELECT l_suppkey, CAST(count(*) % 3 AS BIGINT) AS sessions, CASE WHEN l_suppkey % 5 = 0 THEN 0 ELSE sum(CAST(round(l_extendedprice * 100) AS BIGINT)) END AS cents, l_suppkey % 2 = 0 AS part FROM lineitem GROUP BY l_suppkey)
+SELECT l_suppkey, CASE WHEN sessions = 0 OR (cents = 0 AND part) THEN '—' ELSE '$' || format('{:,}', CAST(cents // 100 AS BIGINT)) || '.' || lpad(CAST(cents % 100 AS VARCHAR), 2, '0') || CASE WHEN part THEN '*' ELSE '' END END AS text FROM x""")
+def cost_texts(spark, sf_dir):
+    """What a table shows of a cost: a dash without sessions or without any known price, a star where some prices are unknown."""
+    s = F.col("l_suppkey")
+    cents = F.sum(F.round(F.col("l_extendedprice") * 100).cast("long"))
+    x = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg((F.count(F.lit(1)) % 3).alias("sessions"), F.when(s % 5 == 0, 0).otherwise(cents).alias("cents"))
+    return x.select("l_suppkey", S.cost_text(F.col("sessions"), F.col("cents") / 100, s % 2 == 0).alias("text"))
+
+
 @query("""SELECT o_orderkey, CASE WHEN v IS NULL THEN '—' WHEN v > 0 THEN '+' || format('{:,}', v) WHEN v < 0 THEN '-' || format('{:,}', -v) ELSE '0' END AS signed,
   CASE WHEN v IS NULL THEN '—' ELSE '$' || format('{:,.2f}', CAST(v AS DOUBLE)) END AS currency, CASE WHEN v IS NULL THEN '—' ELSE format('{:,}', v) END AS number,
   CASE WHEN v IS NULL THEN '—' WHEN v > 0 THEN '+$' || format('{:,.2f}', CAST(v AS DOUBLE)) WHEN v < 0 THEN '-$' || format('{:,.2f}', CAST(-v AS DOUBLE)) ELSE '$0.00' END AS signed_currency,

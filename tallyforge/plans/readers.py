@@ -262,6 +262,24 @@ def copilot_patch_logs(spark, sf_dir):
     return agents.copilot_records(logs, where.select(F.concat(F.lit("w"), F.col("k").cast("string")).alias("dir"), F.to_json(F.struct(F.concat(F.lit("file:///d%3A/p"), F.col("k").cast("string")).alias("folder"))).alias("content")))
 
 
+@query("""WITH RECURSIVE c AS (SELECT conv_id, turn, length(text) + 1 AS size, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n FROM conversations),
+s AS (SELECT DISTINCT conv_id, CAST(-1 AS BIGINT) AS n, CAST([] AS STRUCT(turn BIGINT, size BIGINT)[]) AS st FROM c
+  UNION ALL SELECT s.conv_id, c.n, list_append(CASE WHEN c.n % 4 = 1 THEN list_slice(st, 1, c.n // 2) WHEN c.n % 4 = 3 THEN list_slice(st, 1, len(st) - 1) ELSE st END, {'turn': CAST(c.turn AS BIGINT), 'size': CAST(c.size AS BIGINT)})
+  FROM s JOIN c ON c.conv_id = s.conv_id AND c.n = s.n + 1),
+l AS (SELECT conv_id, arg_max(st, n) AS st FROM s GROUP BY conv_id), e AS (SELECT conv_id, unnest(st) AS x, unnest(range(len(st))) AS i FROM l)
+SELECT 'c' || CAST(conv_id AS VARCHAR) AS session, 'r' || CAST(x.turn AS VARCHAR) AS request, CAST(x.size AS DOUBLE) AS input, conv_id * 65536 + i AS ord FROM e""")
+def patch_splices(spark, sf_dir):
+    """Each conversation is a log of requests put into a list at a place: what stands from there on goes, and places count from either end."""
+    c = table(spark, sf_dir, "conversations").withColumn("n", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1)
+    request = F.struct(F.concat(F.lit("r"), F.col("turn").cast("string")).alias("requestId"), (F.col("turn") + 1000).alias("timestamp"), F.lit("m").alias("modelId"), (F.length("text") + 1).alias("promptTokens"))
+    place = F.when(F.col("n") % 4 == 1, F.floor(F.col("n") / 2)).when(F.col("n") % 4 == 3, F.lit(-1))
+    patch = F.to_json(F.struct(F.lit(2).alias("kind"), F.array(F.lit("requests")).alias("k"), place.alias("i"), request.alias("v")))
+    files = joined(c.withColumnRenamed("n", "ord").withColumn("n", F.col("ord")), "conv_id", patch)
+    start = F.concat(F.lit('{"kind":0,"v":{"sessionId":"c'), F.col("conv_id").cast("string"), F.lit('","requests":[]}}\n'))
+    logs = files.select(F.lit("w").alias("dir"), F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("name"), (F.col("conv_id") * 65536).alias("ord"), F.concat(start, F.array_join("items", "\n")).alias("content"))
+    return agents.copilot_records(logs, logs.select("dir", F.lit("{}").alias("content")).limit(0)).select("session", "request", "input", "ord")
+
+
 # ---- payloads, exports --------------------------------------------------------------------------------------------------------
 
 
