@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dims
 from ..functions import scalars as S
-from ..operators import dailylog, history, lines, paths, usage
+from ..operators import dailylog, history, lines, metrics, paths, usage
 from ..sources import agents, registry, sinks, tree
+from . import publication
 from ..sources import repos as git_repos
 
 
@@ -43,8 +45,8 @@ def scan(
     return order(files.where("warning is null").drop("warning"), F.upper("path")), order(warnings, "path")
 
 
-def load_sources(sources: dict[str, Callable[[], DataFrame]], disabled: set[str] = frozenset()) -> tuple[DataFrame | None, dict[str, str]]:
-    """Records of all agents and each one's status; a source that fails is left out and told, the others go on.
+def load_sources(sources: dict[str, Callable[[], DataFrame]], disabled: set[str] = frozenset(), loaded: list | None = None) -> tuple[DataFrame | None, dict[str, str]]:
+    """Records of all agents and each one's status; a source that fails is left out and told, the others go on.  ``loaded`` gets the cached frames.
 
     Spark reads late, so each source is written to the cache inside its own try.
     """
@@ -62,9 +64,17 @@ def load_sources(sources: dict[str, Callable[[], DataFrame]], disabled: set[str]
     out = None
     for frame in frames:
         out = frame if out is None else out.unionByName(frame)
+    if loaded is not None:
+        loaded += frames
     return out, status
 
 
+def unload(found: dict) -> None:
+    """Let go of the records that ``usage_of`` has loaded, when nothing reads them any more."""
+    for frame in found.get("loaded", ()):
+        frame.unpersist()
+
+
 def usage_report(records: DataFrame, tz: str = "UTC", since: int | None = None, until: int | None = None) -> dict[str, DataFrame]:
     """Cube and sessions of agent records: window, first copy of each request, prices."""
     kept = usage.with_agent_cost(usage.keep_first(usage.in_window(records, since, until)))
@@ -166,7 +176,8 @@ def usage_of(spark: SparkSession, where: registry.Home, tz: str = "UTC", disable
     """The usage of all agents found: records, each agent's status and the report; pages go to the folder ``out``.
 
     The assistant's transcripts are deduplicated by best copy, over all time, before they join the others.  With a folder
-    ``cache``, transcripts and rollouts of the size and time they had at the load before are not read again.
+    ``cache``, files and databases of the size and time they had at the load before are not read again, and of transcripts and rollouts
+    that have grown only what was appended.
     """
     found = registry.detect(where)
     folders = [f for f in [*registry.places("claude", where), *extra_transcripts] if os.path.isdir(f)]
@@ -182,11 +193,12 @@ def usage_of(spark: SparkSession, where: registry.Home, tz: str = "UTC", disable
             kept("claude", lambda: registry.kept_transcripts(spark, folders, cache, rescan)) if cache else registry.transcripts(spark, folders)
         )
     for agent, load in registry.LOADERS.items():
-        if found[agent]:
+        if found[agent] and cache:
+            loads[agent] = lambda agent=agent: kept(agent, lambda: registry.kept(spark, agent, where, cache, rescan))
+        elif found[agent]:
             loads[agent] = lambda load=load: load(spark, where)
-    if cache and found["codex"]:
-        loads["codex"] = lambda: kept("codex", lambda: registry.kept_codex(spark, where, cache, rescan))
-    records, status = load_sources(loads, disabled)
+    loaded: list[DataFrame] = []
+    records, status = load_sources(loads, disabled, loaded)
     status = {agent: status.get(agent, "Disabled" if agent in disabled else "NotFound") for agent in registry.PLACES}
     if records is None:
         return {"status": status, "records": None, "files": counts}
@@ -200,4 +212,53 @@ def usage_of(spark: SparkSession, where: registry.Home, tz: str = "UTC", disable
         stale = [n for n in os.listdir(out) if n.endswith(".html") and n != "agents.html"]
         for name in stale:  # pages of agents that are gone
             os.remove(os.path.join(out, name))
-    return {"status": status, "records": records, "files": counts} | report
+    return {"status": status, "records": records, "files": counts, "loaded": loaded} | report
+
+
+@dataclass
+class Project:
+    project_id: str
+    name: str
+    root: str
+    enabled: bool = True
+    patterns: tuple[str, ...] = ()
+
+
+def refresh(
+    spark: SparkSession, projects: list[Project], state: str, day: str, now: int, scope: str = "SourceOnly", tokenizer: str = "o200k_base", tokens=None,
+    where: registry.Home | None = None, tz: str = "UTC", cache: str | None = None,
+) -> None:
+    """Scan all enabled projects, record the day and the agents' usage, and publish all tables of the folder ``state`` at once.
+
+    Tables: files, warnings, snapshot (a row a project), lines, languages, ai, ai_projects.  A project whose folder is gone keeps its snapshot and
+    gets no line.  Contents of files are read once: all tables come from ``files`` as written.  ``now``: epoch milliseconds.
+    """
+    with publication.Publication(spark, state).draft() as draft:
+        scanning = [p for p in projects if p.enabled]
+        found, told = scanned(spark, {p.project_id: p.root for p in scanning}, scope, own=[(p.project_id, list(p.patterns)) for p in scanning], tokens=tokens)
+        files = draft.write("files", found)
+        warnings = draft.write("warnings", told.unionByName(files.where("warning is not null").select("project_id", "path", "warning")))
+        files = files.where("warning is null").drop("warning")
+        listed = spark.createDataFrame([(p.project_id, p.name, p.root, p.enabled, n) for n, p in enumerate(projects)], "project_id string, name string, root_path string, enabled boolean, ord long")
+        absent = warnings.where("path = '' and warning = 'folder not found'").select("project_id")
+        here = listed.where("enabled").join(absent, "project_id", "left_anti").select("project_id", "name")
+
+        today = record_day(files, here, None, day, now, scope, tokenizer)
+        fresh = today.drop("date")
+        old = draft.old("snapshot")
+        draft.write("snapshot", fresh if old is None else metrics.merge_snapshot(old, fresh, listed.select("project_id", "ord")))
+        log = draft.old("lines")
+        draft.write("lines", today if log is None else dailylog.record_lines(log, today))
+        languages = metrics.by_language(files, "project_id").select(F.lit(day).alias("date"), "project_id", "language", "category", "physical", "code")
+        known = draft.old("languages")
+        if known is not None:  # a day's languages go with the day's line
+            languages = known.join(here.withColumn("date", F.lit(day)), ["date", "project_id"], "left_anti").select(*languages.columns).unionByName(languages)
+        draft.write("languages", languages)
+        if where is not None:
+            got = usage_of(spark, where, tz, cache=cache)
+            if got["records"] is not None:
+                priced = usage.with_agent_cost(usage.keep_first(got["records"]))
+                ai, parts = record_usage(got, priced, listed.select("project_id", "root_path", "ord"), draft.old("ai"), draft.old("ai_projects"), day, tz)
+                draft.write("ai", ai)
+                draft.write("ai_projects", parts)
+                unload(got)
