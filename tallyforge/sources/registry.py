@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import glob
+import hashlib
 import os
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -16,7 +17,7 @@ from . import record_cache, tree
 
 
 MOST_BYTES = (1 << 31) - 1
-ENTRY_BITS = 28
+ENTRY_BITS = 32
 
 
 @dataclass
@@ -90,8 +91,8 @@ def kept_transcripts(spark: SparkSession, folders: list[str], cache: str, rescan
 
 
 def kept_codex(spark: SparkSession, where: Home, cache: str, rescan: bool = False) -> tuple[DataFrame, dict[str, int]]:
-    """The records of rollouts, unchanged files from the cache; and how many files were read and reused."""
-    return record_cache.load(spark, places("codex", where), r"^rollout-.*\.jsonl$", agents.codex_records, os.path.join(cache, "codex"), rescan)
+    """The records of rollouts, of known files only what was appended; and how many files were read and reused."""
+    return record_cache.load(spark, places("codex", where), r"^rollout-.*\.jsonl$", agents.codex_records, os.path.join(cache, "codex"), rescan, agents.codex_carry)
 
 
 def _codex(spark: SparkSession, where: Home) -> DataFrame:
@@ -99,22 +100,23 @@ def _codex(spark: SparkSession, where: Home) -> DataFrame:
     return agents.codex_records(lines.withColumn("path", F.concat("project_id", F.lit("/"), "path")))  # both folders may hold a name
 
 
-def _cline(spark: SparkSession, where: Home) -> DataFrame:
-    files = _tree(spark, places("cline", where), r"\.json$")
+def _cline(spark: SparkSession, where: Home, files: DataFrame | None = None) -> DataFrame:
+    files = _tree(spark, places("cline", where), r"\.json$") if files is None else files
     own = F.regexp_extract("path", r"^([^/]+)/", 1)
     messages = files.where(F.col("path") == F.concat(own, F.lit("/"), own, F.lit(".messages.json")))
     heads = files.where(F.col("path") == F.concat(own, F.lit("/"), own, F.lit(".json")))
     return agents.cline_records(_documents(messages, "."), _documents(heads, "."))
 
 
-def _copilot(spark: SparkSession, where: Home) -> DataFrame:
-    files = _tree(spark, places("copilot", where), r"\.jsonl$|^workspace\.json$")
+def _copilot(spark: SparkSession, where: Home, files: DataFrame | None = None) -> DataFrame:
+    files = _tree(spark, places("copilot", where), r"\.jsonl$|^workspace\.json$") if files is None else files
     logs = _documents(files, r"^[^/]+/chatSessions/[^/]+\.jsonl$").withColumn("dir", F.regexp_replace("dir", "/chatSessions$", ""))
     return agents.copilot_records(logs, _documents(files, r"^[^/]+/workspace\.json$"))
 
 
-def _lmstudio(spark: SparkSession, where: Home) -> DataFrame:
-    return agents.lmstudio_records(_documents(_tree(spark, places("lmstudio", where), r"\.conversation\.json$"), r"^[^/]+$"))
+def _lmstudio(spark: SparkSession, where: Home, files: DataFrame | None = None) -> DataFrame:
+    files = _tree(spark, places("lmstudio", where), r"\.conversation\.json$") if files is None else files
+    return agents.lmstudio_records(_documents(files, r"^[^/]+$"))
 
 
 def _zcode(spark: SparkSession, where: Home) -> DataFrame:
@@ -160,3 +162,49 @@ LOADERS: dict[str, Callable[[SparkSession, Home], DataFrame]] = {
     "hermes": _hermes,
     "lmstudio": _lmstudio,
 }
+
+
+# ---- kept between loads ---------------------------------------------------------------------------------------------------------
+
+#: Of agents that write whole documents: names of their files, which hold records, and the file beside each that its records depend on.
+DOCUMENTS = {
+    "cline": (r"\.json$", r"^([^/]+)/\1\.messages\.json$", r"^([^/]+)/\1\.json$", _cline),
+    "copilot": (r"\.jsonl$|^workspace\.json$", r"^[^/]+/chatSessions/[^/]+\.jsonl$", r"^[^/]+/workspace\.json$", _copilot),
+    "lmstudio": (r"\.conversation\.json$", r"^[^/]+$", None, _lmstudio),
+}
+
+
+def _kept_documents(spark: SparkSession, agent: str, where: Home, cache: str, rescan: bool) -> tuple[DataFrame, dict[str, int]]:
+    names, holds, beside, loader = DOCUMENTS[agent]
+    roots = {f"{i:04d}": f for i, f in enumerate(places(agent, where))}
+    listed = raw.source_tree(spark, roots, max_bytes=-1, names=names).where("not is_dir").select("project_id", "path", "size", "modified")
+    files = raw.in_order(listed).withColumn("unit", F.concat("project_id", F.lit("/"), "path")).withColumn("top", F.concat("project_id", F.lit("/"), F.regexp_extract("path", "^([^/]*)/", 1)))
+    own = files.where(F.regexp_like("path", F.lit(holds)))
+    heads = files.where(F.regexp_like("path", F.lit(beside)) if beside else F.lit(False))
+    state = heads.select("top", F.xxhash64("size", "modified").alias("head"))
+    units = own.join(state, "top", "left").select(F.col("unit").alias("path"), "file_ord", F.col("size").alias("length"), F.xxhash64("modified", F.coalesce("head", F.lit(0))).alias("modified"))
+
+    def parse(changed: DataFrame) -> DataFrame:
+        chosen = own.join(changed.select(F.col("path").alias("unit")), "unit", "left_semi")
+        chosen = chosen.unionByName(heads.join(chosen.select("top").distinct(), "top", "left_semi"))
+        return loader(spark, where, tree.with_contents(chosen.select("project_id", "path", "size", "file_ord"), roots, MOST_BYTES))
+
+    return record_cache.load_documents(spark, units, parse, os.path.join(cache, agent), ENTRY_BITS, rescan)
+
+
+def _kept_databases(spark: SparkSession, agent: str, where: Home, cache: str, rescan: bool) -> tuple[DataFrame, dict[str, int]]:
+    """All databases of an agent are one unit, since some name what others mean; it changes with any of them or its log."""
+    found = [f for place in places(agent, where) for f in (sorted(glob.glob(os.path.join(glob.escape(place), "*.db"))) if os.path.isdir(place) else [place]) if os.path.exists(f)]
+    stats = [(f + end, os.stat(f + end)) for f in found for end in ("", "-wal") if os.path.exists(f + end)]
+    state = hashlib.sha256(repr([(f, s.st_size, s.st_mtime_ns) for f, s in stats]).encode()).digest()
+    units = spark.createDataFrame([(agent, 0, sum(s.st_size for _, s in stats), int.from_bytes(state[:8], "big", signed=True))], record_cache.UNIT)
+    return record_cache.load_documents(spark, units, lambda _: LOADERS[agent](spark, where), os.path.join(cache, agent), None, rescan)
+
+
+def kept(spark: SparkSession, agent: str, where: Home, cache: str, rescan: bool = False) -> tuple[DataFrame, dict[str, int]]:
+    """The records of an agent, read again only where its files or databases have changed; and how many were read and reused."""
+    if agent == "claude":
+        return kept_transcripts(spark, places("claude", where), cache, rescan)
+    if agent == "codex":
+        return kept_codex(spark, where, cache, rescan)
+    return (_kept_documents if agent in DOCUMENTS else _kept_databases)(spark, agent, where, cache, rescan)

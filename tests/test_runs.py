@@ -1,6 +1,7 @@
 """The usage of a whole home folder, agents found, missing, empty and broken."""
 
 import json
+import os
 import sqlite3
 
 from tallyforge.operators import usage
@@ -118,3 +119,112 @@ def test_the_first_file_by_path_counts(spark, tmp_path):
         rows = registry.LOADERS[agent](spark, where)
         assert [chr(int(r.input)) for r in rows.orderBy("ord").collect()] == sorted(names), agent
         assert usage.keep_first(rows).first().input == ord("a"), agent
+
+
+def test_growing_logs(spark, tmp_path):
+    """After every append, cut, replacement and deletion the kept records equal a full read, and appended bytes are all that is read."""
+    logs, cache = tmp_path / ".codex/sessions", str(tmp_path / "cache")
+    logs.mkdir(parents=True)
+    (tmp_path / ".codex/archived_sessions").mkdir()
+    where = registry.Home.of(str(tmp_path))
+    token = lambda total, n: json.dumps({"timestamp": "2026-01-01T00:00:01Z", "type": "event_msg", "payload": {"type": "token_count", "info": {"total_token_usage": {"total_tokens": total}, "last_token_usage": {"input_tokens": n}}}}) + "\n"
+    meta = lambda s, cwd: json.dumps({"type": "session_meta", "payload": {"id": s, "cwd": cwd}}) + "\n"
+    turn = lambda m, cwd=None: json.dumps({"type": "turn_context", "payload": {"model": m, "cwd": cwd}}) + "\n"
+
+    def load():
+        rows, counts = registry.kept_codex(spark, where, cache)
+        files = raw_files(cache, "codex")
+        wanted = sorted(tuple(r)[:-1] for r in registry.LOADERS["codex"](spark, where).collect())
+        got = rows.orderBy("ord").collect()
+        assert sorted(tuple(r)[:-1] for r in got) == wanted
+        assert [r.ord for r in got] == sorted({r.ord for r in got})
+        return counts["read"], {os.path.basename(r.path): r.offset for r in files}, bytes_read(cache)
+
+    a, b = logs / "rollout-a.jsonl", logs / "rollout-b.jsonl"
+    a.write_text(meta("S", "/m") + token(5, 1) + turn("gpt-a", "/t"))
+    b.write_text(token(7, 1))
+    assert load()[0] == 2
+    with a.open("a") as f:
+        f.write(token(5, 2) + token(9, 3) + token(9, 4))  # the first repeats the total that stood before
+    size = a.stat().st_size
+    n, offsets, seen = load()
+    assert n == 1 and offsets["rollout-a.jsonl"] == size and seen == len(token(5, 2) + token(9, 3) + token(9, 4))
+    with a.open("a") as f:
+        f.write(turn(None, "/u") + token(12, 3)[:-1])  # a line without its end counts, and is read again
+    load()
+    with a.open("a") as f:
+        f.write("\n" + meta("other", "/x") + token(15, 1))
+    assert load()[2] == len(token(12, 3) + meta("other", "/x") + token(15, 1))
+    a.write_text(meta("S2", "/m") + token(1, 1))  # cut
+    load()
+    b.write_text(turn("new") + token(70, 1) + token(80, 2))  # longer, but not what it was
+    assert load()[2] == b.stat().st_size
+    a.unlink()
+    (logs / "rollout-0.jsonl").write_text(token(3, 3))
+    load()
+    assert load()[0] == 0
+
+
+def raw_files(cache, agent):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    state = json.load(open(f"{cache}/{agent}/state.json"))["files"]
+    rows = [r for f in glob.glob(f"{cache}/{agent}/files-{state}/*.parquet") for r in pq.read_table(f).to_pylist()]
+    return [type("File", (), r) for r in rows]
+
+
+def bytes_read(cache):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    return sum(r["bytes"] for f in glob.glob(f"{cache}/codex/read-*/*.parquet") for r in pq.read_table(f, columns=["bytes"]).to_pylist())
+
+
+def test_parts_are_written_together(spark, tmp_path, monkeypatch):
+    from tallyforge.sources import record_cache
+
+    monkeypatch.setattr(record_cache, "MOST_PARTS", 2)
+    (tmp_path / "logs").mkdir()
+    for n in range(4):
+        with (tmp_path / "logs/a.jsonl").open("a") as f:
+            f.write(line(requestId=f"r{n}") + "\n")
+        rows, _ = registry.kept_transcripts(spark, [str(tmp_path / "logs")], str(tmp_path / "c"))
+        assert [r.request for r in rows.orderBy("ord").collect()] == [f"r{k}" for k in range(n + 1)]
+        assert len(list((tmp_path / "c/claude/records").glob("part=*"))) <= 2
+
+
+def test_documents_and_databases_are_kept(spark, tmp_path):
+    def put(path, text):
+        f = tmp_path / path
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_text(text)
+
+    where, cache = registry.Home.of(str(tmp_path)), str(tmp_path / "cache")
+    message = lambda n: json.dumps({"messages": [{"id": "q", "role": "assistant", "ts": 9, "metrics": {"inputTokens": n, "outputTokens": 1}}]})
+    for d in "ab":
+        put(f".cline/data/sessions/{d}/{d}.messages.json", message(ord(d)))
+    db = tmp_path / "AppData/Local/hermes/state.db"
+    db.parent.mkdir(parents=True)
+    con = sqlite3.connect(db)
+    con.execute("pragma journal_mode = wal")
+    con.execute("create table sessions (id, model, started_at, input_tokens)")
+    con.execute("insert into sessions values ('x', 'm', 1, 5)")
+    con.commit()
+
+    def load(agent):
+        rows, counts = registry.kept(spark, agent, where, cache)
+        plain = sorted(tuple(r) for r in registry.LOADERS[agent](spark, where).collect())
+        assert sorted(tuple(r) for r in rows.collect()) == plain
+        return counts, len(plain)
+
+    assert load("cline") == ({"read": 2, "reused": 0}, 2) and load("hermes") == ({"read": 1, "reused": 0}, 1)
+    assert load("cline") == ({"read": 0, "reused": 2}, 2) and load("hermes") == ({"read": 0, "reused": 1}, 1)
+    put(".cline/data/sessions/a/a.json", json.dumps({"model": "hm"}))  # beside the messages: their model changes
+    put(".cline/data/sessions/0/0.messages.json", message(7))
+    con.execute("insert into sessions values ('y', 'm', 2, 6)")  # stands in the log only
+    con.commit()
+    assert load("cline") == ({"read": 2, "reused": 1}, 3) and load("hermes") == ({"read": 1, "reused": 0}, 2)
+    con.close()
