@@ -129,7 +129,7 @@ class LineRuns:
 def batch_ends(df: DataFrame, column: str, batches: int) -> list:
     """First values of all batches but the first, nearly even, from the ranges that Spark samples."""
     own = df.select(column).where(F.col(column).isNotNull()).repartitionByRange(batches, column)
-    ends = sorted(r[0] for r in own.groupBy(F.spark_partition_id()).agg(F.min(column)).collect())
+    ends = sorted(r[1] for r in own.groupBy(F.spark_partition_id()).agg(F.min(column)).collect())
     return ends[:: -(-len(ends) // batches) or 1][1:]
 
 
