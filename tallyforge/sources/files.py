@@ -246,11 +246,11 @@ def sqlite_table(spark: SparkSession, paths: list[str], table: str, columns: str
 
 
 def in_order(files: DataFrame) -> DataFrame:
-    """``files`` with ``file_ord``, which grows with the sorted paths: a range (13 bits) and a place there (22).
+    """``files`` with ``file_ord``, which grows with the sorted paths: a range (9 bits) and a place there (22).
 
     Names are range-sorted without the other columns.
     """
-    parts = min(8192, int(files.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    parts = min(512, int(files.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
     order = files.select("project_id", "path").repartitionByRange(parts, "project_id", "path").sortWithinPartitions("project_id", "path")
     place = F.monotonically_increasing_id()  # the range from bit 33 on, the place below
     order = order.withColumn("file_ord", F.shiftleft(F.shiftright(place, 33), 22) + place.bitwiseAND(F.lit((1 << 22) - 1)))
@@ -258,7 +258,7 @@ def in_order(files: DataFrame) -> DataFrame:
 
 
 def numbered_lines(files: DataFrame, pattern: str) -> DataFrame:
-    """(path, ord, line) of the text files whose names match: ord is the file's place (35 bits), then the line (26)."""
+    """(path, ord, line) of the text files whose names match: ord is the file's place (31 bits), then the line (26)."""
     text = F.col("content").cast("string")
     rows = files.where(F.regexp_like("path", F.lit(pattern)) & F.col("content").isNotNull())
     rows = rows if "file_ord" in files.columns else in_order(rows)
