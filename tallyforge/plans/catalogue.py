@@ -16,6 +16,7 @@ from ..functions import lenient_json as J
 from ..functions import scalars as S
 from ..operators import dailylog, history, lines, metrics, paths, usage
 from ..sources import sinks
+from . import reports
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -714,7 +715,7 @@ def csv_guard_html_escape(spark, sf_dir):
 def payload_hours(spark, sf_dir):
     """The cube through the nested document of the page and back."""
     cube = usage.totals(priced_cube(spark, sf_dir), "day", "hour", "model")
-    doc = sinks.hours_map(cube, F.col("model"), sinks.AGENT_VECTOR)
+    doc = sinks.hours_map(cube, F.col("model"), reports.AGENT_VECTOR)
     hours = doc.select(F.explode("hours").alias("day", "h")).select("day", F.explode("h").alias("hour", "k"))
     return hours.select("day", "hour", F.explode("k").alias("model", "v")).select("day", "hour", "model", F.round(F.col("v")[6], 9).alias("cost"))
 

@@ -5,6 +5,9 @@ Imported by :mod:`catalogue`, whose registries it fills.
 
 from __future__ import annotations
 
+import os
+import uuid
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,8 +16,9 @@ from pyspark.sql.window import Window
 from ..functions import lenient_json as J
 from ..functions import scalars as S
 from ..operators import dailylog, history, lines, metrics, paths, usage
-from ..sources import agents, sinks
-from .catalogue import ACUBE_DAY, AGENT, HIST, REC, SCAN, agent_records, ai_days, day_lines, history_rows, priced_cube, query, records, rounded, table, timeline_sql
+from ..sources import agents, files, pages, sinks
+from . import reports
+from .catalogue import ACUBE_DAY, AGENT, HIST, ORACLES, REC, SCAN, agent_records, ai_days, day_lines, history_rows, priced_cube, query, records, rounded, table, timeline_sql
 
 AT = "strftime(epoch_ms(ts), '%Y-%m-%dT%H:%M:%S.%g') || 'Z'"
 
@@ -340,21 +344,49 @@ def daily_ai_record(spark, sf_dir):
 @query(f"""WITH {AGENT}, s AS (SELECT agent, CASE WHEN session = '' THEN 'unknown' ELSE session END AS sid, min(ts) AS start, max(ts) AS "end" FROM priced GROUP BY ALL)
 SELECT count(*) AS sessions, min(start) AS first_start, (SELECT array_to_string(list_sort(list(DISTINCT agent || '::' || model)), ',') FROM priced) AS keys FROM s""")
 def agent_payload_head(spark, sf_dir):
-    """Sessions by start and keys in ordinal order, as the page's document holds them."""
+    """Sessions by start and keys in ordinal order, as the page of all agents holds them."""
+    rows = report_rows(spark, sf_dir).where("tab = 'all'").withColumn("r", F.from_json("row", "array<string>"))
+    key, session = F.when(F.col("section") == "keys", F.struct("place", F.col("r")[0].alias("k"))), F.col("section") == "sessions"
+    return rows.agg(
+        F.count_if(session).alias("sessions"), F.min_by(F.col("r")[2].cast("long"), F.when(session, F.col("place"))).alias("first_start"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(key)), lambda k: k["k"]), ",").alias("keys"),
+    )
+
+
+def report_rows(spark, sf_dir: str) -> DataFrame:
+    """The agents' report written as pages and read back."""
     priced = usage.with_agent_cost(usage.keep_first(agent_records(spark, sf_dir)))
-    doc = sinks.agent_payload({}, usage.agent_cube(priced), usage.agent_sessions(priced), {})
-    starts = [s[2] for s in doc["sessions"]]
-    if starts != sorted(starts):
-        raise AssertionError("sessions are not in order of their start")
-    return spark.createDataFrame([(len(starts), min(starts), ",".join(doc["keys"]))], "sessions long, first_start long, keys string")
+    folder = os.path.join(files.shared_folder(spark, "reports"), uuid.uuid4().hex)
+    pages.write(reports.agent_sections(usage.agent_cube(priced), usage.agent_sessions(priced)), folder, {})
+    return pages.read(spark, folder)
+
+
+@query(f"""WITH {AGENT}, told AS ({ORACLES["usage_agent_sessions"]}), cells AS (
+  SELECT unnest(['all', agent]) AS tab, 'hours' AS section, day AS o1, hour AS o2, 0 AS o3, agent || '::' || model AS o4, day || '|' || CAST(hour AS VARCHAR) || '|' || agent || '::' || model AS label,
+    input + cw + cr + output AS tokens, requests, cost FROM acube
+  UNION ALL SELECT unnest(['all', agent]), 'sessions', '', start, first_pos, '', concat_ws('|', agent, id, CAST(start AS VARCHAR), CAST("end" AS VARCHAR), cwd, top_key), input + cw + cr + output, requests, cost FROM told
+  UNION ALL SELECT DISTINCT unnest(['all', agent]), 'keys', agent || '::' || model, 0, 0, '', agent || '::' || model, NULL, NULL, NULL FROM acube)
+SELECT tab, section, row_number() OVER (PARTITION BY tab, section ORDER BY o1, o2, o3, o4) - 1 AS place, label, tokens, requests, round(cost, 9) AS cost FROM cells""")
+def report_page_rows(spark, sf_dir):
+    """Every row of every page at its place: keys, hours and sessions of each agent and of all."""
+    r, hours, sessions = F.col("r"), F.col("section") == "hours", F.col("section") == "sessions"
+    rows = report_rows(spark, sf_dir).withColumn("r", F.from_json("row", "array<string>"))
+    vector = F.when(hours, F.from_json(r[3], "array<double>")).when(sessions, F.slice(r, 7, 8).cast("array<double>"))
+    names = F.when(hours, F.slice(r, 1, 3)).when(sessions, F.slice(r, 1, 6)).otherwise(r)
+    v = F.col("v")
+    return rows.withColumn("v", vector).select(
+        "tab", "section", "place", F.array_join(names, "|").alias("label"), (v[0] + v[1] + v[2] + v[3]).alias("tokens"), v[4].alias("requests"), F.round(v[6], 9).alias("cost")
+    )
 
 
 @query("""SELECT 'P' || CAST(s_suppkey AS VARCHAR) AS name, 'C:\\\\w\\\\' || s_name AS root_path, s_suppkey AS ord FROM supplier WHERE s_suppkey % 9 <> 0""".replace("\\\\", "\\"))
 def project_list(spark, sf_dir):
-    """A project list written and read back; entries without a folder go."""
-    rows = [(f"P{r.s_suppkey}", "" if r.s_suppkey % 9 == 0 else f"C:\\w\\{r.s_name}") for r in table(spark, sf_dir, "supplier").orderBy("s_suppkey").toLocalIterator()]
-    text = sinks.projects_text([{"name": n, "rootPath": p} for n, p in rows])
-    return sinks.import_projects(spark, text).select("name", "root_path", F.col("ord").cast("long").alias("ord"))
+    """Project lists of a thousand projects each, written and read back; entries without a folder go."""
+    k, block = F.col("s_suppkey"), F.floor(F.col("s_suppkey") / 1000).alias("block")
+    root = F.when(k % 9 == 0, "").otherwise(F.concat(F.lit("C:\\w\\"), "s_name"))
+    projects = table(spark, sf_dir, "supplier").select(block, k.alias("ord"), F.concat(F.lit("P"), k.cast("string")).alias("name"), root.alias("root_path"))
+    found = sinks.imported(sinks.project_documents(projects, "block"), "document")
+    return found.select("name", "root_path", (F.col("block") * 1000 + F.col("ord")).cast("long").alias("ord"))
 
 
 @query("""WITH a AS (SELECT 'c:\\w\\n' || CAST(s_nationkey AS VARCHAR) AS root_key, min(s_suppkey) AS ord FROM supplier GROUP BY 1) SELECT root_key, ord FROM a WHERE root_key NOT IN ('c:\\w\\n3', 'c:\\w\\n4')""")

@@ -13,7 +13,7 @@ from ..functions import dims
 from ..functions import scalars as S
 from ..operators import dailylog, history, lines, metrics, paths, usage
 from ..sources import agents, registry, sinks, tree
-from . import publication
+from . import publication, reports
 from ..sources import repos as git_repos
 
 
@@ -183,35 +183,37 @@ def usage_of(spark: SparkSession, where: registry.Home, tz: str = "UTC", disable
     folders = [f for f in [*registry.places("claude", where), *extra_transcripts] if os.path.isdir(f)]
     loads: dict[str, Callable[[], DataFrame]] = {}
     counts: dict[str, dict[str, int]] = {}
+    loaded: list[DataFrame] = []
+    own: list[DataFrame] = []
 
     def kept(agent: str, load: Callable[[], tuple[DataFrame, dict[str, int]]]) -> DataFrame:
         rows, counts[agent] = load()
         return rows
 
+    def assistant() -> DataFrame:
+        rows = kept("claude", lambda: registry.kept_transcripts(spark, folders, cache, rescan)) if cache else registry.transcripts(spark, folders)
+        if out:  # read twice, for the records and for the assistant's page
+            rows = rows if cache else rows.cache()
+            loaded.append(rows)
+            own.append(rows)
+        return usage.from_claude(rows)
+
     if folders:
-        loads["claude"] = lambda: usage.from_claude(
-            kept("claude", lambda: registry.kept_transcripts(spark, folders, cache, rescan)) if cache else registry.transcripts(spark, folders)
-        )
+        loads["claude"] = assistant
     for agent, load in registry.LOADERS.items():
         if found[agent] and cache:
             loads[agent] = lambda agent=agent: kept(agent, lambda: registry.kept(spark, agent, where, cache, rescan))
         elif found[agent]:
             loads[agent] = lambda load=load: load(spark, where)
-    loaded: list[DataFrame] = []
     records, status = load_sources(loads, disabled, loaded)
     status = {agent: status.get(agent, "Disabled" if agent in disabled else "NotFound") for agent in registry.PLACES}
     if records is None:
         return {"status": status, "records": None, "files": counts}
     report = usage_report(records, tz)
     if out:
-        os.makedirs(out, exist_ok=True)
-        shown = [(r.agent or "all", f"{r.input + r.cw + r.cr + r.output:,.0f} tokens, ${r.cost:,.2f}") for r in report["totals"].orderBy(F.col("agent").asc_nulls_first()).collect()]
         labels = dict(agents.AGENTS) | {"claude": "Claude"}
-        payload = sinks.agent_payload({"title": "All agents", "tz": tz}, report["cube"], report["sessions"], {a: labels[a] for a in loads})
-        sinks.replace_file(os.path.join(out, "agents.html"), sinks.report_page("All agents", payload, shown))
-        stale = [n for n in os.listdir(out) if n.endswith(".html") and n != "agents.html"]
-        for name in stale:  # pages of agents that are gone
-            os.remove(os.path.join(out, name))
+        claude = claude_report(own[0], tz) if own and status["claude"] == "Loaded" else None
+        reports.publish(out, report, {a: labels[a] for a in loads}, tz, claude)
     return {"status": status, "records": records, "files": counts, "loaded": loaded} | report
 
 

@@ -101,41 +101,6 @@ def hours_map(cube: DataFrame, key: Column, vector: list[str]) -> DataFrame:
     return days.agg(nested(F.struct(F.col("day").alias("k"), F.col("hours").alias("v"))).alias("hours"))
 
 
-CLAUDE_VECTOR = ["input", "cw5m", "cw1h", "cr", "output", "requests", "thinking"]
-AGENT_VECTOR = ["input", "cw", "cr", "output", "requests", "thinking", "cost", "cost_tokens"]
-
-
-def claude_payload(meta: dict, summary: DataFrame, stats: DataFrame, cube: DataFrame, sessions: DataFrame, basis: DataFrame, rates: DataFrame) -> dict:
-    """The document of the assistant page: a cube and sessions as lists in a fixed order of fields."""
-    one, counts = summary.first(), stats.first()
-    fields = ["id", "start", "end", "requests", "input", "cw5m", "cw1h", "cr", "output", "cwd", "branch", "top_model"]
-    known = {r.model: [r.r_in, r.r_out, r.r_cr, r.r_cw5m, r.r_cw1h] for r in rates.collect()}
-    return {
-        "meta": meta | {
-            "rawRecords": counts.raw, "countedRecords": counts.counted, "duplicateRecords": counts.duplicates, "partialRecords": counts.partials,
-            "inflation": counts.inflation, "firstTs": one.first_ts, "lastTs": one.last_ts, "sessions": one.sessions, "unknownModels": one.unknown_models,
-        },
-        "rates": {m: known.get(m) for m in one.models},
-        "models": one.models,
-        "hours": hours_map(cube, F.col("model"), CLAUDE_VECTOR).first().hours,
-        "sessions": [[r[f] for f in fields] for r in sessions.orderBy("start", "first_pos").collect()],
-        "appBasis": {r.model: [r[c] for c in CLAUDE_VECTOR] for r in basis.collect()},
-    }
-
-
-def agent_payload(meta: dict, cube: DataFrame, sessions: DataFrame, agents: dict[str, str]) -> dict:
-    """The document of the page of all agents."""
-    key = F.concat("agent", F.lit("::"), "model")
-    fields = ["agent", "id", "start", "end", "cwd", "top_key", *AGENT_VECTOR]
-    return {
-        "meta": meta,
-        "agents": agents,
-        "keys": sorted(r.k for r in cube.select(key.alias("k")).distinct().collect()),
-        "hours": hours_map(cube, key, AGENT_VECTOR).first().hours,
-        "sessions": [[r[f] for f in fields] for r in sessions.orderBy("start", "first_pos").collect()],
-    }
-
-
 def write_document(document: dict, path: str) -> None:
     replace_file(path, json.dumps(document, ensure_ascii=False, indent=2))
 
@@ -164,16 +129,30 @@ def export_projects(projects: list[dict], path: str) -> None:
     replace_file(path, projects_text(projects))
 
 
-def import_projects(spark: SparkSession, text: str) -> DataFrame:
-    """(name, root_path, ord) of an exported document, a bare list or a settings document; rows without a folder go."""
+def project_documents(projects: DataFrame, *keys: str) -> DataFrame:
+    """``keys`` and ``document``: one exported list a key of (name, root_path), in order of ``ord``."""
+    listed = F.array_sort(F.collect_list(F.struct("ord", "name", F.col("root_path").alias("rootPath"))))
+    entries = F.transform(listed, lambda p: F.struct(p["name"].alias("name"), p["rootPath"].alias("rootPath")))
+    document = F.to_json(F.struct(F.lit(FORMAT).alias("format"), F.lit(VERSION).alias("version"), entries.alias("projects")))
+    return projects.groupBy(*keys).agg(document.alias("document"))
+
+
+def imported(documents: DataFrame, column: str) -> DataFrame:
+    """``documents`` without the column, with (name, root_path, ord) of each entry of an exported document, a bare list or a settings document; entries without a folder go."""
     from ..functions import lenient_json as J
 
-    v = spark.createDataFrame([(text,)], "t string").select(J.parse(F.col("t")).alias("v"))
+    kept = [c for c in documents.columns if c != column]
+    v = documents.select(*kept, J.parse(F.col(column)).alias("v"))
     listed = F.when(J.is_array(F.col("v"), "$"), F.try_variant_get("v", "$", "array<variant>")).otherwise(F.try_variant_get("v", "$.projects", "array<variant>"))
-    rows = v.select(F.posexplode(listed).alias("ord", "p"))
+    rows = v.select(*kept, F.posexplode(listed).alias("ord", "p"))
     name, root = J.text(F.col("p"), "$.name"), J.text(F.col("p"), "$.rootPath")
     last = F.regexp_extract(F.regexp_replace(root, r"[\\/]+$", ""), r"[^\\/]+$", 0)
-    return rows.where(F.trim(root) != "").select(F.when(F.trim(name) == "", last).otherwise(name).alias("name"), root.alias("root_path"), "ord")
+    return rows.where(F.trim(root) != "").select(*kept, F.when(F.trim(name) == "", last).otherwise(name).alias("name"), root.alias("root_path"), "ord")
+
+
+def import_projects(spark: SparkSession, text: str) -> DataFrame:
+    """(name, root_path, ord) of one document."""
+    return imported(spark.createDataFrame([(text,)], "t string"), "t")
 
 
 def top_level_text(df: DataFrame, column: str, name: str) -> Column:
