@@ -735,4 +735,4 @@ def timeline_sql() -> str:
     return ORACLES["daily_timeline"]
 
 
-from . import readers  # noqa: E402, F401  fills QUERIES and ORACLES
+from . import readers, trees  # noqa: E402, F401  fill QUERIES and ORACLES

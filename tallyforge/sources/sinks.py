@@ -42,6 +42,17 @@ def replace_file(path: str | os.PathLike, data: str | bytes) -> None:
     os.replace(name, path)
 
 
+def write_files(files: DataFrame, root: str) -> None:
+    """(path, content): each row a file below ``root``, a folder that driver and executors share.  Written by all tasks, a file at a time."""
+    def write(rows) -> None:
+        for row in rows:
+            path = os.path.join(root, row.path)
+            os.makedirs(os.path.dirname(path), exist_ok=True)
+            replace_file(path, bytes(row.content))
+
+    files.select("path", "content").foreachPartition(write)
+
+
 def scan_csv(files: DataFrame) -> DataFrame:
     """One ``line`` a file: four quoted texts without a formula guard, plain numbers."""
     quoted = {"project", "path", "extension", "language"}
