@@ -12,51 +12,72 @@ HASH = (["#"], [])
 # Language, category, extensions, file names, (line comment markers, block comment pairs).
 # A path takes the first that matches.
 LANGUAGES = [
-    ("C#", SOURCE, ".cs", "", C_LIKE),
-    ("XAML", SOURCE, ".xaml", "", XML_LIKE),
-    ("Razor", SOURCE, ".razor .cshtml", "", (["//"], [("@*", "*@"), ("<!--", "-->")])),
-    ("TypeScript", SOURCE, ".ts .tsx .mts .cts", "", C_LIKE),
-    ("JavaScript", SOURCE, ".js .jsx .mjs .cjs", "", C_LIKE),
-    ("HTML", SOURCE, ".html .htm", "", XML_LIKE),
-    ("CSS", SOURCE, ".css .scss .sass .less", "", C_LIKE),
-    ("SQL", SOURCE, ".sql", "", (["--"], [("/*", "*/")])),
-    ("Dart", SOURCE, ".dart", "", C_LIKE),
-    ("C/C++", SOURCE, ".c .cc .cpp .cxx .h .hh .hpp .hxx", "", C_LIKE),
-    ("Python", SOURCE, ".py .pyw", "", HASH),
-    ("Rust", SOURCE, ".rs", "", C_LIKE),
-    ("Java", SOURCE, ".java", "", C_LIKE),
-    ("Kotlin", SOURCE, ".kt .kts", "", C_LIKE),
-    ("Swift", SOURCE, ".swift", "", C_LIKE),
-    ("Objective-C", SOURCE, ".m .mm", "", C_LIKE),
-    ("PowerShell", SOURCE, ".ps1 .psm1 .psd1", "", (["#"], [("<#", "#>")])),
-    ("Batch", SOURCE, ".bat .cmd", "", (["REM ", "::"], [])),
-    ("Shell", SOURCE, ".sh .bash .zsh .fish", "", HASH),
-    ("Go", SOURCE, ".go", "", C_LIKE),
-    ("PHP", SOURCE, ".php", "", (["//", "#"], [("/*", "*/")])),
-    ("Ruby", SOURCE, ".rb", "", HASH),
-    ("F#", SOURCE, ".fs .fsx .fsi", "", (["//"], [("(*", "*)")])),
-    ("Visual Basic", SOURCE, ".vb", "", (["'"], [])),
-    ("Lua", SOURCE, ".lua", "", (["--"], [("--[[", "]]")])),
-    ("R", SOURCE, ".r", "", HASH),
-    ("Vue", SOURCE, ".vue", "", (["//"], [("/*", "*/"), ("<!--", "-->")])),
-    ("Svelte", SOURCE, ".svelte", "", (["//"], [("/*", "*/"), ("<!--", "-->")])),
-    ("Build Script", SOURCE, ".gradle", "Makefile Dockerfile Jenkinsfile", (["#", "//"], [("/*", "*/")])),
-    ("JSON", CONFIG, ".json .jsonc", "", C_LIKE),
-    ("XML", CONFIG, ".xml .config .props .targets .csproj .fsproj .vbproj .vcxproj", "", XML_LIKE),
-    ("YAML", CONFIG, ".yaml .yml", "", HASH),
-    ("TOML", CONFIG, ".toml", "", HASH),
-    ("INI", CONFIG, ".ini .editorconfig .properties", "", (["#", ";"], [])),
-    ("Solution", CONFIG, ".sln .slnx", "", HASH),
-    ("Markdown", TEXT, ".md .markdown .mdx", "", ([], [])),
-    ("Text", TEXT, ".txt .text .log", "", ([], [])),
-    ("Documentation", TEXT, ".rst .adoc .asc", "", ([], [])),
+    ("C#", SOURCE, [".cs"], [], C_LIKE),
+    ("XAML", SOURCE, [".xaml"], [], XML_LIKE),
+    ("Razor", SOURCE, [".razor", ".cshtml"], [], (["//"], [("@*", "*@"), ("<!--", "-->")])),
+    ("TypeScript", SOURCE, [".ts", ".tsx", ".mts", ".cts"], [], C_LIKE),
+    ("JavaScript", SOURCE, [".js", ".jsx", ".mjs", ".cjs"], [], C_LIKE),
+    ("HTML", SOURCE, [".html", ".htm"], [], XML_LIKE),
+    ("CSS", SOURCE, [".css", ".scss", ".sass", ".less"], [], C_LIKE),
+    ("SQL", SOURCE, [".sql"], [], (["--"], [("/*", "*/")])),
+    ("Dart", SOURCE, [".dart"], [], C_LIKE),
+    ("C/C++", SOURCE, [".c", ".cc", ".cpp", ".cxx", ".h", ".hh", ".hpp", ".hxx"], [], C_LIKE),
+    ("Python", SOURCE, [".py", ".pyw"], [], HASH),
+    ("Rust", SOURCE, [".rs"], [], C_LIKE),
+    ("Java", SOURCE, [".java"], [], C_LIKE),
+    ("Kotlin", SOURCE, [".kt", ".kts"], [], C_LIKE),
+    ("Swift", SOURCE, [".swift"], [], C_LIKE),
+    ("Objective-C", SOURCE, [".m", ".mm"], [], C_LIKE),
+    ("PowerShell", SOURCE, [".ps1", ".psm1", ".psd1"], [], (["#"], [("<#", "#>")])),
+    ("Batch", SOURCE, [".bat", ".cmd"], [], (["REM ", "::"], [])),
+    ("Shell", SOURCE, [".sh", ".bash", ".zsh", ".fish"], [], HASH),
+    ("Go", SOURCE, [".go"], [], C_LIKE),
+    ("PHP", SOURCE, [".php"], [], (["//", "#"], [("/*", "*/")])),
+    ("Ruby", SOURCE, [".rb"], [], HASH),
+    ("F#", SOURCE, [".fs", ".fsx", ".fsi"], [], (["//"], [("(*", "*)")])),
+    ("Visual Basic", SOURCE, [".vb"], [], (["'"], [])),
+    ("Lua", SOURCE, [".lua"], [], (["--"], [("--[[", "]]")])),
+    ("R", SOURCE, [".r"], [], HASH),
+    ("Vue", SOURCE, [".vue"], [], (["//"], [("/*", "*/"), ("<!--", "-->")])),
+    ("Svelte", SOURCE, [".svelte"], [], (["//"], [("/*", "*/"), ("<!--", "-->")])),
+    ("Build Script", SOURCE, [".gradle"], ["Makefile", "Dockerfile", "Jenkinsfile"], (["#", "//"], [("/*", "*/")])),
+    ("JSON", CONFIG, [".json", ".jsonc"], [], C_LIKE),
+    ("XML", CONFIG, [".xml", ".config", ".props", ".targets", ".csproj", ".fsproj", ".vbproj", ".vcxproj"], [], XML_LIKE),
+    ("YAML", CONFIG, [".yaml", ".yml"], [], HASH),
+    ("TOML", CONFIG, [".toml"], [], HASH),
+    ("INI", CONFIG, [".ini", ".editorconfig", ".properties"], [], (["#", ";"], [])),
+    ("Solution", CONFIG, [".sln", ".slnx"], [], HASH),
+    ("Markdown", TEXT, [".md", ".markdown", ".mdx"], [], ([], [])),
+    ("Text", TEXT, [".txt", ".text", ".log"], [], ([], [])),
+    ("Documentation", TEXT, [".rst", ".adoc", ".asc"], [], ([], [])),
 ]
 
 # Folders that scans leave out unless told otherwise.
-DEFAULT_EXCLUSIONS = """
-.git/ .vs/ .idea/ bin/ obj/ node_modules/ dist/ dist-ssr/ build/ target/ .dart_tool/ coverage/ publish/ Releases/
-TestResults/ playwright-report/ test-results/ artifacts/ packages/ .next/ out/ .claude/worktrees/ .kilo/worktrees/
-""".split()
+DEFAULT_EXCLUSIONS = [
+    ".git/",
+    ".vs/",
+    ".idea/",
+    "bin/",
+    "obj/",
+    "node_modules/",
+    "dist/",
+    "dist-ssr/",
+    "build/",
+    "target/",
+    ".dart_tool/",
+    "coverage/",
+    "publish/",
+    "Releases/",
+    "TestResults/",
+    "playwright-report/",
+    "test-results/",
+    "artifacts/",
+    "packages/",
+    ".next/",
+    "out/",
+    ".claude/worktrees/",
+    ".kilo/worktrees/",
+]
 MAX_FILE_BYTES = 5 * 1024 * 1024
 
 # Dollars per million tokens: model, input, output, cache read (None: a tenth of input).
@@ -111,7 +132,7 @@ def languages(spark: SparkSession) -> DataFrame:
         (i, name, category, key.lower(), is_name)
         for i, (name, category, exts, names, _) in enumerate(LANGUAGES)
         for is_name, keys in ((False, exts), (True, names))
-        for key in keys.split()
+        for key in keys
     ]
     return spark.createDataFrame(rows, "ord int, language string, category string, key string, is_name boolean")
 

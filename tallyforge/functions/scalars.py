@@ -12,18 +12,23 @@ VARIANT = r"-(thinking|xhigh|high|medium|low|max|agent)$"
 # ---- models ---------------------------------------------------------------------------------------------------------
 
 
+# What is cut off model ids, and the families of models that are shown by name.
+DATED = [r"-[0-9]{8}$", r"^anthropic\.", r"@[0-9]{8}$"]
+FAMILY = r"^claude-(opus|sonnet|haiku|fable|mythos)-([0-9]+)(?:-([0-9]+))?$"
+
+
 def normalize_model(model: Column) -> Column:
     """Without the date suffix, the ``anthropic.`` prefix and the ``@date`` suffix; null is ``unknown``."""
     out = F.coalesce(model, F.lit("unknown"))
-    for pattern in (r"-[0-9]{8}$", r"^anthropic\.", r"@[0-9]{8}$"):
+    for pattern in DATED:
         out = F.regexp_replace(out, pattern, "")
     return out
 
 
 def display_model(model: Column) -> Column:
     """``claude-opus-4-8`` is ``Opus 4.8``; other ids stay."""
-    m, pattern = normalize_model(model), r"^claude-(opus|sonnet|haiku|fable|mythos)-([0-9]+)(?:-([0-9]+))?$"
-    family, major, minor = (F.regexp_extract(m, pattern, i) for i in (1, 2, 3))
+    m = normalize_model(model)
+    family, major, minor = (F.regexp_extract(m, FAMILY, i) for i in (1, 2, 3))
     shown = F.concat(F.initcap(family), F.lit(" "), major, F.when(minor != "", F.concat(F.lit("."), minor)).otherwise(""))
     return F.when(family != "", shown).otherwise(m)
 
