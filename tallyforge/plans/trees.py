@@ -6,8 +6,11 @@ Imported by :mod:`catalogue`, whose registries it fills.
 from __future__ import annotations
 
 import os
+import sqlite3
 import uuid
+from contextlib import closing
 
+import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -96,3 +99,26 @@ def daily_ai_projects(spark, sf_dir):
     priced = usage.with_agent_cost(usage.keep_first(agent_records(spark, sf_dir)))
     roots = spark.createDataFrame([(p, r, i) for i, (p, r) in enumerate(_ROOTS)], "project_id string, root_path string, ord int")
     return rounded(dailylog.ai_project_rows(priced, roots), "cost")
+
+
+def database(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A block's rows as one SQLite database whose cells have the types that SQLite lets them have."""
+    forms = [int, lambda i: i + 0.5, lambda i: f"{i}.25", lambda i: "x", lambda i: None, lambda i: bytes([1, i % 7])]
+    cells = ((int(i), forms[i % 6](i), forms[i % 6](i)) for i in pdf["event_id"].tolist())
+    with closing(sqlite3.connect(":memory:")) as db:
+        db.execute("create table cells (id integer primary key, shown, amount)")
+        db.executemany("insert into cells values (?, ?, ?)", cells)
+        db.commit()
+        return pd.DataFrame({"path": [f"{int(pdf['block'].iloc[0]):012d}.db"], "content": [db.serialize()]})
+
+
+@query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN CAST(event_id AS VARCHAR) WHEN 1 THEN CAST(event_id AS VARCHAR) || '.5' WHEN 2 THEN CAST(event_id AS VARCHAR) || '.25' WHEN 3 THEN 'x'
+  WHEN 5 THEN '1,' || CAST(event_id % 7 AS VARCHAR) END AS shown, CASE event_id % 6 WHEN 0 THEN event_id WHEN 1 THEN event_id + 0.5 WHEN 2 THEN event_id + 0.25 WHEN 4 THEN NULL ELSE 0 END::DOUBLE AS amount FROM events""")
+def sqlite_cells(spark, sf_dir):
+    """Events as databases of twenty thousand rows each, read by ranges of rows; cells of any type become texts and numbers as the readers of agents' logs see them."""
+    folder = new_folder(spark, "databases")
+    blocks = table(spark, sf_dir, "events").select("event_id", F.floor(F.col("event_id") / 20_000).alias("block"))
+    sinks.write_files(blocks.groupBy("block").applyInPandas(database, "path string, content binary"), folder)
+    paths = sorted(os.path.join(folder, name) for name in os.listdir(folder))
+    cells = files.sqlite_table(spark, paths, "cells", "shown string, amount double", rows=5000)
+    return cells.select(F.col("row").alias("event_id"), "shown", "amount")
