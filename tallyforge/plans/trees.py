@@ -6,7 +6,9 @@ Imported by :mod:`catalogue`, whose registries it fills.
 from __future__ import annotations
 
 import os
+import shutil
 import sqlite3
+import subprocess
 import uuid
 from contextlib import closing
 
@@ -122,3 +124,44 @@ def sqlite_cells(spark, sf_dir):
     paths = sorted(os.path.join(folder, name) for name in os.listdir(folder))
     cells = files.sqlite_table(spark, paths, "cells", "shown string, amount double", rows=5000)
     return cells.select(F.col("row").alias("event_id"), "shown", "amount")
+
+
+def repository(pdf: pd.DataFrame, root: str) -> pd.DataFrame:
+    """A block's orders as a repository: commits of twenty orders, a file each; every third order's file goes with the next commit."""
+    name, stream, gone = f"r{int(pdf['block'].iloc[0])}", [], []
+    for c, rows in pdf.sort_values("k").groupby("c", sort=True):
+        stream.append(f"commit refs/heads/main\ncommitter t <t@t> {FIRST + 60 * int(c)} +0000\ndata 1\nx\n")
+        stream += [f"D {path}\n" for path in gone]
+        for k, path in zip(rows["k"].tolist(), rows["path"].tolist()):
+            text = "".join(f"{k}-{i}\n" for i in range(k % 5 + 1))
+            stream.append(f"M 100644 inline {path}\ndata {len(text)}\n{text}\n")
+        gone = [path for k, path in zip(rows["k"].tolist(), rows["path"].tolist()) if k % 3 == 0]
+    new = os.path.join(root, f".{name}-{uuid.uuid4().hex}")
+    run = lambda *args, **more: subprocess.run(["git", *args], check=True, capture_output=True, **more)
+    run("init", "-q", "-b", "main", new)
+    run("-C", new, "fast-import", "--quiet", input="".join(stream).encode())
+    try:
+        os.rename(new, os.path.join(root, name))
+    except OSError:  # another attempt of this task was first
+        shutil.rmtree(new)
+    return pd.DataFrame({"name": [name]})
+
+
+FIRST = 1_700_000_000
+WITHIN = (10, 80)
+_PATH = "CASE WHEN o_orderkey % 7 = 0 THEN 'f' || {key} || '.bin9' ELSE 'src/f' || {key} || '.py' END"
+
+
+@query(f"""WITH o AS (SELECT o_orderkey AS k, o_orderkey // 4000 AS block, (o_orderkey % 4000) // 20 AS c, {_PATH.format(key="CAST(o_orderkey AS VARCHAR)")} AS path, o_orderkey % 5 + 1 AS n FROM orders),
+follows AS (SELECT block, c, lead(c) OVER (PARTITION BY block ORDER BY c) AS d FROM (SELECT DISTINCT block, c FROM o)),
+x AS (SELECT block, path, CASE WHEN c BETWEEN {WITHIN[0]} AND {WITHIN[1]} THEN n ELSE 0 END AS added, CASE WHEN k % 3 = 0 AND d BETWEEN {WITHIN[0]} AND {WITHIN[1]} THEN n ELSE 0 END AS deleted FROM o JOIN follows USING (block, c) WHERE k % 7 <> 0)
+SELECT 'r' || CAST(block AS VARCHAR) AS project_id, path, added, deleted, 0 AS modified, false AS "binary" FROM x WHERE added + deleted > 0""")
+def repository_history(spark, sf_dir):
+    """Orders as repositories of four thousand files each, whose history over a window a whole run reports; paths of no known language do not count."""
+    root, key = new_folder(spark, "repositories"), F.col("o_orderkey")
+    path = F.expr(_PATH.format(key="CAST(o_orderkey AS STRING)"))
+    orders = table(spark, sf_dir, "orders").select(key.alias("k"), F.floor(key / 4000).alias("block"), F.floor(key % 4000 / 20).alias("c"), path.alias("path"))
+    orders.groupBy("block").applyInPandas(lambda pdf: repository(pdf, root), "name string").count()
+    repos = {name: os.path.join(root, name) for name in sorted(os.listdir(root)) if not name.startswith(".")}
+    report = runs.history_report(spark, repos, FIRST + 60 * WITHIN[0], FIRST + 60 * WITHIN[1])
+    return report["files"].select("project_id", "path", "added", "deleted", "modified", "binary")
