@@ -675,7 +675,9 @@ def modified_estimate(spark, sf_dir):
 SELECT l_partkey, CASE WHEN n >= 1e9 THEN printf('%.2fB', n / 1e9) WHEN n >= 1e6 THEN printf('%.1fM', n / 1e6) WHEN n >= 1e3 THEN printf('%.1fK', n / 1e3)
   ELSE printf('%.0f', floor(n + 0.5)) END AS text FROM (SELECT l_partkey, round(n, 0) + 0.3 AS n FROM x)""")
 def format_tokens(spark, sf_dir):
-    n = F.round(F.sum("l_extendedprice") * F.pow(F.lit(10.0), F.col("l_partkey") % 6 - 3), 0) + 0.3
+    # Decimals: a sum of doubles depends on the order of addition, which decides what lies half-way between two texts.
+    scale = F.pow(F.lit(10.0), F.col("l_partkey") % 6 - 3).cast("decimal(6,3)")
+    n = F.round(F.sum(F.col("l_extendedprice").cast("decimal(20,6)")) * scale, 0).cast("double") + 0.3
     x = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(n.alias("n"))
     return x.select("l_partkey", S.token_text(F.col("n")).alias("text"))
 
