@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 SUMS = ["added", "deleted", "modified"]
 
@@ -126,18 +125,21 @@ def numstat_entries(df: DataFrame, output: str = "output", keys: tuple[str, ...]
 def modified_estimate(patches: DataFrame, keys: list[str], patch: str = "patch") -> DataFrame:
     """(keys, modified): in each hunk, the smaller of deleted and added lines of each block of replaced lines.
 
-    A block ends at a hunk's head, a file's head or a line of context, not at the note about a missing line end.
+    A block ends at a hunk's head, a file's head or a line of context, not at the note about a missing line end.  A fold over the
+    lines of each patch, which stay in their row; patches of equal keys are added up.
     """
-    lines = patches.select(*keys, F.posexplode(F.split(patch, "\n", -1)).alias("n", "line"))
-    order = Window.partitionBy(*keys).orderBy("n")
-    hunk, file = F.startswith("line", F.lit("@@ ")), F.startswith("line", F.lit("diff --git "))
-    lines = lines.withColumn("in_hunk", F.coalesce(F.last(F.when(hunk, True).when(file, False), ignorenulls=True).over(order), F.lit(False)))
-    sign = F.when(hunk | file | ~F.col("in_hunk"), "").otherwise(F.substring("line", 1, 1))
-    lines = lines.withColumn("sign", F.when(sign.isin("+", "-"), sign))
-    ends = hunk | file | (F.col("sign").isNull() & ~F.startswith("line", F.lit("\\ No newline")))
-    lines = lines.withColumn("block", F.sum(F.when(ends, 1).otherwise(0)).over(order))
-    blocks = lines.groupBy(*keys, "block").agg(F.least(F.count_if(F.col("sign") == "+"), F.count_if(F.col("sign") == "-")).alias("m"))
-    return blocks.groupBy(*keys).agg(F.sum("m").alias("modified"))
+    state = F.struct(F.lit(False).alias("in_hunk"), *[F.lit(0).cast("long").alias(c) for c in ("plus", "minus", "total")])
+
+    def step(acc: Column, line: Column) -> Column:
+        hunk, file = F.startswith(line, F.lit("@@ ")), F.startswith(line, F.lit("diff --git "))
+        inside = acc["in_hunk"] & ~hunk & ~file
+        plus, minus = inside & F.startswith(line, F.lit("+")), inside & F.startswith(line, F.lit("-"))
+        kept = F.struct(acc["in_hunk"].alias("in_hunk"), (acc["plus"] + plus.cast("long")).alias("plus"), (acc["minus"] + minus.cast("long")).alias("minus"), acc["total"].alias("total"))
+        ended = F.struct((hunk | inside).alias("in_hunk"), F.lit(0).cast("long").alias("plus"), F.lit(0).cast("long").alias("minus"), (acc["total"] + F.least(acc["plus"], acc["minus"])).alias("total"))
+        return F.when(plus | minus | F.startswith(line, F.lit("\\ No newline")), kept).otherwise(ended)
+
+    estimate = F.aggregate(F.split(patch, "\n", -1), state, step, lambda acc: acc["total"] + F.least(acc["plus"], acc["minus"]))
+    return patches.where(F.col(patch).isNotNull()).select(*keys, estimate.alias("_m")).groupBy(*keys).agg(F.sum("_m").alias("modified"))
 
 
 def export_rows(projects: DataFrame, files: DataFrame, totals: DataFrame) -> DataFrame:

@@ -19,7 +19,12 @@ SCOPES = {
 
 
 def classify(df: DataFrame, scope: str = "SourceOnly", path_col: str = "path") -> DataFrame:
-    """``df`` with language and category, only paths that count in the scope.
+    """``df`` with language and category, only paths that count in the scope."""
+    return classified(df, scope, path_col, "_counts").where("_counts").drop("_counts")
+
+
+def classified(df: DataFrame, scope: str, path_col: str, flag: str) -> DataFrame:
+    """``df`` with language, category and the column ``flag``: whether the path counts in the scope.
 
     Extension or whole file name, letters in either case, first language of the registry; under AllText a file of no known
     language is plain text.
@@ -41,7 +46,7 @@ def classify(df: DataFrame, scope: str = "SourceOnly", path_col: str = "path") -
     )
     known = hit.isNotNull()
     keep = (F.lit(scope == "AllText") | known) & F.col("category").isin(SCOPES[scope])
-    return found.where(keep).select(*df.columns, "language", "category")
+    return found.select(*df.columns, "language", "category", F.coalesce(keep, F.lit(False)).alias(flag))
 
 
 def glob_regex(glob: str) -> str:

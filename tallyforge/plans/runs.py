@@ -70,7 +70,7 @@ def load_sources(sources: dict[str, Callable[[], DataFrame]], disabled: set[str]
 
 
 def unload(found: dict) -> None:
-    """Let go of the records that ``usage_of`` has loaded, when nothing reads them any more."""
+    """Let go of what ``usage_of`` or ``history_report`` has loaded, when nothing reads it any more."""
     for frame in found.get("loaded", ()):
         frame.unpersist()
 
@@ -96,13 +96,14 @@ def history_report(
 ) -> dict[str, DataFrame]:
     """Changes of all repositories between two times (epoch seconds): of every commit (Activity), or from the last commit
     before the window to the last one in it (NetChange)."""
-    commits = git_repos.git_log(spark, repos)
     net = mode == "NetChange"
-    diff = git_repos.git_net if net else git_repos.git_diff
-    form = lambda name: diff(spark, repos, start, end, name)
+    commits, diffs = git_repos.read_history(spark, repos, start, end, net)
     keys = ["project_id", "hash"]
 
     def counting(df: DataFrame, column: str, flag: str) -> DataFrame:
+        if rules is None:  # told by the path alone, row by row
+            marked = paths.classified(df, scope, column, flag)
+            return marked.withColumn(flag, F.col(flag) & F.col(column).isNotNull()).drop("language", "category")
         some = df.select("project_id", F.col(column).alias("path")).where("path is not null").distinct()
         good = paths.classify(some, scope)
         if rules is not None:
@@ -111,13 +112,13 @@ def history_report(
         good = good.select("project_id", F.col("path").alias(column), F.lit(True).alias(flag))
         return df.join(good, ["project_id", column], "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
 
-    entries = counting(counting(history.numstat_entries(form("renames"), "output"), "path", "counts"), "old_path", "old_counts")
-    plain = counting(history.numstat_entries(form("plain"), "output"), "path", "counts")
+    entries = counting(counting(history.numstat_entries(diffs, "renames"), "path", "counts"), "old_path", "old_counts")
+    plain = counting(history.numstat_entries(diffs.where("plain <> ''"), "plain"), "path", "counts")
     changes = history.split_renames(entries, plain, keys)
     # Each file's part of the patch, by the name it has after the change.
-    parts = form("patch").select(*keys, F.explode(F.split("output", r"(?m)^(?=diff --git )", -1)).alias("patch")).where("patch <> ''")
+    parts = diffs.select(*keys, F.explode(F.split("patch", r"(?m)^(?=diff --git )", -1)).alias("patch")).where("patch <> ''")
     parts = parts.withColumn("path", F.regexp_extract("patch", r"(?m)^\+\+\+ (?:b/)?(.*?)\t?$", 1))
-    modified = history.modified_estimate(parts, [*keys, "path"])
+    modified = history.modified_estimate(parts.where("path <> '/dev/null'"), [*keys, "path"])
     changes = changes.join(modified, [*keys, "path"], "left").na.fill(0, ["modified"])
     files = history.activity(commits, changes, start, end, None if net else commits.where("shallow").select("project_id").distinct())
     totals = history.project_totals(commits, files, start, end, mode)
@@ -128,7 +129,7 @@ def history_report(
     said = history.status(F.col("_n"), F.col("_shallow"), F.col("_edge"), F.col("_base"), mode)
     projects = totals.join(known, "project_id").withColumn("status", said).drop("_shallow", "_n", "_edge", "_base")
     grand = history.grand_totals(projects, mode, "status is not null and status <> 'No commits'")
-    return {"files": files, "projects": projects, "totals": grand}
+    return {"files": files, "projects": projects, "totals": grand, "loaded": [commits, diffs]}
 
 
 def history_export(report: dict[str, DataFrame], path: str, branch: str, start: int, end: int, mode: str = "Activity", scope: str = "SourceOnly") -> None:

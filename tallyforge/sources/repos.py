@@ -1,15 +1,19 @@
-"""Git histories as data sources, split inside a repository: a partition is a range of commits of the first-parent line.
+"""Git histories, split inside a repository by ranges of commits of the first-parent line.
 
-Planning streams the log once and notes the commit at which each range begins, so a task starts there and walks no other.
-Ranges without a commit in the window are left out.  A task diffs its commits through one ``diff-tree --stdin`` process.
+The log is streamed once and the commit noted at which each range begins, so a reader starts there and walks no other.
+Ranges without a commit in the window are left out.  A range's commits are diffed through one ``diff-tree --stdin`` process.
+The data sources take a range a partition and find them on the driver, which suits some repositories; ``read_history`` finds
+them in tasks and deals them out to as many as the cluster has, which suits thousands.
 """
 
 from __future__ import annotations
 
 import subprocess
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -26,6 +30,12 @@ FORMS = {
     "plain": ["--numstat", "-z", "--no-renames"],
     "patch": ["--patch", "--unified=0", "--find-renames=50%"],
 }
+#: Two forms of one diff: line counts, an empty field, the patch.
+COUNTS_AND_PATCH = ["--numstat", "-z", "--patch", "--unified=0", "--find-renames=50%"]
+CHANGES = ["project_id", "hash", "renames", "plain", "patch"]
+BLOCK = 1 << 20  # characters of diffs in a block, if a commit has no more
+RANGE = "project_id string, folder string, begin string, ord long, count long, shallow boolean"
+CHANGE = "project_id string, hash string, renames string, plain string, patch string"
 
 
 def git(folder: str, *args: str) -> str:
@@ -72,8 +82,9 @@ def ranges(project: str, folder: str, since: int, until: int, size: int) -> Iter
 class DiffStream:
     """One process that diffs commit after commit."""
 
-    def __init__(self, folder: str, form: str):
-        args = ["git", "-C", folder, "diff-tree", "--stdin", "-r", "--root", "--no-commit-id", *FORMS[form], *PLAIN]
+    def __init__(self, folder: str, form: str | list[str]):
+        asked = FORMS[form] if isinstance(form, str) else form
+        args = ["git", "-C", folder, "diff-tree", "--stdin", "-r", "--root", "--no-commit-id", *asked, *PLAIN]
         self.process = subprocess.Popen(args, stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL)
         self.mark = f"end-{uuid.uuid4().hex}\n".encode()  # no object's name, so it is echoed
 
@@ -98,8 +109,8 @@ class DiffStream:
         return out[: -len(self.mark)].decode("utf-8", "replace")
 
 
-def net_diff(project: str, folder: str, since: int, until: int, form: str) -> Iterator[tuple]:
-    """One row under the newest commit of the window: the difference from the newest one before it (nothing, if there is none and the history is whole)."""
+def net_ends(folder: str, since: int, until: int) -> tuple[str, str] | None:
+    """The trees between which a window's net change lies: the newest commit before the window (nothing, if there is none and the history is whole) and its newest one."""
     shallow = git(folder, "rev-parse", "--is-shallow-repository").strip() == "true"
     after = before = None
     for commit, ts, _ in log_lines(folder, "HEAD"):
@@ -109,9 +120,21 @@ def net_diff(project: str, folder: str, since: int, until: int, form: str) -> It
             before = commit
             break
     if after is None or (before is None and shallow):
-        return
-    before = before or git(folder, "hash-object", "-t", "tree", "/dev/null").strip()
-    yield project, after, git(folder, "diff", *FORMS[form], *PLAIN, before, after)
+        return None
+    return before or git(folder, "hash-object", "-t", "tree", "/dev/null").strip(), after
+
+
+def net_diff(project: str, folder: str, since: int, until: int, form: str) -> Iterator[tuple]:
+    """One row under the newest commit of the window: the window's net change."""
+    if ends := net_ends(folder, since, until):
+        yield project, ends[1], git(folder, "diff", *FORMS[form], *PLAIN, *ends)
+
+
+def forms_of(both: str, plain: Callable[[], str]) -> tuple[str, str, str]:
+    """(renames, plain, patch): the diff without renames is made only where there are some, since nothing else needs it."""
+    counts, end, patch = both.partition("\0\0")
+    counts += end[:1]
+    return counts, plain() if "\t\0" in counts else "", patch
 
 
 class _Reader(DataSourceReader):
@@ -197,3 +220,57 @@ def git_diff(spark: SparkSession, repos: dict[str, str], since: int = 0, until:
 def git_net(spark: SparkSession, repos: dict[str, str], since: int, until: int, form: str = "renames") -> DataFrame:
     """(project_id, hash, output): one change over the window."""
     return _load(spark, GitDiff, repos, since=since, until=until, form=form, net="true")
+
+
+def read_history(spark: SparkSession, repos: dict[str, str], since: int, until: int, net: bool = False, size: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The log of each repository, and (project_id, hash, renames, plain, patch): the window's commits against their first parents, or one net change a repository.
+
+    Tasks find the ranges; ranges are dealt to tasks by number, whatever their repositories.  Each commit is diffed once: both results are kept, on disk
+    where they have no room, until the caller unpersists them.
+    """
+    ship_package(spark)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), spark.sparkContext.defaultParallelism)
+    size = size or COMMITS
+    listed = spark.createDataFrame(list(repos.items()), "project_id string, folder string").repartition(max(1, min(tasks, len(repos))))
+
+    def found(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [r for p, f in zip(frame["project_id"], frame["folder"]) for r in ranges(p, f, 0, 1 << 60, size)]
+            yield pd.DataFrame([(r.project, r.folder, r.begin, r.ord, r.count, r.shallow) for r in rows], columns=["project_id", "folder", "begin", "ord", "count", "shallow"])
+
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[Range]:
+        for frame in frames:
+            for row in frame.itertuples(index=False):
+                yield Range(row.project_id, row.folder, row.begin, int(row.ord), int(row.count), bool(row.shallow))
+
+    def log(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for r in each(frames):
+            yield pd.DataFrame([(r.project, r.folder, n, commit, ts, parent, r.shallow) for n, commit, ts, parent in r.commits()], columns=["project_id", "folder", "ord", "hash", "ts", "parent", "shallow"])
+
+    def changed(r: Range, chosen: list[tuple[str, str | None]]) -> Iterator[tuple]:
+        with DiffStream(r.folder, COUNTS_AND_PATCH) as both, DiffStream(r.folder, "plain") as plain:
+            for commit, parent in chosen:
+                yield r.project, commit, *forms_of(both.of(commit, parent), lambda: plain.of(commit, parent))
+
+    def diffs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for r in each(frames):
+            chosen = [(commit, parent) for _, commit, ts, parent in r.commits() if since <= ts <= until and not (r.shallow and parent is None)]
+            held, rows = 0, []
+            for row in changed(r, chosen) if chosen else ():
+                rows.append(row)
+                held += sum(map(len, row))
+                if held > BLOCK:
+                    yield pd.DataFrame(rows, columns=CHANGES)
+                    held, rows = 0, []
+            if rows:
+                yield pd.DataFrame(rows, columns=CHANGES)
+
+    def nets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for r in each(frames):
+            if r.ord == 0 and (ends := net_ends(r.folder, since, until)):
+                ask = lambda form, ends=ends, r=r: git(r.folder, "diff", *form, *PLAIN, *ends)
+                yield pd.DataFrame([(r.project, ends[1], *forms_of(ask(COUNTS_AND_PATCH), lambda: ask(FORMS["plain"])))], columns=CHANGES)
+
+    dealt = listed.mapInPandas(found, RANGE).repartition(tasks).persist(StorageLevel.MEMORY_AND_DISK)
+    commits = dealt.mapInPandas(log, LOG).persist(StorageLevel.MEMORY_AND_DISK)
+    return commits, dealt.mapInPandas(nets if net else diffs, CHANGE).persist(StorageLevel.MEMORY_AND_DISK)

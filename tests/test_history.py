@@ -195,3 +195,23 @@ def test_a_report_is_the_same_by_ranges(spark, repo, monkeypatch):
     monkeypatch.setattr(sources, "COMMITS", 3)
     monkeypatch.setattr(sources.git_diff, "__defaults__", (0, 1 << 60, "renames", 3))
     assert by_path(runs.history_report(spark, {"p": str(repo.path)}, times[2], times[-2])) == whole and len(whole) == 3
+
+
+def test_ranges_are_found_by_tasks_and_diffed_once(spark, repo, tmp_path, monkeypatch):
+    """The driver asks no repository for anything; ranges are dealt out by number, and the plain diff is made only where something was renamed."""
+    repo.commit({"a.cs": "x\ny\nz\n" * 5, "b.cs": "1\n"})
+    repo("mv", "a.cs", "c.txt")
+    first = repo.commit({"b.cs": "2\n"})
+    last = repo.commit({"b.cs": "3\n"})
+    where = {"p": str(repo.path), "none": str(tmp_path)}
+    monkeypatch.setattr(sources, "git", None)
+    commits, diffs = sources.read_history(spark, where, first, last, size=1)
+    assert commits.count() == 3 and diffs.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    monkeypatch.undo()
+    for form in sources.FORMS:
+        want = {r.hash: r.output for r in sources.git_diff(spark, where, first, last, form=form).collect()}
+        got = {r.hash: r[form] for r in diffs.collect()}
+        renamed = {r.hash for r in diffs.collect() if "\t\0" in r.renames}
+        assert len(renamed) == 1 and len(got) == 2
+        assert got == {h: want[h] if form != "plain" or h in renamed else "" for h in want}
+    runs.unload({"loaded": [commits, diffs]})
