@@ -25,18 +25,25 @@ def selected(commits: DataFrame, start, end) -> DataFrame:
 def activity(commits: DataFrame, changes: DataFrame, start, end, shallow: DataFrame | None = None) -> DataFrame:
     """Sums a file over all commits in the window, most lines first; commits of a shallow clone without a parent are left out.
 
-    ``shallow``: (project_id).
+    ``shallow``: (project_id).  ``changes`` without project_id belong to the project of their commit.
     """
+    return by_churn(file_sums(commits, changes, start, end, shallow))
+
+
+def file_sums(commits: DataFrame, changes: DataFrame, start, end, shallow: DataFrame | None = None) -> DataFrame:
+    """``activity`` in no order."""
     chosen = selected(commits, start, end)
     if shallow is not None:
         edge = chosen.where("parent is null").join(shallow, "project_id", "left_semi").select("project_id", "hash")
         chosen = chosen.join(edge, ["project_id", "hash"], "left_anti")
-    rows = changes.join(chosen.select("project_id", "hash"), ["project_id", "hash"], "left_semi")
-    return by_churn(rows.groupBy("project_id", "path").agg(*[F.sum(c).alias(c) for c in SUMS], F.bool_or("binary").alias("binary")))
+    known = "project_id" in changes.columns
+    rows = changes.join(chosen.select("project_id", "hash"), ["project_id", "hash"] if known else "hash", "left_semi" if known else "inner")
+    sums = rows.groupBy("project_id", "path").agg(*[F.sum(c).alias(c) for c in SUMS], F.bool_or("binary").alias("binary"))
+    return sums.withColumn("churn", F.col("added") + F.col("deleted"))
 
 
 def by_churn(files: DataFrame) -> DataFrame:
-    return files.withColumn("churn", F.col("added") + F.col("deleted")).orderBy("project_id", F.desc("churn"), "path")
+    return files.orderBy("project_id", F.desc("churn"), "path")
 
 
 def baseline(commits: DataFrame, start) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -590,12 +591,12 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = table(spark, sf_dir, "lineitem").select(
+    """Of the project of their commit, which the join with the window's commits brings."""
+    return table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").cast("string").alias("hash"), F.concat(F.lit("src/f"), F.col("l_partkey").cast("string"), F.lit(".cs")).alias("path"),
         F.col("l_quantity").cast("long").alias("added"), F.col("l_linenumber").cast("long").alias("deleted"), F.least(F.col("l_quantity").cast("long"), F.col("l_linenumber").cast("long")).alias("modified"),
         (F.col("l_returnflag") == "R").alias("binary"),
     )
-    return files.join(commits(spark, sf_dir).select("hash", "project_id"), "hash")
 
 
 def _bounds() -> tuple:
@@ -623,8 +624,9 @@ def git_net_baseline(spark, sf_dir):
 
 
 def history_rows(spark, sf_dir, mode="Activity"):
+    """Files, a row each, are kept: projects and totals are counted from them, and each use would join all changes again."""
     start, end = _bounds()
-    files = history.activity(commits(spark, sf_dir), changes(spark, sf_dir), start, end)
+    files = history.file_sums(commits(spark, sf_dir), changes(spark, sf_dir), start, end).persist(StorageLevel.MEMORY_AND_DISK)
     return files, history.project_totals(commits(spark, sf_dir), files, start, end, mode)
 
 

@@ -64,3 +64,12 @@ def test_sums_of_prices_do_not_depend_on_their_order(spark, tmp_path):
     assert 0.03 + 0.29 + 0.18 < 0.5
     spark.createDataFrame(rows, "l_partkey long, l_extendedprice double").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
     assert {r.l_partkey: r.text for r in catalogue.QUERIES["format_tokens"](spark, str(tmp_path)).collect()} == {3: "1"}
+
+
+def test_changes_are_joined_once(spark):
+    """One join of changes with commits in git_activity; files are kept, so that projects and totals join no changes again."""
+    plan = catalogue.QUERIES["git_activity"](spark, SF)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("Join ") == 1
+    files = catalogue.history_rows(spark, SF)[0]
+    assert files.storageLevel.useMemory and files.storageLevel.useDisk
+    files.unpersist()
