@@ -96,6 +96,9 @@ def js_number_text(x: Column) -> Column:
     n, k = F.length(whole) + exponent - lead, F.length(digits)
     sign = F.when(x < 0, "-").otherwise("")
     power = n - 1
+    size = F.abs(x)
+    # Most numbers need none of this: whole ones are their digits filled up with zeros, and neither very small nor large ones are spelled plainly.
+    filled = F.concat(sign, text.cast("decimal(22,0)").cast("string"))
     shown = (
         F.when((k <= n) & (n <= 21), F.concat(digits, F.repeat(F.lit("0"), n - k)))
         .when((n > 0) & (n <= 21), F.concat(F.substring(digits, F.lit(1), n), F.lit("."), F.substring(digits, n + 1, k)))
@@ -114,6 +117,9 @@ def js_number_text(x: Column) -> Column:
         .when(x == float("inf"), "Infinity")
         .when(x == float("-inf"), "-Infinity")
         .when(x == 0, "0")
+        .when((size < 2.0**53) & (size == F.floor(size)), x.cast("long").cast("string"))
+        .when((size >= 1e-3) & (size < 1e7), x.cast("double").cast("string"))
+        .when((size < 1e21) & (size >= 2.0**53), filled)
         .otherwise(F.concat(sign, shown))
     )
 

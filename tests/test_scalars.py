@@ -108,3 +108,14 @@ def test_stream_counts_copies_once(spark, tmp_path):
     run.awaitTermination(120)
     got = {(r.model, r.requests) for r in spark.table("usage_hours").collect()}
     assert got == {("m", 2), ("n", 1)}
+
+
+def test_common_numbers_take_the_short_way(spark):
+    """Whole and plain numbers on both sides of the borders between the ways they are spelled."""
+    cases = {
+        0.0: "0", -0.0: "0", -7.0: "-7", 2.0**53 - 1: "9007199254740991", 2.0**53: "9007199254740992", 5e16: "50000000000000000", -1.5e20: "-150000000000000000000",
+        1e21: "1e+21", 9999999.5: "9999999.5", 12345678.25: "12345678.25", -0.001: "-0.001", 0.00099: "0.00099", 1e-7: "1e-7", 2.0**63: "9223372036854776000",
+    }
+    assert one(spark, list(cases), "double", S.js_number_text) == list(cases.values())
+    plan = spark.range(1).select(S.js_number_text(F.col("id").cast("double")).alias("t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "decimal(22,0)" in plan  # not digits cut out and put together again
