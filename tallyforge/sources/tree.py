@@ -67,47 +67,49 @@ class Walk:
             found = self.rules_in("/".join(parts[:k]), found)
         return found
 
-    def one(self, folder: str, above: list[Rule]) -> tuple[list[tuple], list[str], list[Rule]]:
-        """Rows of a folder's entries, the folders to enter next and the rules that hold there."""
-        files = self.rules_in(folder, above)
+    def entries(self, folder: str, files: list[Rule], enter: list[str], told: bool = True) -> Iterator[tuple]:
+        """Rows of a folder's entries (none, unless ``told``) as they are read: none is held, however many there are.  Folders to enter next go to ``enter``."""
         rules = [*self.general, *files, *self.own]
-        rows, enter = [], []
         try:
-            entries = sorted(os.scandir(os.path.join(self.root, folder)), key=lambda e: e.name)
+            with os.scandir(os.path.join(self.root, folder)) as found:
+                for e in found:
+                    path = f"{folder}/{e.name}" if folder else e.name
+                    try:
+                        inner = e.is_dir(follow_symlinks=False)
+                        if e.is_symlink() or not (told or inner) or is_ignored(path, inner, rules):
+                            continue
+                        if not inner:
+                            info = e.stat()
+                            yield self.project, path, "file", info.st_size, int(info.st_mtime * 1000)
+                        elif not os.path.lexists(os.path.join(e.path, ".git")):
+                            enter.append(path)
+                        elif told:
+                            yield self.project, path, "repository", 0, 0
+                    except OSError:
+                        if told:
+                            yield self.project, path, "unlisted", 0, 0
         except OSError:
-            return [(self.project, folder, "unlisted", 0, 0)], [], files
-        for e in entries:
-            path = f"{folder}/{e.name}" if folder else e.name
-            try:
-                if e.is_symlink() or is_ignored(path, e.is_dir(), rules):
-                    continue
-                if not e.is_dir():
-                    info = e.stat()
-                    rows.append((self.project, path, "file", info.st_size, int(info.st_mtime * 1000)))
-                elif os.path.lexists(os.path.join(e.path, ".git")):
-                    rows.append((self.project, path, "repository", 0, 0))
-                else:
-                    enter.append(path)
-            except OSError:
-                rows.append((self.project, path, "unlisted", 0, 0))
-        return rows, enter, files
+            if told:
+                yield self.project, folder, "unlisted", 0, 0
 
     def below(self, start: str) -> Iterator[tuple]:
         todo = [(start, self.rules_down_to(start))]
         while todo:
             folder, above = todo.pop()
-            rows, enter, rules = self.one(folder, above)
-            yield from rows
-            todo += [(path, rules) for path in enter]
+            rules, enter = self.rules_in(folder, above), []
+            yield from self.entries(folder, rules, enter)
+            todo += [(path, rules) for path in sorted(enter)]
 
     def plan(self, spread: int) -> tuple[list[str], list[str]]:
-        """Folders to tell without those in them, and folders to walk whole; at most about ``spread`` are opened for it."""
+        """Folders to tell without those in them, and folders to walk whole; at most about ``spread`` are opened for it, their files unread."""
         flat, todo = [], deque([("", [])])
         while todo and len(todo) < spread and len(flat) < 4 * spread:
             folder, above = todo.popleft()
             flat.append(folder)
-            _, enter, rules = self.one(folder, above)
-            todo.extend((path, rules) for path in enter)
+            rules, enter = self.rules_in(folder, above), []
+            for _ in self.entries(folder, rules, enter, told=False):
+                pass
+            todo.extend((path, rules) for path in sorted(enter))
         return flat, [folder for folder, _ in todo]
 
 
@@ -148,7 +150,7 @@ class ListingReader(DataSourceReader):
         elif not os.path.isdir(walk.root):
             yield partition.project, "", "absent", 0, 0
         for folder in partition.flat:
-            yield from walk.one(folder, walk.rules_down_to(folder))[0]
+            yield from walk.entries(folder, walk.rules_in(folder, walk.rules_down_to(folder)), [])
 
 
 class SourceListing(DataSource):

@@ -200,3 +200,21 @@ def test_listing_is_dealt_out(spark, tmp_path):
 def test_own_patterns_come_last(spark, tree):
     found, _ = runs.scan(spark, {"p": str(tree), "q": str(tree)}, "SourceOnly", own=[("p", ["!ignored.cs", "Program.cs"])], max_bytes=4000)
     assert {(r.project_id, r.path) for r in found.collect()} == {("p", "ignored.cs"), ("q", "Program.cs")}
+
+
+def test_a_large_folder_is_not_held(tmp_path):
+    """Rows of a folder come as its entries are read, whatever their number; planning reads no file's state."""
+    import tracemalloc
+
+    from tallyforge.sources import tree
+
+    for n in range(20_000):
+        (tmp_path / f"f{n}.md").touch()
+    (tmp_path / "in").mkdir()
+    walk = tree.Walk("p", str(tmp_path), [], [], 1 << 20)
+    tracemalloc.start()
+    rows = sum(1 for _ in walk.below(""))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 20_000 and peak < 1 << 20
+    assert walk.plan(64) == (["", "in"], [])
