@@ -207,12 +207,14 @@ def _message(**fields) -> bytes:
 
 
 def _steps(df: pd.DataFrame) -> pd.Series:
-    def one(r) -> bytes:
-        when = _message(f1=int(r.ts) // 1000, f2=int(r.ts) % 1000 * 1_000_000)
-        spent = _message(f1=int(r.number), f2=int(r.input), f3=int(r.output), f4=int(r.cw5m), f5=int(r.cr), f9=int(r.thinking), f11=r.request)
-        return _message(f1=when, f3="else", f9=spent) if r.ord % 20 else _message(f1=when)
-
-    return df.apply(one, axis=1) if len(df) else pd.Series([], dtype=object)
+    def one(ord_, ts, number, spent_in, spent_out, cw, cr, thinking, request) -> bytes:
+        when = _message(f1=ts // 1000, f2=ts % 1000 * 1_000_000)
+        if ord_ % 20 == 0:
+            return _message(f1=when)
+        return _message(f1=when, f3="else", f9=_message(f1=number, f2=spent_in, f3=spent_out, f4=cw, f5=cr, f9=thinking, f11=request))
+
+    columns = [df[c].astype("int64").tolist() for c in ("ord", "ts", "number", "input", "output", "cw5m", "cr", "thinking")]
+    return pd.Series([one(*r) for r in zip(*columns, df["request"].tolist())], dtype=object)
 
 
 def _named(df: pd.DataFrame) -> pd.Series:

@@ -316,3 +316,14 @@ def test_a_large_table_is_streamed(tmp_path):
     n = sum(1 for _ in raw.read_sqlite("l", str(tmp_path / "l.db"), "t", ["x"], 1, None))
     assert n == 20_000 and tracemalloc.get_traced_memory()[1] < 2 << 20
     tracemalloc.stop()
+
+
+def test_steps_are_written_without_a_series_a_row(monkeypatch):
+    import pandas as pd
+
+    from tallyforge.plans import readers
+
+    monkeypatch.setattr(pd.DataFrame, "apply", None)
+    rows = pd.DataFrame({"ord": [1, 20], "ts": [1500, 2000], "number": 3, "input": [300, 1], "output": 2, "cw5m": 1, "cr": 0, "thinking": 127, "request": ["r", ""]})
+    got = agents.step_usage(readers._steps(rows))
+    assert got["ok"].tolist() == [True, False] and got.loc[0].tolist() == [True, 1500.0, 3.0, 300.0, 2.0, 1.0, 0.0, 127.0, "r"]
