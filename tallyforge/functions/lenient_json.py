@@ -34,7 +34,11 @@ def num(v: Column, path: str) -> Column:
 
 def long(v: Column, path: str) -> Column:
     """A whole number, cut towards zero."""
-    x = num(v, path)
+    return whole(num(v, path))
+
+
+def whole(x: Column) -> Column:
+    """A double as a whole number, cut towards zero."""
     return F.when(x < 0, F.ceil(x)).otherwise(F.floor(x)).cast("long")
 
 

@@ -73,6 +73,14 @@ def walk(project: str, root: str, max_bytes: int, pattern: str, prune: str, star
                 continue
 
 
+SPREAD = 64  # tasks for the folders of a root
+
+
+def walks(project: str, root: str, max_bytes: int, pattern: str, prune: str, starts: list[str], deep: bool) -> Iterator[tuple]:
+    for start in starts:
+        yield from walk(project, root, max_bytes, pattern, prune, start, deep)
+
+
 class SourceTree(DataSource):
     """Options: ``roots`` (lines of project TAB folder), ``max_bytes`` (larger files come without content), ``names``, ``prune`` (regex)."""
 
@@ -87,12 +95,12 @@ class SourceTree(DataSource):
         o = self.options
         most, names, prune = int(o.get("max_bytes", 5 << 20)), o.get("names", "."), o.get("prune", "")
         roots = [line.split("\t", 1) for line in o.get("roots", "").split("\n") if line]
-        parts = []  # a task for what stands in a root, and one for each folder there
+        parts = []  # a task for what stands in a root, and at most SPREAD for the folders there
         for project, root in roots:
-            tops = [path for _, path, is_dir, *_ in walk(project, root, -1, "^$", "", deep=False) if is_dir]
-            parts.append((project, root, most, names, prune, "", False))
-            parts += [(project, root, most, names, prune, path, True) for path in tops if not (prune and re.search(prune, path))]
-        return _Reader(parts, walk)
+            tops = [path for _, path, is_dir, *_ in walk(project, root, -1, "^$", "", deep=False) if is_dir and not (prune and re.search(prune, path))]
+            parts.append((project, root, most, names, prune, [""], False))
+            parts += [(project, root, most, names, prune, tops[k::SPREAD], True) for k in range(min(SPREAD, len(tops)))]
+        return _Reader(parts, walks)
 
 
 ROWS = 100_000  # of a table in one task
