@@ -8,7 +8,7 @@
    reaches ``RECALL``: a link of similarity s stands for 1 / P(s) links, P(s) = 1 - (1 - s^depth)^TREES.  The same estimate
    says which depth is next: the longest that is expected to reach the target.  ``PRIOR`` links at the threshold are added, so
    that few links cannot end it early.  At ``floor_depth()`` every pair reaches the target.
-4. Nodes with the same members are one bucket.  A class's shingle set goes to its buckets, at most TREES a depth; all
+4. Nodes with the same members are one bucket.  A class's text goes to its buckets, compressed, at most TREES a depth; all
    pairs of a bucket are verified as products of 0/1 matrices in blocks of at most ``BLOCK_ROWS`` classes, dealt over many
    tasks.  A pair counts in the first bucket that both are in.  A block returns a row for each class (links, and the
    smallest class that it is joined to there), so no pairs are written.
@@ -24,6 +24,7 @@ known by the other members; ids may be of any type that has an order; an empty t
 
 from __future__ import annotations
 
+import zlib
 from functools import reduce
 
 import numpy as np
@@ -41,6 +42,7 @@ THRESHOLD = (4, 5)  # 0.8 as a fraction: compared in whole numbers
 TREES, DEPTH, RECALL, PRIOR = 16, 6, 0.9995, 100
 BITS = [0, 12, 24, 36, 48, 56, 64]  # bits of a label that the first 0, 1, ... minima give
 BLOCK_ROWS, TASK_BYTES = 512, 4 << 20
+LEVEL = 6  # of compression of texts on their way to their buckets
 STEPS = 40  # of similarity between the threshold and 1
 COLUMNS = 4096
 _rng = np.random.default_rng(42)
@@ -129,12 +131,29 @@ def _signatures(batches):
 
 
 def _sets(batches):
+    """(rep, text, size): texts compressed, as they travel between tasks, and the bytes of their sets.
+
+    Sets of hashes do not compress: a text's takes several times the bytes of the compressed text that it comes from.
+    """
     for batch in batches:
         for lo, hi, buf, offs in blocks(batch.column(1)):
-            hashes, of, _, _ = shingles(buf, offs)
-            at = runs_of(of, hi - lo)
-            sets = [np.unique(hashes[a:b]).tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sets, pa.binary())], names=["rep", "grams"])
+            raw, at = buf.tobytes(), offs.tolist()
+            packed = [zlib.compress(raw[a:b], LEVEL) for a, b in zip(at[:-1], at[1:])]
+            _, of, _, _ = shingles(buf, offs)
+            size = np.diff(runs_of(of, hi - lo)) * 8
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).slice(lo, hi - lo), pa.array(packed, pa.binary()), pa.array(size.astype(np.int64))], names=["rep", "text", "size"]
+            )
+
+
+def unpacked(texts: list[bytes]) -> list[np.ndarray]:
+    """The set of each compressed text: sorted, without repeats."""
+    sets = []
+    for lo, hi, buf, offs in blocks(pa.array([zlib.decompress(t) for t in texts], pa.binary())):
+        hashes, of, _, _ = shingles(buf, offs)
+        at = runs_of(of, hi - lo)
+        sets += [np.unique(hashes[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+    return sets
 
 
 def linked(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -192,13 +211,13 @@ def _verify(key, group):
     buckets, reps = group.column("bucket").to_numpy(), group.column("rep").to_numpy()
     order = np.lexsort((reps, buckets))
     buckets, reps = buckets[order], reps[order]
-    side, grams, seen = group.column("side").to_numpy()[order], group.column("grams"), group.column("seen")
+    side, texts, seen = group.column("side").to_numpy()[order], group.column("text"), group.column("seen")
     x, y = group.column("x")[0].as_py(), group.column("y")[0].as_py()
     edges = np.flatnonzero(np.diff(buckets)) + 1
     low = THRESHOLD[0] / THRESHOLD[1]
     links, root, steps = np.zeros(len(reps), np.int64), reps.copy(), np.zeros(STEPS, np.int64)
     for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(reps)]):
-        found, alike = linked([np.frombuffer(grams[int(i)].as_py(), np.uint64) for i in order[a:b]])
+        found, alike = linked(unpacked([texts[int(i)].as_py() for i in order[a:b]]))
         if x != y:
             found &= side[a:b, None] != side[None, a:b]
         if not found.any():
@@ -244,14 +263,14 @@ def _buckets(forest: DataFrame, rows: int, depth: int, before: list[DataFrame])
 def _checked(sets: DataFrame, members: DataFrame, seen: DataFrame) -> DataFrame:
     """All pairs of the buckets ``members``, verified."""
     few = F.col("n") <= BLOCK_ROWS
-    size = sets.agg(F.sum(F.length("grams"))).first()[0] or 0
+    size = sets.agg(F.sum("size")).first()[0] or 0
     tasks = max(1, members.count() // (2 * BLOCK_ROWS), 2 * size // TASK_BYTES)
-    dealt = members.join(sets, "rep").join(seen, "rep")
+    dealt = members.join(sets.drop("size"), "rep").join(seen, "rep")
     n_blocks = F.ceil(F.col("n") / (BLOCK_ROWS // 2)).cast("int")
     dealt = dealt.withColumn("side", F.when(few, 0).otherwise(F.pmod(F.xxhash64("rep"), n_blocks)).cast("int"))
     others = F.when(few, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), n_blocks - 1))
     dealt = dealt.withColumn("other", F.explode(others)).select(
-        "rep", "bucket", "grams", "seen", "side",
+        "rep", "bucket", "text", "seen", "side",
         F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"),
         F.when(few, F.pmod(F.xxhash64("bucket"), F.lit(tasks))).otherwise(F.col("bucket")).alias("task"),
         few.alias("few"),
@@ -340,7 +359,7 @@ def _ids_tell_classes(rows: DataFrame, classes: DataFrame) -> bool:
 
 
 def _sets_of(df: DataFrame, id_col: str, text_col: str, known: DataFrame, plain: bool) -> DataFrame:
-    """(rep, grams) of the classes ``known``, from one text of each."""
+    """(rep, text, size) of the classes ``known``, from one text of each."""
     known = cut(known, "near-known")
     some = known.where("n_words > 0")  # Spark makes a filter only of a side that has a predicate
     if plain:  # Spark's own Bloom filter of at most 8 MB keeps most texts without a candidate out of the shuffle.
@@ -349,7 +368,7 @@ def _sets_of(df: DataFrame, id_col: str, text_col: str, known: DataFrame, plain:
     else:  # texts are found by their words
         with_seq = df.select(F.col(text_col).alias("text")).mapInArrow(lean(_with_words), "text string, seq long, n_words int")
         wanted = with_seq.join(some, ["seq", "n_words"]).dropDuplicates(["seq"])
-    sets = wanted.select(F.col("seq").alias("rep"), "text").mapInArrow(lean(_sets), "rep long, grams binary")
+    sets = wanted.select(F.col("seq").alias("rep"), "text").mapInArrow(lean(_sets), "rep long, text binary, size long")
     with bloom_filters(df.sparkSession):
         sets = cut(sets, "near-sets")
     discard(known)
